@@ -6,7 +6,7 @@ import importlib
 
 from updraft.catalog.registry import ORACLES, QUERIES
 
-FAMILIES = ("tracks",)
+FAMILIES = ("tracks", "spatial")
 
 
 def load() -> tuple[dict, dict]:
