@@ -6,7 +6,7 @@ import importlib
 
 from updraft.catalog.registry import ORACLES, QUERIES
 
-FAMILIES = ("tracks", "spatial")
+FAMILIES = ("tracks", "spatial", "grids", "heat")
 
 
 def load() -> tuple[dict, dict]:

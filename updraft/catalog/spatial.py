@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from updraft import fixtures as fx
-from updraft.catalog.registry import query
-from updraft.catalog.tracks import PHASE_OUT, TO_PHASE, detected, phase_out
+from updraft.catalog.registry import query, rnd, rounded
+from updraft.catalog.tracks import PHASE_OUT, TO_PHASE, detected
 from updraft.operators import spatial
 from updraft.operators.filters import BBox
+from updraft.operators.phases import PHASE_COLUMNS
 
 IN_BOX = "lon >= x0 AND lon < x1 AND lat >= y0 AND lat < y1"
 PHASE_IN_BOX = "lon_centroid >= x0 AND lon_centroid < x1 AND lat_centroid >= y0 AND lat_centroid < y1"
@@ -23,10 +24,6 @@ def phases_with_region(spark, d):
     return spatial.assign_region(detected(spark, d), fx.region(spark, d), "lon_centroid", "lat_centroid")
 
 
-def _phase_region_out(df):
-    return phase_out(df).join(df.select("day", "source_id", "t_start_s", "region_id"), ["day", "source_id", "t_start_s"])
-
-
 FLAGSHIP = fx.with_sql(
     "obs", "region_box", recursive=True,
     body=TO_PHASE + f"SELECT {PHASE_OUT}, region_id FROM phase LEFT JOIN region_box ON {PHASE_IN_BOX}",
@@ -40,9 +37,6 @@ def _flagship(spark, d):
 
 
 def _rounded_with_region(found):
-    from updraft.catalog.tracks import rounded
-    from updraft.operators.phases import PHASE_COLUMNS
-
     return rounded(
         found.select(*PHASE_COLUMNS, "region_id"), lat_centroid=4, lon_centroid=4, alt_mean_m=3, alt_base_m=3,
         alt_top_m=3, climb_rate_ms=4, n_turns=3,
@@ -128,7 +122,7 @@ def _j5(spark, d):
 )
 def _j6(spark, d):
     kept = spatial.inside_bbox(fx.region(spark, d), BBox(6.03, 44.03, 13.33, 47.53), 0.3, 0.1)
-    return kept.select("region_id", F.round("overlap_frac", 4).alias("overlap_frac"))
+    return kept.select("region_id", rnd("overlap_frac", 4).alias("overlap_frac"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from updraft import fixtures as fx
-from updraft.catalog.registry import query
+from updraft.catalog.registry import query, rnd, rounded
 from updraft.functions.geo import bearing_deg, haversine_m, signed_turn
 from updraft.operators import filters, phases, tracks
 
@@ -105,11 +105,6 @@ def detected(spark, d):
     return phases.detect_phases(clean(spark, d))
 
 
-def rounded(df, **digits):
-    """Rounds the named columns, leaving the rest."""
-    return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
-
-
 def fix_out(df):
     return rounded(df.select("day", "source_id", "t_s", "lat", "lon", "alt_m"), lat=4, lon=4, alt_m=2)
 
@@ -218,7 +213,7 @@ def _t11(spark, d):
     m = phases.phase_metrics(phases.phase_islands(phases.circling_flags(clean(spark, d))))
     kept = phases.phase_classify(m)
     return kept.groupBy("method", "turn_sign").agg(
-        F.count("*").alias("n_phases"), F.round(F.sum("n_turns"), 3).alias("turns")
+        F.count("*").alias("n_phases"), rnd(F.sum("n_turns"), 3).alias("turns")
     )
 
 
