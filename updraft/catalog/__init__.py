@@ -6,7 +6,7 @@ import importlib
 
 from updraft.catalog.registry import ORACLES, QUERIES
 
-FAMILIES = ("tracks", "spatial", "grids", "heat")
+FAMILIES = ("tracks", "spatial", "grids", "heat", "terrain")
 
 
 def load() -> tuple[dict, dict]:

@@ -27,51 +27,35 @@ LOOKUP = """
 , evolved AS (SELECT *, GREATEST(z_top - z0, 0) AS depth, CASE WHEN flux_w_m2 > 0 AND z_top > z0 THEN POW(9.80665e0 / th_m * (flux_w_m2 / 1005.0e0) * (z_top - z0), 1.0e0 / 3) ELSE 0.0e0 END AS w FROM topped)"""
 
 
-def shallow(spark, d):
-    """Profiles cut to the forecast's 66 levels, whatever the size of the part table."""
-    return fx.profile(spark, d).where("level <= 65")
-
-
-SHALLOW = ", profile AS (SELECT * FROM profile_all WHERE level <= 65)"
-
-
-def _sql(*relations: str, body: str) -> str:
-    text = fx.with_sql(*relations, body=SHALLOW + body)
-    return text.replace(" profile AS (SELECT CAST(p_partkey", " profile_all AS (SELECT CAST(p_partkey")
-
-
 def evolution(spark, d):
-    flux = fx.flux(spark, d).withColumn("region_id", F.col("region_id").cast("int"))
-    return heat.mixed_layer_evolution(shallow(spark, d), flux, ["region_id", "init_h"], ["region_id"])
+    return heat.mixed_layer_evolution(fx.profile(spark, d), fx.flux(spark, d), ["region_id", "init_h"], ["region_id"])
 
 
-@query("h1_heat_capacity_curve", _sql("profile", body=CURVE + "SELECT region_id, step, z AS height_m, ROUND(g, 2) AS heat_j_m2 FROM curve"))
+@query("h1_heat_capacity_curve", fx.with_sql("profile", body=CURVE + "SELECT region_id, step, z AS height_m, ROUND(g, 2) AS heat_j_m2 FROM curve"))
 def _h1(spark, d):
-    curve = heat.heat_capacity_curve(shallow(spark, d), ["region_id"])
+    curve = heat.heat_capacity_curve(fx.profile(spark, d), ["region_id"])
     return rounded(curve.select("region_id", "step", "height_m", "heat_j_m2"), heat_j_m2=2)
 
 
 @query("h2_cumulative_heat", fx.with_sql("grid_cell", "flux", body=HEATED + "SELECT region_id, init_h, lead_h, ROUND(h, 2) AS heat_cum_j_m2 FROM heated"))
 def _h2(spark, d):
-    flux = fx.flux(spark, d).withColumn("region_id", F.col("region_id").cast("int"))
-    out = heat.cumulative_heat(flux, ["region_id", "init_h"])
+    out = heat.cumulative_heat(fx.flux(spark, d), ["region_id", "init_h"])
     return rounded(out.select("region_id", "init_h", "lead_h", "heat_cum_j_m2"), heat_cum_j_m2=2)
 
 
 @query(
     "j14_heat_to_top",
-    _sql("grid_cell", "flux", "profile", body=CURVE + HEATED + LOOKUP + "SELECT region_id, init_h, lead_h, ROUND(z_top, 3) AS z_top_m, ROUND(th_m, 4) AS theta_mixed_k FROM topped"),
+    fx.with_sql("grid_cell", "flux", "profile", body=CURVE + HEATED + LOOKUP + "SELECT region_id, init_h, lead_h, ROUND(z_top, 3) AS z_top_m, ROUND(th_m, 4) AS theta_mixed_k FROM topped"),
 )
 def _j14(spark, d):
-    flux = fx.flux(spark, d).withColumn("region_id", F.col("region_id").cast("int"))
-    heated = heat.cumulative_heat(flux, ["region_id", "init_h"])
-    out = heat.heat_to_top(heat.heat_capacity_curve(shallow(spark, d), ["region_id"]), heated, ["region_id"])
+    heated = heat.cumulative_heat(fx.flux(spark, d), ["region_id", "init_h"])
+    out = heat.heat_to_top(heat.heat_capacity_curve(fx.profile(spark, d), ["region_id"]), heated, ["region_id"])
     return rounded(out.select("region_id", "init_h", "lead_h", "z_top_m", "theta_mixed_k"), z_top_m=3, theta_mixed_k=4)
 
 
 @query(
     "h3_mixed_layer_evolution",
-    _sql("grid_cell", "flux", "profile", body=CURVE + HEATED + LOOKUP + """
+    fx.with_sql("grid_cell", "flux", "profile", body=CURVE + HEATED + LOOKUP + """
     SELECT region_id, init_h, lead_h, ROUND(z_top, 3) AS z_top_m, ROUND(th_m, 4) AS theta_mixed_k, ROUND(depth, 3) AS depth_m, ROUND(w, 4) AS w_star_ms FROM evolved"""),
 )
 def _h3(spark, d):
@@ -81,12 +65,12 @@ def _h3(spark, d):
 
 @query(
     "h4_mixed_layer_top",
-    _sql("profile", body=CURVE + """, f AS (SELECT region_id, MIN(CASE WHEN step = 0 THEN th END) AS t0 FROM curve GROUP BY 1)
+    fx.with_sql("profile", body=CURVE + """, f AS (SELECT region_id, MIN(CASE WHEN step = 0 THEN th END) AS t0 FROM curve GROUP BY 1)
     , b AS (SELECT c.region_id, MIN(CASE WHEN th - t0 > 1.1e0 THEN step END) AS broken, MAX(step) AS n FROM curve c JOIN f USING (region_id) GROUP BY 1)
     SELECT region_id, CAST(COALESCE(broken - 1, n) AS INT) AS top_step FROM b"""),
 )
 def _h4(spark, d):
-    return heat.mixed_layer_top(shallow(spark, d), ["region_id"], 1.1)
+    return heat.mixed_layer_top(fx.profile(spark, d), ["region_id"], 1.1)
 
 
 @query(
@@ -109,7 +93,7 @@ def _h5(spark, d):
 
 @query(
     "h6_run_summary",
-    _sql("grid_cell", "flux", "profile", body=CURVE + HEATED + LOOKUP + """
+    fx.with_sql("grid_cell", "flux", "profile", body=CURVE + HEATED + LOOKUP + """
     SELECT region_id, init_h, ROUND(ARG_MIN(depth, lead_h), 3) AS depth_start_m, ROUND(ARG_MAX(depth, lead_h), 3) AS depth_end_m, ROUND(MAX(depth), 3) AS depth_max_m,
       ARG_MAX(lead_h, (depth, -lead_h)) AS depth_max_at, ROUND(MAX(w), 4) AS w_star_max_ms, ROUND(ARG_MAX(th_m, lead_h) - ARG_MIN(th_m, lead_h), 4) AS theta_gain_k FROM evolved GROUP BY 1, 2"""),
 )

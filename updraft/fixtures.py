@@ -169,12 +169,13 @@ def job_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of 40 levels; more parts give more columns, not taller ones."""
     key = F.col("p_partkey")
-    level = F.floor(key / F.lit(25.0)).cast("int")
+    level = (key % 40).cast("int")
     return table(spark, sf_dir, "part").select(
-        (key % 25).cast("int").alias("region_id"),
+        F.floor(key / F.lit(40.0)).alias("region_id"),
         level.alias("level"),
-        (300.0 + 60 * level + (key % 7)).alias("height_m"),
+        (300.0 + 60 * level + key % 7).alias("height_m"),
         (288.0 + 0.25 * level + 0.01 * F.col("p_size")).alias("theta_k"),
     )
 
@@ -192,13 +193,17 @@ def sounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flux(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly surface heat flux per region and run from the radiation field."""
-    return (
+    """Hourly surface heat flux per column and run from the radiation field."""
+    slots = (
         grid_cell(spark, sf_dir)
         .where(F.col("var") == "asob_s")
-        .groupBy("init_h", "lead_h", (F.col("lat_i") % 5 * 5 + F.col("lon_i") % 5).alias("region_id"))
+        .groupBy("init_h", "lead_h", (F.col("lat_i") % 5 * 5 + F.col("lon_i") % 5).alias("slot"))
         .agg((F.avg("value") * 0.3).alias("flux_w_m2"))
     )
+    columns = profile(spark, sf_dir).select("region_id").distinct()
+    # At most 25 slots x 3 runs x 7 leads, whatever the data volume.
+    keyed = columns.withColumn("slot", (F.col("region_id") % 25).cast("int"))
+    return keyed.join(slots, "slot").select("region_id", "init_h", "lead_h", "flux_w_m2")
 
 
 def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,17 +258,17 @@ SQL: dict[str, str] = {
  job_attempt AS (SELECT event_id AS seq, event_type AS job, ts,
    CASE user_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'skip' WHEN 2 THEN 'fail' ELSE 'ok' END AS status FROM events)""",
     "profile": """
- profile AS (SELECT CAST(p_partkey % 25 AS INT) AS region_id, CAST(FLOOR(p_partkey / 25.0e0) AS INT) AS level,
-   300.0e0 + 60 * FLOOR(p_partkey / 25.0e0) + (p_partkey % 7) AS height_m,
-   288.0e0 + 0.25e0 * FLOOR(p_partkey / 25.0e0) + 0.01e0 * p_size AS theta_k FROM part)""",
+ profile AS (SELECT CAST(FLOOR(p_partkey / 40.0e0) AS BIGINT) AS region_id, CAST(p_partkey % 40 AS INT) AS level,
+   300.0e0 + 60 * (p_partkey % 40) + (p_partkey % 7) AS height_m,
+   288.0e0 + 0.25e0 * (p_partkey % 40) + 0.01e0 * p_size AS theta_k FROM part)""",
     "sounding": """
  sounding AS (SELECT p_partkey AS sample_id, 200.0e0 + p_partkey % 3000 AS z_m,
    300.0e0 - 0.0065e0 * (p_partkey % 3000) AS t_k,
    300.0e0 - 0.0065e0 * (p_partkey % 3000) - 0.3e0 * p_size AS td_k,
    0.0001e0 * (p_partkey % 5) AS r_liquid FROM part)""",
     "flux": """
- flux AS (SELECT init_h, lead_h, CAST(lat_i % 5 * 5 + lon_i % 5 AS INT) AS region_id, AVG(value) * 0.3e0 AS flux_w_m2
-  FROM grid_cell WHERE var = 'asob_s' GROUP BY 1, 2, 3)""",
+ flux AS (SELECT region_id, init_h, lead_h, flux_w_m2 FROM (SELECT init_h, lead_h, lat_i % 5 * 5 + lon_i % 5 AS slot, AVG(value) * 0.3e0 AS flux_w_m2
+   FROM grid_cell WHERE var = 'asob_s' GROUP BY 1, 2, 3) s JOIN (SELECT DISTINCT CAST(FLOOR(p_partkey / 40.0e0) AS BIGINT) AS region_id FROM part) c ON c.region_id % 25 = s.slot)""",
     "watchlist": """
  watchlist AS (SELECT c_custkey AS source_id, c_name AS name FROM customer WHERE c_custkey % 50 = 0)""",
 }

@@ -28,6 +28,12 @@ MIX_ACCELERATING = 0.0025
 MIX_DECELERATING = 0.008
 
 
+def clip(value: Column, lo: float | None = None, hi: float | None = None) -> Column:
+    """Value limited to [lo, hi]; null stays null, unlike with greatest/least."""
+    out = F.when(value < lo, F.lit(lo)).otherwise(value) if lo is not None else value
+    return F.when(out > hi, F.lit(hi)).otherwise(out) if hi is not None else out
+
+
 def standard_pressure(z: Column) -> Column:
     """Standard-atmosphere pressure in Pa at height ``z`` in m."""
     return ISA_P0 * F.pow(1.0 - ISA_LAPSE * z / ISA_T0, F.lit(G / (R_DRY * ISA_LAPSE)))
@@ -57,7 +63,7 @@ def saturation_vapour_pressure(t: Column) -> Column:
 
 
 def dewpoint_from_vapour_pressure(e_hpa: Column) -> Column:
-    log = F.log(F.when(e_hpa.isNotNull(), F.greatest(e_hpa, F.lit(1e-6))) / 6.112)
+    log = F.log(clip(e_hpa, 1e-6) / 6.112)
     return 243.12 * log / (17.62 - log) + T_ZERO_C
 
 
@@ -77,7 +83,7 @@ def relative_humidity(t: Column, td: Column) -> Column:
 def lcl_height(t: Column, td: Column, z: Column) -> Column:
     """Lifting condensation level from the dewpoint depression, never below ``z``."""
     depression = t - td
-    return z + LCL_M_PER_K * F.when(depression < 0, F.lit(0.0)).otherwise(depression)
+    return z + LCL_M_PER_K * clip(depression, 0.0)
 
 
 def virtual_temperature(t: Column, r: Column) -> Column:
@@ -101,7 +107,7 @@ def moist_lapse_rate(t: Column, p: Column) -> Column:
 
 def qv_to_dewpoint(qv: Column, p: Column, t: Column) -> Column:
     """Dewpoint from specific humidity; 5 K below ``t`` where humidity is missing."""
-    r = qv / F.greatest(1.0 - qv, F.lit(1e-9))
+    r = qv / clip(1.0 - qv, 1e-9)
     e_hpa = r * p / 100.0 / (EPSILON + r)
     return F.when(qv.isNull(), t - 5.0).otherwise(dewpoint_from_vapour_pressure(e_hpa))
 
@@ -151,6 +157,6 @@ def flux_regime_columns(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("delta_t_k", warming)
         .withColumn("parcel_mass_kg", mass)
-        .withColumn("wind_factor", F.least(F.lit(1.0), F.greatest(F.lit(0.0), kinetic)))
+        .withColumn("wind_factor", clip(kinetic, 0.0, 1.0))
         .withColumn("mixing_per_m", F.when(F.col("accelerating"), MIX_ACCELERATING).otherwise(MIX_DECELERATING))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from updraft.functions.air import saturation_vapour_pressure
+from updraft.functions.air import clip, saturation_vapour_pressure
 
 # Fixed values of the empirical balance.
 SOLAR_W_M2 = 1200.0
@@ -37,18 +37,16 @@ def clear_sky_flux_columns(df: DataFrame) -> DataFrame:
     t = F.col("t_k")
     sun = df.withColumn("_dec", declination_deg(F.col("day_of_year"))).withColumns(
         {
-            "sin_elevation": F.greatest(
-                F.lit(0.0), sin_elevation(F.col("lat"), F.col("_dec"), 15.0 * (F.col("solar_hour") - 12.0))
-            ),
-            "sin_elevation_max": F.greatest(
-                F.lit(1e-6), sin_elevation(F.col("lat"), F.col("_dec"), F.lit(0.0))
+            "sin_elevation": clip(
+                sin_elevation(F.col("lat"), F.col("_dec"), 15.0 * (F.col("solar_hour") - 12.0)), 0.0
             ),
+            "sin_elevation_max": clip(sin_elevation(F.col("lat"), F.col("_dec"), F.lit(0.0)), 1e-6),
         }
     )
     up = F.col("sin_elevation")
     path = EXTINCTION * F.exp(-F.col("z_m") / EXTINCTION_SCALE_M) * F.col("sin_elevation_max") / up
     shortwave = F.when(up <= 0, F.lit(0.0)).otherwise(SOLAR_W_M2 * up * F.exp(-path) * (1.0 - ALBEDO))
-    sky = 0.594 + 0.0416 * F.sqrt(F.greatest(saturation_vapour_pressure(F.col("td_k")), F.lit(0.0)))
+    sky = 0.594 + 0.0416 * F.sqrt(saturation_vapour_pressure(F.col("td_k")))
     out = sun.withColumn("_short", shortwave).withColumn("_sky", sky).withColumn("t_skin_k", t)
     for _ in range(SKIN_ROUNDS):
         longwave = STEFAN_BOLTZMANN * (F.pow("t_skin_k", 4) - F.col("_sky") * F.pow(t, 4))

@@ -104,9 +104,14 @@ def heat_to_top(curve: DataFrame, heat: DataFrame, keys: list[str], amount: str
 
 
 def cumulative_heat(flux: DataFrame, keys: list[str], dt_s: float = 3600.0, time: str = "lead_h") -> DataFrame:
-    """Adds the running sum of upward heat, ``heat_cum_j_m2``."""
+    """Adds the running sum of upward heat, ``heat_cum_j_m2``.
+
+    A missing flux leaves the sum unknown from there on.
+    """
     order = W.partitionBy(*keys).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
-    return flux.withColumn("heat_cum_j_m2", F.sum(F.greatest(F.col("flux_w_m2"), F.lit(0.0)) * dt_s).over(order))
+    gaps = F.sum(F.col("flux_w_m2").isNull().cast("int")).over(order)
+    total = F.sum(air.clip(F.col("flux_w_m2"), 0.0) * dt_s).over(order)
+    return flux.withColumn("heat_cum_j_m2", F.when(gaps == 0, total))
 
 
 def mixed_layer_evolution(profile: DataFrame, flux: DataFrame, keys: list[str], profile_keys: list[str], dt_s: float = 3600.0) -> DataFrame:
@@ -116,7 +121,7 @@ def mixed_layer_evolution(profile: DataFrame, flux: DataFrame, keys: list[str],
     topped = heat_to_top(curve, heated, profile_keys)
     ground = curve.where("step = 0").select(*profile_keys, F.col("height_m").alias("_z0"))
     placed = topped.join(ground, profile_keys)
-    depth = F.greatest(F.col("z_top_m") - F.col("_z0"), F.lit(0.0))
+    depth = air.clip(F.col("z_top_m") - F.col("_z0"), 0.0)
     with_depth = placed.withColumn("depth_m", depth).drop("_z0")
     w = air.convective_velocity(F.col("flux_w_m2"), F.col("depth_m"), F.col("theta_mixed_k"))
     return with_depth.withColumn("w_star_ms", w)

@@ -241,7 +241,7 @@ def domain_cells(regions: DataFrame, cell_deg: float = 0.05) -> DataFrame:
 # -- neighbours --------------------------------------------------------------
 
 
-def _segment_pieces(regions: DataFrame, piece_deg: float) -> DataFrame:
+def segment_pieces(regions: DataFrame, piece_deg: float) -> DataFrame:
     """Edges cut into pieces no longer than ``piece_deg`` per axis."""
     edges = region_edges(regions)
     span = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
@@ -297,7 +297,7 @@ def neighbour_pairs(regions: DataFrame, tolerance_deg: float = 0.005) -> DataFra
     test leave the join. Nested regions are found by one border point each.
     """
     cell = 4 * tolerance_deg
-    pieces = _segment_pieces(regions, cell)
+    pieces = segment_pieces(regions, cell)
 
     def spread(lo: Column, hi: Column, margin: float) -> Column:
         return F.explode(F.sequence(cell_index(lo - margin, cell), cell_index(hi + margin, cell)))
