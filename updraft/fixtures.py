@@ -207,13 +207,44 @@ def flux(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "customer")
-        .where(F.col("c_custkey") % 50 == 0)
-        .select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("name"))
+    return table(spark, sf_dir, "customer").select(
+        F.format_string("FLR%06X", "c_custkey").alias("source_id"), F.col("c_name").alias("name")
     )
 
 
+def raw_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radio lines ``ts_recv, raw`` as text: positions, receivers, comments, gaps.
+
+    Positions are whole thousandths of a minute, so both engines agree on every
+    digit that the line carries.
+    """
+    eid, uid = F.col("event_id"), F.col("user_id")
+    ts = F.col("ts").cast("timestamp")
+    lat, lon = 2_616_000 + (eid * 37) % 300_000, 312_000 + (eid * 53) % 660_000
+    whole = lambda a, b: F.floor(a / F.lit(float(b)))
+
+    def angle(total: Column, width: int) -> Column:
+        rest = total % 60_000
+        return F.format_string(f"%0{width}d%02d.%02d", whole(total, 60_000), whole(rest, 1_000), whole(rest % 1_000, 10))
+
+    packet = ts - F.make_dt_interval(secs=(eid % 3).cast("decimal(18,6)"))
+    flags = F.when(uid % 4 == 0, 1).when(uid % 4 == 1, 6).when(uid % 4 == 2, 7).otherwise(8) * 4 + 2
+    sent = F.when(eid % 37 == 0, F.lit("!")).otherwise(F.concat(F.lit("/"), F.date_format(packet, "HHmmss"), F.lit("h")))
+    altitude = F.when(eid % 31 == 0, F.lit("")).otherwise(F.format_string("/A=%06d", 3_000 + eid % 7_000))
+    position = F.concat(
+        F.format_string("FLR%06X", uid), F.lit(">APRS,qAS,STATION:"), sent, angle(lat, 2), F.lit("N/"), angle(lon, 3), F.lit("E'"),
+        F.format_string("%03d/%03d", eid % 360, eid % 80), altitude, F.format_string(" !W%d%d!", lat % 10, lon % 10),
+        F.format_string(" id%02X%06X", flags, uid), F.format_string(" %+dfpm", eid % 1_200 - 600),
+    )
+    receiver = F.concat(
+        F.format_string("RX%d", uid), F.lit(">APRS,TCPIP*,qAC,SERVER:/"), F.date_format(packet, "HHmmss"), F.lit("h"), angle(lat, 2),
+        F.lit("NI"), angle(lon, 3), F.lit("E&/A=001234"),
+    )
+    raw = F.when(eid % 23 == 0, F.lit("# server 2.1 ready")).when(eid % 29 == 0, receiver).otherwise(position)
+    stamp = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return table(spark, sf_dir, "events").select(stamp.alias("ts_recv"), raw.alias("raw"))
+
+
 #: The same projections for the oracle, keyed by the relation they define.
 SQL: dict[str, str] = {
     "obs": """
@@ -270,7 +301,22 @@ SQL: dict[str, str] = {
  flux AS (SELECT region_id, init_h, lead_h, flux_w_m2 FROM (SELECT init_h, lead_h, lat_i % 5 * 5 + lon_i % 5 AS slot, AVG(value) * 0.3e0 AS flux_w_m2
    FROM grid_cell WHERE var = 'asob_s' GROUP BY 1, 2, 3) s JOIN (SELECT DISTINCT CAST(FLOOR(p_partkey / 40.0e0) AS BIGINT) AS region_id FROM part) c ON c.region_id % 25 = s.slot)""",
     "watchlist": """
- watchlist AS (SELECT c_custkey AS source_id, c_name AS name FROM customer WHERE c_custkey % 50 = 0)""",
+ watchlist AS (SELECT PRINTF('FLR%06X', c_custkey) AS source_id, c_name AS name FROM customer)""",
+    # What the radio lines say, without going through their text.
+    "beacon": """
+ line AS (SELECT event_id, user_id, DATE_TRUNC('millisecond', ts) AS ts_recv, CAST(ts AS DATE) AS day, ts - INTERVAL (CAST(event_id % 3 AS INT)) SECOND AS packet,
+   CASE WHEN event_id % 23 = 0 THEN 'other' WHEN event_id % 29 = 0 THEN 'receiver' ELSE 'position' END AS kind,
+   2616000 + (event_id * 37) % 300000 AS lat_t, 312000 + (event_id * 53) % 660000 AS lon_t FROM events),
+ beacon AS (SELECT event_id, day, kind, ts_recv,
+   CASE kind WHEN 'other' THEN NULL WHEN 'receiver' THEN 'RX' || CAST(user_id AS VARCHAR) ELSE PRINTF('FLR%06X', user_id) END AS source_id,
+   CASE WHEN kind = 'position' THEN CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 6 WHEN 2 THEN 7 ELSE 8 END END AS aircraft_type,
+   CASE WHEN kind = 'position' AND event_id % 37 <> 0 OR kind = 'receiver' THEN packet END AS packet,
+   CASE WHEN kind = 'position' THEN lat_t / 60000.0e0 WHEN kind = 'receiver' THEN (lat_t // 10 * 10) / 60000.0e0 END AS lat,
+   CASE WHEN kind = 'position' THEN lon_t / 60000.0e0 WHEN kind = 'receiver' THEN (lon_t // 10 * 10) / 60000.0e0 END AS lon,
+   CASE WHEN kind = 'receiver' THEN 1234 * 0.3048e0 WHEN kind = 'position' AND event_id % 31 <> 0 THEN (3000 + event_id % 7000) * 0.3048e0 END AS alt_m,
+   CASE WHEN kind = 'position' THEN (event_id % 1200 - 600) * 0.00508e0 END AS climb_ms,
+   CASE WHEN kind = 'position' THEN (event_id % 80) * 1.852e0 END AS speed_kmh,
+   CASE WHEN kind = 'position' THEN CAST(event_id % 360 AS DOUBLE) END AS course_deg FROM line)""",
 }
 
 

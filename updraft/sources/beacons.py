@@ -79,7 +79,9 @@ def parse_beacons(log: DataFrame) -> DataFrame:
     # of the pattern per line instead of one per field.
     joined = "\u0001".join(f"${i}" for i in range(2, 14))
     split = F.split(F.regexp_replace(raw, POSITION, joined), "\u0001", 12)
-    fields = log.withColumn("_p", split).withColumn("_p", F.when(F.size("_p") == 12, F.col("_p")))
+    # The explode of a one-element array keeps the optimizer from copying the
+    # pattern into every later filter and column that reads a part of it.
+    fields = log.withColumn("_s", F.explode(F.array(split))).withColumn("_p", F.when(F.size("_s") == 12, F.col("_s")))
     hit = F.col("_p").isNotNull()
 
     def piece(i: int) -> Column:

@@ -40,19 +40,31 @@ def read_clean_fixes(spark: SparkSession, path: str, day=None, source_id=None) -
     return fixes
 
 
-def write_phases(phases: DataFrame, days: DataFrame, path: str, ledger_path: str) -> None:
+def write_phases(phases: DataFrame, days: DataFrame, path: str, ledger_path: str, batch: str) -> None:
     """Phases by day plus a ledger row for every processed day, also empty ones.
 
-    The counts come from the written table, so detection runs once.
+    ``batch`` names this run. The ledger says which batch of a day counts, so a
+    day done again without any phase does not keep its old ones. The counts come
+    from the written table: detection runs once.
     """
-    _overwrite_partitions(phases, path, "day")
+    spark = phases.sparkSession
+    stamped = phases.withColumn("batch", F.lit(batch))
+    _overwrite_partitions(stamped, path, "day")
     done = days.select("day").distinct()
-    written = phases.sparkSession.read.schema(phases.schema).parquet(path)
-    counts = written.groupBy("day").agg(F.count("*").alias("n_phases"))
-    ledger = done.join(counts, "day", "left").select("day", F.coalesce("n_phases", F.lit(0)).alias("n_phases"))
+    written = spark.read.schema(stamped.schema).parquet(path).where(F.col("batch") == batch)
+    counts = written.join(done, "day", "left_semi").groupBy("day").agg(F.count("*").alias("n_phases"))
+    ledger = done.join(counts, "day", "left").select(
+        "day", F.lit(batch).alias("batch"), F.coalesce("n_phases", F.lit(0)).alias("n_phases")
+    )
     _overwrite_partitions(ledger, ledger_path, "day")
 
 
+def read_phases(spark: SparkSession, path: str, ledger_path: str) -> DataFrame:
+    """Phases of each day's latest batch."""
+    ledger = spark.read.parquet(ledger_path).select("day", "batch")
+    return spark.read.parquet(path).join(ledger, ["day", "batch"], "left_semi").drop("batch")
+
+
 def upsert_grid(grid: DataFrame, path: str, run: str = "init_h") -> None:
     """Fields by variable and run; appending a run twice leaves it once."""
     placed = grid.repartition("var", run, F.col("lead_h")).sortWithinPartitions("var", run, "lead_h", "lat_i", "lon_i")
