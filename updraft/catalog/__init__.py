@@ -6,7 +6,7 @@ import importlib
 
 from updraft.catalog.registry import ORACLES, QUERIES
 
-FAMILIES = ("tracks", "spatial", "grids", "heat", "terrain", "beacons", "health", "streams")
+FAMILIES = ("tracks", "spatial", "grids", "heat", "terrain", "beacons", "health", "streams", "scores")
 
 
 def load() -> tuple[dict, dict]:
