@@ -67,7 +67,8 @@ def detect_days(
         found, regions, "lon_centroid", "lat_centroid", ("terrain_type", "habitat_class")
     )
     tables.write_phases(placed, days, where.phases, where.ledger, batch)
-    return tables.read_phases(observations.sparkSession, where.phases, where.ledger)
+    schema = placed.withColumn("batch", F.lit(batch)).schema
+    return tables.read_phases(observations.sparkSession, where.phases, where.ledger, schema)
 
 
 def reassign_days(where: DayTables, regions: DataFrame, batch: str) -> DataFrame:

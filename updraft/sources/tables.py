@@ -59,10 +59,14 @@ def write_phases(phases: DataFrame, days: DataFrame, path: str, ledger_path: str
     _overwrite_partitions(ledger, ledger_path, "day")
 
 
-def read_phases(spark: SparkSession, path: str, ledger_path: str) -> DataFrame:
-    """Phases of each day's latest batch."""
+def read_phases(spark: SparkSession, path: str, ledger_path: str, schema=None) -> DataFrame:
+    """Phases of each day's latest batch.
+
+    With a ``schema`` the table may also be empty, as before the first phase.
+    """
     ledger = spark.read.parquet(ledger_path).select("day", "batch")
-    return spark.read.parquet(path).join(ledger, ["day", "batch"], "left_semi").drop("batch")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path).join(ledger, ["day", "batch"], "left_semi").drop("batch")
 
 
 def upsert_grid(grid: DataFrame, path: str, run: str = "init_h") -> None:
