@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from updraft import fixtures as fx
 from updraft.catalog.registry import query, rnd, rounded
 from updraft.catalog.spatial import phases_with_region
-from updraft.catalog.tracks import TO_CLEAN, TO_PHASE, clean, detected
+from updraft.catalog.tracks import TO_CLEAN, TO_PHASE, clean, detected, stored
 from updraft.operators import activity, filters, health, phases, tracks
 from updraft.sources import beacons, tables
 
@@ -162,7 +162,7 @@ STATS = "COUNT(*) AS n, ROUND(MEDIAN({c}), 3) AS climb_median_ms, ROUND(QUANTILE
 
 @query("a3_phase_summary", fx.with_sql("obs", recursive=True, body=TO_PHASE + f"SELECT {STATS.format(c='climb_rate_ms')}, ROUND(MAX(alt_top_m), 2) AS top_max_m FROM phase"))
 def _a3(spark, d):
-    out = activity.phase_summary(detected(spark, d))
+    out = activity.phase_summary(stored(detected(spark, d)))
     return rounded(out, climb_median_ms=3, climb_q90_ms=3, top_median_m=2, top_max_m=2)
 
 
@@ -173,7 +173,7 @@ def _a3(spark, d):
 )
 def _a4(spark, d):
     kind = F.when(F.col("source_id") % 3 != 0, F.col("aircraft_type"))
-    out = activity.phase_stats_by_type(detected(spark, d).withColumn("aircraft_type", kind))
+    out = activity.phase_stats_by_type(stored(detected(spark, d)).withColumn("aircraft_type", kind))
     return rounded(out, climb_median_ms=3, climb_q90_ms=3, top_median_m=2)
 
 

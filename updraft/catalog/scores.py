@@ -9,7 +9,7 @@ from updraft.catalog.beacons import parsed
 from updraft.catalog.heat import CURVE, HEATED, LOOKUP, evolution
 from updraft.catalog.registry import query, rounded
 from updraft.catalog.spatial import phases_with_region
-from updraft.catalog.tracks import TO_PHASE
+from updraft.catalog.tracks import TO_PHASE, stored
 from updraft.operators import scores, spatial
 
 BINNED = """
@@ -23,7 +23,7 @@ BINNED = """
     ROUND(top, 2) AS top_max_m, n >= 5 AS enough FROM bins"""),
 )
 def _e1(spark, d):
-    out = scores.thermal_bins(phases_with_region(spark, d))
+    out = scores.thermal_bins(stored(phases_with_region(spark, d)))
     return rounded(out, n_circles=3, climb_median_ms=3, climb_q90_ms=3, top_max_m=2)
 
 

@@ -8,6 +8,7 @@ from updraft import fixtures as fx
 from updraft.catalog.registry import query, rnd, rounded
 from updraft.functions.geo import bearing_deg, haversine_m, signed_turn
 from updraft.operators import filters, phases, tracks
+from updraft.session import cut_lineage
 
 R = "6371000.0e0"
 
@@ -105,6 +106,11 @@ def detected(spark, d):
     return phases.detect_phases(clean(spark, d))
 
 
+def stored(phases):
+    """Phases as the table the statistics read in practice, detected once."""
+    return cut_lineage(phases, "phases")
+
+
 def fix_out(df):
     return rounded(df.select("day", "source_id", "t_s", "lat", "lon", "alt_m"), lat=4, lon=4, alt_m=2)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from updraft.operators.quantiles import group_quantiles, with_quantiles
 from updraft.session import broadcast_if_small
 from updraft.sources.beacons import sender
 
@@ -106,25 +107,27 @@ def overlay_phases_on_track(fixes: DataFrame, phases: DataFrame) -> DataFrame:
 
 
 def phase_summary(phases: DataFrame) -> DataFrame:
-    """Median and 90th percentile of climb, median and highest top."""
-    return phases.agg(
-        F.count("*").alias("n"),
-        F.median("climb_rate_ms").alias("climb_median_ms"),
-        F.percentile("climb_rate_ms", 0.9).alias("climb_q90_ms"),
-        F.median("alt_top_m").alias("top_median_m"),
-        F.max("alt_top_m").alias("top_max_m"),
-    )
+    """Median and 90th percentile of climb, median and highest top, over a phase table."""
+    counted = phases.agg(F.count("*").alias("n"), F.max("alt_top_m").alias("top_max_m"))
+    wanted = {
+        "climb_median_ms": ("climb_rate_ms", 0.5),
+        "climb_q90_ms": ("climb_rate_ms", 0.9),
+        "top_median_m": ("alt_top_m", 0.5),
+    }
+    return with_quantiles(counted, group_quantiles(phases, [], wanted), [])
 
 
 def phase_stats_by_type(phases: DataFrame) -> DataFrame:
     """Per aircraft type, null included: count, climb of rising phases, median top."""
-    rising = F.when(F.col("climb_rate_ms") > 0, F.col("climb_rate_ms"))
-    return phases.groupBy("aircraft_type").agg(
-        F.count("*").alias("n"),
-        F.median(rising).alias("climb_median_ms"),
-        F.percentile(rising, 0.9).alias("climb_q90_ms"),
-        F.median("alt_top_m").alias("top_median_m"),
-    )
+    keys = ["aircraft_type"]
+    rising = phases.withColumn("_rising", F.when(F.col("climb_rate_ms") > 0, F.col("climb_rate_ms")))
+    wanted = {
+        "climb_median_ms": ("_rising", 0.5),
+        "climb_q90_ms": ("_rising", 0.9),
+        "top_median_m": ("alt_top_m", 0.5),
+    }
+    counted = phases.groupBy(*keys).agg(F.count("*").alias("n"))
+    return with_quantiles(counted, group_quantiles(rising, keys, wanted), keys)
 
 
 def class_counts(df: DataFrame, column: str, domain: tuple[str, ...]) -> DataFrame:

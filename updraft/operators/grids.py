@@ -108,11 +108,10 @@ def surface_series(
     centre = nearest_cell(cells, representative_points(regions, cell_deg))
     keys = [run, "lead_h", "var"]
     wanted = grid.where(F.col("var").isin(*variables) & F.col("lead_h").between(*leads))
-    means = region_mean(wanted, region_cell_map(cells, regions), keys)
+    cell_map = broadcast_if_small(region_cell_map(cells, regions))
+    means = region_mean(wanted, cell_map, keys)
     points = wanted.join(broadcast_if_small(centre), CELL).select("region_id", *keys, F.col("value").alias("centroid"))
-    runs = grid.select(run).distinct()
-    region_ids = F.array_sort(F.collect_set("region_id"))
-    every = runs.select(run, F.explode(regions.select(region_ids).scalar()).alias("region_id"))
+    every = grid.select(run, *CELL).distinct().join(cell_map, CELL).select(run, "region_id").distinct()
     full = scaffold(every, leads, variables)
     return full.join(points, ["region_id", *keys], "left").join(means, ["region_id", *keys], "left")
 

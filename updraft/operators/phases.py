@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from updraft.functions.geo import EARTH_RADIUS_M, bearing_deg, signed_turn
-from updraft.operators.tracks import TRACK, track_order
+from updraft.operators.tracks import TRACK, track_order, whole_track
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ def rolling_confined(
     The projection uses the mean latitude of the whole track. A window holds at
     most one fix per second, so its point list has at most 121 entries.
     """
-    track_lat = F.avg("lat").over(W.partitionBy(*TRACK))
+    track_lat = F.avg("lat").over(whole_track())
     placed = fixes.withColumn("_y", EARTH_RADIUS_M * F.radians("lat")).withColumn(
         "_x", EARTH_RADIUS_M * F.radians("lon") * F.cos(F.radians(track_lat))
     )
@@ -148,7 +148,7 @@ def phase_classify(metrics: DataFrame, settings: PhaseSettings = PhaseSettings()
 def circling_flags(fixes: DataFrame, settings: PhaseSettings = PhaseSettings()) -> DataFrame:
     """Interior fixes of tracks long enough to judge, with their circling flag."""
     s = settings
-    size = F.count(F.lit(1)).over(W.partitionBy(*TRACK))
+    size = F.count(F.lit(1)).over(whole_track())
     long_enough = fixes.withColumn("_size", size).where(F.col("_size") >= s.min_track_fixes).drop("_size")
     turned = rolling_turn(long_enough, s.turn_window_s)
     both = rolling_confined(turned, s.confine_window_s, s.confine_radius_m, s.confine_min_fixes)

@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from updraft.operators.quantiles import group_quantiles, with_quantiles
+
 MIN_SAMPLE = 5
 
 
 def thermal_bins(phases: DataFrame, bin_s: int = 1800, min_sample: int = MIN_SAMPLE) -> DataFrame:
     """Per region, day and half hour: circles, climb, highest top, sample flag."""
     start = F.floor(F.col("t_start_s") / bin_s) * bin_s
-    return phases.groupBy("region_id", "day", start.alias("bin_start_s")).agg(
+    binned = phases.withColumn("bin_start_s", start)
+    keys = ["region_id", "day", "bin_start_s"]
+    counted = binned.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.sum("n_turns").alias("n_circles"),
-        F.median("climb_rate_ms").alias("climb_median_ms"),
-        F.percentile("climb_rate_ms", 0.9).alias("climb_q90_ms"),
         F.max("alt_top_m").alias("top_max_m"),
         (F.count("*") >= min_sample).alias("enough"),
     )
+    wanted = {"climb_median_ms": ("climb_rate_ms", 0.5), "climb_q90_ms": ("climb_rate_ms", 0.9)}
+    return with_quantiles(counted, group_quantiles(binned, keys, wanted), keys)
 
 
 def regional_spread(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,16 +32,18 @@ def regional_spread(cells: DataFrame, keys: list[str]) -> DataFrame:
     Needs ``cloud, base_m, u, v``: quartiles of cloud, median and valid share of
     the convection base, mean wind vector and its variance.
     """
-    quartile = lambda p: F.percentile("cloud", p)
-    return cells.groupBy(*keys).agg(
-        quartile(0.25).alias("cloud_q25"),
-        quartile(0.5).alias("cloud_median"),
-        quartile(0.75).alias("cloud_q75"),
-        F.median("base_m").alias("base_median_m"),
+    counted = cells.groupBy(*keys).agg(
         F.avg(F.col("base_m").isNotNull().cast("double")).alias("base_share"),
         F.sqrt(F.avg("u") * F.avg("u") + F.avg("v") * F.avg("v")).alias("wind_ms"),
         (F.var_pop("u") + F.var_pop("v")).alias("wind_variance"),
     )
+    wanted = {
+        "cloud_q25": ("cloud", 0.25),
+        "cloud_median": ("cloud", 0.5),
+        "cloud_q75": ("cloud", 0.75),
+        "base_median_m": ("base_m", 0.5),
+    }
+    return with_quantiles(counted, group_quantiles(cells, keys, wanted), keys)
 
 
 def spread_by_height(cells: DataFrame, keys: list[str], value: str, class_m: int = 500) -> DataFrame:

@@ -17,6 +17,9 @@ from updraft.session import broadcast_if_small
 
 #: Cell width in degrees of the point-to-region join key.
 JOIN_CELL_DEG = 0.25
+#: Edges one cell may carry before cells are halved, and a cover to broadcast.
+MAX_CELL_EDGES = 2_000
+BROADCAST_EDGES = 2_000_000
 
 
 def cell_index(value: Column, cell_deg: float) -> Column:
@@ -24,14 +27,20 @@ def cell_index(value: Column, cell_deg: float) -> Column:
 
 
 def region_edges(regions: DataFrame) -> DataFrame:
-    """One row per polygon edge: ``region_id, ord, ring_id, x1, y1, x2, y2``."""
-    rings = regions.select("region_id", "ord", F.posexplode("rings").alias("ring_id", "ring"))
+    """One row per polygon edge: ``region_id, ord, ring_id, x1, y1, x2, y2``.
+
+    ``west`` is the region's smallest longitude.
+    """
+    west = F.array_min(F.transform(F.flatten("rings"), lambda p: p["lon"]))
+    placed = regions.select("region_id", "ord", west.alias("west"), "rings")
+    rings = placed.select("region_id", "ord", "west", F.posexplode("rings").alias("ring_id", "ring"))
     pairs = F.arrays_zip(
         F.slice("ring", F.lit(1), F.size("ring") - 1).alias("a"), F.slice("ring", F.lit(2), F.size("ring") - 1).alias("b")
     )
-    return rings.select("region_id", "ord", "ring_id", F.explode(pairs).alias("e")).select(
+    return rings.select("region_id", "ord", "west", "ring_id", F.explode(pairs).alias("e")).select(
         "region_id",
         "ord",
+        "west",
         "ring_id",
         F.col("e.a.lon").alias("x1"),
         F.col("e.a.lat").alias("y1"),
@@ -53,8 +62,7 @@ def region_cover(regions: DataFrame, cell_deg: float = JOIN_CELL_DEG) -> DataFra
     meet, so long borders are not repeated in full per cell.
     """
     edges = region_edges(regions).where("y1 <> y2")
-    west = F.min(F.least("x1", "x2")).over(W.partitionBy("region_id"))
-    reach = edges.withColumn("_west", west).select(
+    reach = edges.select(
         "*",
         F.explode(
             F.sequence(cell_index(F.least("y1", "y2"), cell_deg), cell_index(F.greatest("y1", "y2"), cell_deg))
@@ -63,7 +71,7 @@ def region_cover(regions: DataFrame, cell_deg: float = JOIN_CELL_DEG) -> DataFra
     placed = reach.select(
         "*",
         F.explode(
-            F.sequence(cell_index(F.col("_west"), cell_deg), cell_index(F.greatest("x1", "x2"), cell_deg))
+            F.sequence(cell_index(F.col("west"), cell_deg), cell_index(F.greatest("x1", "x2"), cell_deg))
         ).alias("cell_x"),
     )
     candidates = placed.groupBy("cell_x", "cell_y", "ord", "region_id").agg(
@@ -87,10 +95,29 @@ def _containing(lon: Column, lat: Column) -> Column:
     return F.filter("candidates", inside)
 
 
+def fitted_cover(regions: DataFrame, cell_deg: float) -> tuple[DataFrame, float]:
+    """Cover with cells small enough that none carries a long list of edges.
+
+    Dense borders halve the cell until the longest list is short, or until
+    halving stops helping; any cell width gives the same result. The cover is
+    offered for broadcast only when its edges, counted here, are few.
+    """
+    longest = None
+    while True:
+        cover = region_cover(regions, cell_deg)
+        edges = F.aggregate("candidates", F.lit(0), lambda n, c: n + F.size(c["edges"]))
+        found = cover.agg(F.max(edges).alias("longest"), F.sum(edges).alias("total")).first()
+        fits = found.longest is None or found.longest <= MAX_CELL_EDGES
+        if fits or (longest is not None and found.longest > 0.8 * longest):
+            small = (found.total or 0) <= BROADCAST_EDGES
+            return (F.broadcast(cover) if small else cover), cell_deg
+        longest, cell_deg = found.longest, cell_deg / 2
+
+
 def _with_hits(points: DataFrame, regions: DataFrame, lon: str, lat: str, cell_deg: float, how: str) -> DataFrame:
     # One cover row per cell: the join never multiplies points, and while the
     # cover is small enough to broadcast the points are not shuffled at all.
-    cover = broadcast_if_small(region_cover(regions, cell_deg))
+    cover, cell_deg = fitted_cover(regions, cell_deg)
     keyed = points.withColumn("cell_x", cell_index(F.col(lon), cell_deg)).withColumn(
         "cell_y", cell_index(F.col(lat), cell_deg)
     )

@@ -27,6 +27,11 @@ def track_order():
     return W.partitionBy(*TRACK).orderBy("t_s")
 
 
+def whole_track():
+    """All rows of a track, on the same sort order as :func:`track_order`."""
+    return track_order().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+
 def receiver_consensus(observations: DataFrame) -> DataFrame:
     """One fix per aircraft and GPS second: the median over its receivers.
 
@@ -112,7 +117,7 @@ def spike_reject(
 
 def min_fixes(fixes: DataFrame, n: int = MIN_FIXES) -> DataFrame:
     """Tracks with at least ``n`` fixes."""
-    size = F.count(F.lit(1)).over(W.partitionBy(*TRACK))
+    size = F.count(F.lit(1)).over(whole_track())
     return fixes.withColumn("_size", size).where(F.col("_size") >= n).drop("_size")
 
 
