@@ -188,9 +188,9 @@ def _b2(spark, d):
 @query(
     "b3_alert_text",
     fx.with_sql("job_attempt", body=STATE + THRESHOLDS + ALERTS + """SELECT job, CONCAT_WS(' — ', '[' || UPPER(kind) || '] ' || job,
-    CASE kind WHEN 'missing' THEN 'no heartbeat recorded (job never ran?)' WHEN 'stale' THEN 'last attempt ' || PRINTF('%.1f', age / 3600.0e0) || ' h ago, threshold ' || PRINTF('%.1f', threshold_s / 3600.0e0) || ' h'
-      ELSE 'status=fail for ' || PRINTF('%.1f', streak / 3600.0e0) || ' h (streak start ' || STRFTIME(since, '%Y-%m-%dT%H:%M:%SZ') || ')' END,
-    CASE kind WHEN 'stale' THEN 'age=' || PRINTF('%.1f', age / 60.0e0) || ' min' WHEN 'stuck-fail' THEN 'age=' || PRINTF('%.1f', streak / 60.0e0) || ' min' END,
+    CASE kind WHEN 'missing' THEN 'no heartbeat recorded (job never ran?)' WHEN 'stale' THEN 'last attempt ' || PRINTF('%.1f', FLOOR(age / 3600.0e0 * 10 + 0.5e0) / 10) || ' h ago, threshold ' || PRINTF('%.1f', FLOOR(threshold_s / 3600.0e0 * 10 + 0.5e0) / 10) || ' h'
+      ELSE 'status=fail for ' || PRINTF('%.1f', FLOOR(streak / 3600.0e0 * 10 + 0.5e0) / 10) || ' h (streak start ' || STRFTIME(since, '%Y-%m-%dT%H:%M:%SZ') || ')' END,
+    CASE kind WHEN 'stale' THEN 'age=' || PRINTF('%.1f', FLOOR(age / 60.0e0 * 10 + 0.5e0) / 10) || ' min' WHEN 'stuck-fail' THEN 'age=' || PRINTF('%.1f', FLOOR(streak / 60.0e0 * 10 + 0.5e0) / 10) || ' min' END,
     'last_ok=' || STRFTIME(last_success, '%Y-%m-%dT%H:%M:%SZ')) AS text FROM alert WHERE kind IS NOT NULL"""),
 )
 def _b3(spark, d):

@@ -16,11 +16,7 @@ POSITION = (
     r"^([^>]+)>[^:]*:(?:/(\d{2})(\d{2})(\d{2})h|!)"
     r"(\d{2})(\d{2}\.\d{2})([NS])(.)(\d{3})(\d{2}\.\d{2})([EW])(.)(.*)$"
 )
-COURSE_SPEED = r"^(\d{3})/(\d{3})"
-ALTITUDE = r"/A=(-?\d{5,6})"
-EXTRA_DIGITS = r"!W(\d)(\d)!"
 IDENT = r"\bid([0-9A-Fa-f]{2})[0-9A-Fa-f]{6}"
-CLIMB = r"([+-]\d+)fpm"
 
 
 def with_receive_time(log: DataFrame) -> DataFrame:
@@ -29,7 +25,8 @@ def with_receive_time(log: DataFrame) -> DataFrame:
     A malformed JSON line reads as nulls and goes with them.
     """
     usable = log.where(F.col("raw").isNotNull() & (F.length("ts_recv") >= 13))
-    stamped = usable.withColumn("ts_recv", F.try_to_timestamp("ts_recv"))
+    # Parsed once per row, not once per later use (see parse_beacons).
+    stamped = usable.withColumn("ts_recv", F.explode(F.array(F.try_to_timestamp("ts_recv"))))
     return stamped.where(F.col("ts_recv").isNotNull()).withColumn("day", F.to_date("ts_recv"))
 
 
@@ -57,9 +54,28 @@ def read_compacted(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("ts_recv TIMESTAMP, raw STRING, day DATE").parquet(path)
 
 
-def _number(text: Column, pattern: str, group: int = 1) -> Column:
-    """First match as a number, null where the pattern is absent."""
-    return F.regexp_extract(text, pattern, group).try_cast("double")
+def _after(text: Column, mark: str, skip: int, length: int) -> Column:
+    """Number in the ``length`` characters that follow a mark, null without it.
+
+    Plain string functions: comment fields have fixed widths, and patterns cost
+    several times as much per line.
+    """
+    at = F.instr(text, mark)
+    return F.when(at > 0, F.substring(text, at + F.lit(len(mark) + skip), F.lit(length)).try_cast("double"))
+
+
+def _course_speed(text: Column) -> tuple[Column, Column]:
+    present = F.substring(text, 4, 1) == "/"
+    return (
+        F.when(present, F.substring(text, 1, 3).try_cast("double")),
+        F.when(present, F.substring(text, 5, 3).try_cast("double")),
+    )
+
+
+def _climb_fpm(text: Column) -> Column:
+    """Signed number right before ``fpm``."""
+    word = F.substring_index(F.substring_index(text, "fpm", 1), " ", -1)
+    return F.when(F.instr(text, "fpm") > 0, word.try_cast("double"))
 
 
 def sender(raw: Column) -> Column:
@@ -88,8 +104,9 @@ def parse_beacons(log: DataFrame) -> DataFrame:
         return F.col("_p")[i - 2]
 
     rest = piece(13)
-    extra_lat = F.coalesce(_number(rest, EXTRA_DIGITS, 1), F.lit(0.0))
-    extra_lon = F.coalesce(_number(rest, EXTRA_DIGITS, 2), F.lit(0.0))
+    extra_lat = F.coalesce(_after(rest, "!W", 0, 1), F.lit(0.0))
+    extra_lon = F.coalesce(_after(rest, "!W", 1, 1), F.lit(0.0))
+    course, speed = _course_speed(rest)
     lat = piece(5).cast("double") + (piece(6).cast("double") + extra_lat * 0.001) / 60.0
     lon = piece(9).cast("double") + (piece(10).cast("double") + extra_lon * 0.001) / 60.0
     flags = F.conv(F.nullif(F.regexp_extract(rest, IDENT, 1), F.lit("")), 16, 10).cast("int")
@@ -100,23 +117,22 @@ def parse_beacons(log: DataFrame) -> DataFrame:
         .when(raw.rlike(r"^[^>#]+>[^:]*:>"), "status")
         .otherwise("other")
     )
-    return fields.select(
-        "day",
+    values = F.struct(
         sender(raw).alias("source_id"),
         kind.alias("kind"),
         F.shiftright(flags, 2).bitwiseAND(F.lit(15)).alias("aircraft_type"),
-        "ts_recv",
         piece(2).try_cast("int").alias("packet_h"),
         piece(3).try_cast("int").alias("packet_m"),
         piece(4).try_cast("int").alias("packet_s"),
         F.when(piece(7) == "S", -lat).otherwise(lat).alias("lat"),
         F.when(piece(11) == "W", -lon).otherwise(lon).alias("lon"),
-        (_number(rest, ALTITUDE) * FEET_M).alias("alt_m"),
-        (_number(rest, CLIMB) * FPM_MS).alias("climb_ms"),
-        (_number(rest, COURSE_SPEED, 2) * KNOT_KMH).alias("speed_kmh"),
-        _number(rest, COURSE_SPEED, 1).alias("course_deg"),
-        "raw",
+        (_after(rest, "/A=", 0, 6) * FEET_M).alias("alt_m"),
+        (_climb_fpm(rest) * FPM_MS).alias("climb_ms"),
+        (speed * KNOT_KMH).alias("speed_kmh"),
+        course.alias("course_deg"),
     )
+    # Again one explode: later filters test finished fields.
+    return fields.select("day", "ts_recv", "raw", F.inline(F.array(values)))
 
 
 def gps_timestamp(parsed: DataFrame, midnight_fix: bool = False) -> DataFrame:
