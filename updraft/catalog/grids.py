@@ -34,7 +34,7 @@ def cells(spark, d):
     fx.with_sql("grid_cell", "region_box", body=CENTRE + MAP + "SELECT region_id, init_h, lead_h, var, ROUND(mean, 4) AS mean FROM means"),
 )
 def _g1(spark, d):
-    cell_map = grids.region_cell_map(cells(spark, d), fx.region(spark, d))
+    cell_map = grids.region_cell_map(cells(spark, d), fx.region(spark, d), require_all=False)
     return rounded(grids.region_mean(fx.grid_cell(spark, d), cell_map, ["init_h", "lead_h", "var"]), mean=4)
 
 
@@ -46,13 +46,13 @@ def _g2(spark, d):
 
 
 SERIES = CENTRE + MAP + """
-, full_set AS (SELECT region_id, init_h, CAST(lead_h AS INT) AS lead_h, var FROM region_box, (SELECT DISTINCT init_h FROM grid_cell), range(0, 8) l(lead_h), (VALUES ('asob_s'), ('cape_ml'), ('htop_dc'), ('tot_prec')) v(var))
+, full_set AS (SELECT region_id, init_h, CAST(lead_h AS INT) AS lead_h, var FROM (SELECT DISTINCT region_id, init_h FROM grid_cell JOIN cell_map USING (lat_i, lon_i)), range(0, 8) l(lead_h), (VALUES ('asob_s'), ('cape_ml'), ('htop_dc'), ('tot_prec')) v(var))
 , pts AS (SELECT region_id, init_h, lead_h, var, value AS centroid FROM grid_cell JOIN centre USING (lat_i, lon_i))
 , series AS (SELECT f.*, centroid, mean FROM full_set f LEFT JOIN pts USING (region_id, init_h, lead_h, var) LEFT JOIN means USING (region_id, init_h, lead_h, var))"""
 
 
 def series(spark, d):
-    return grids.surface_series(fx.grid_cell(spark, d), fx.region(spark, d), (0, 7), VARS, cell_deg=0.1)
+    return grids.surface_series(fx.grid_cell(spark, d), fx.region(spark, d), (0, 7), VARS, cell_deg=0.1, require_all=False)
 
 
 @query(
@@ -338,41 +338,43 @@ def _g16(spark, d):
     return rounded(grids.interp_profile(fx.profile(spark, d), ["region_id"], ["theta_k"], 100, 0, 6000), theta_k=4)
 
 
+STATION = "(p_partkey % 60 < 20 OR p_partkey % 3 = 0)"
+
+
 def _layers_sql(tag: str, where: str) -> str:
     return f"""
-, src_{tag} AS (SELECT CAST(p_partkey % 25 AS INT) AS region_id, 250.0e0 + 45.0e0 * FLOOR(p_partkey / 25.0e0) AS h, 295.0e0 - 0.2e0 * FLOOR(p_partkey / 25.0e0) AS t,
-    296.0e0 - 0.2e0 * FLOOR(p_partkey / 25.0e0) - 0.4e0 * p_size AS td FROM part WHERE {where})
+, src_{tag} AS (SELECT CAST(FLOOR(p_partkey / 60.0e0) AS BIGINT) AS region_id, 250.0e0 + 45.0e0 * (p_partkey % 60) AS h, 295.0e0 - 0.2e0 * (p_partkey % 60) AS t,
+    296.0e0 - 0.2e0 * (p_partkey % 60) - 0.4e0 * p_size AS td FROM part WHERE {where})
 , ends_{tag} AS (SELECT region_id, MIN(h) AS z0, MAX(h) AS z1, ARG_MIN(t, h) AS t0, ARG_MAX(t, h) AS t1, ARG_MIN(td, h) AS td0, ARG_MAX(td, h) AS td1 FROM src_{tag} GROUP BY 1)
 , pairs_{tag} AS (SELECT *, LEAD(h) OVER w AS z_up, LEAD(t) OVER w AS t_up, LEAD(td) OVER w AS td_up FROM src_{tag} WINDOW w AS (PARTITION BY region_id ORDER BY h))
-, lay_{tag} AS (SELECT e.region_id, z_m, CASE WHEN z_m <= z0 THEN t0 WHEN z_m >= z1 THEN t1 ELSE p.t + (z_m - p.h) / (p.z_up - p.h) * (p.t_up - p.t) END AS t,
-    CASE WHEN z_m <= z0 THEN td0 WHEN z_m >= z1 THEN td1 ELSE p.td + (z_m - p.h) / (p.z_up - p.h) * (p.td_up - p.td) END AS td,
-    CASE WHEN z_m >= z0 AND z_m <= z1 THEN 1.0e0 ELSE 0.0e0 END AS ok
+, lay_{tag} AS (SELECT e.region_id, z_m, CASE WHEN z_m <= z0 THEN t0 WHEN z_m >= z1 THEN t1 ELSE p.t + (z_m - p.h) / (p.z_up - p.h) * (p.t_up - p.t) END AS t_{tag},
+    CASE WHEN z_m <= z0 THEN td0 WHEN z_m >= z1 THEN td1 ELSE p.td + (z_m - p.h) / (p.z_up - p.h) * (p.td_up - p.td) END AS td_{tag},
+    CASE WHEN z_m >= z0 AND z_m <= z1 THEN 1.0e0 ELSE 0.0e0 END AS ok_{tag}
     FROM ends_{tag} e CROSS JOIN (SELECT CAST(z AS INT) AS z_m FROM range(200, 5100, 100) r(z)) LEFT JOIN pairs_{tag} p ON p.region_id = e.region_id AND p.h <= z_m AND z_m < p.z_up)"""
 
 
 @query(
     "g17_blend_soundings",
-    "WITH" + _layers_sql("st", "p_partkey % 3 = 0")[2:] + _layers_sql("rs", "p_partkey % 3 <> 0 AND p_partkey >= 500") + """
-    , w AS (SELECT region_id, z_m, s.t AS st, s.td AS std, r.t AS rt, r.td AS rtd, s.ok AS sok, r.ok AS rok,
-        LEAST(1.0e0, z_m / 2300.0e0) * r.ok AS wr, (1.0e0 - LEAST(1.0e0, z_m / 2300.0e0)) * s.ok AS ws FROM lay_st s JOIN lay_rs r USING (region_id, z_m))
+    "WITH" + _layers_sql("st", STATION)[2:] + _layers_sql("rs", "NOT " + STATION) + """
+    , j AS (SELECT region_id, z_m, COALESCE(t_st, 0) AS st, COALESCE(td_st, 0) AS std, COALESCE(t_rs, 0) AS rt, COALESCE(td_rs, 0) AS rtd, COALESCE(ok_st, 0) AS sok, COALESCE(ok_rs, 0) AS rok FROM lay_st FULL JOIN lay_rs USING (region_id, z_m))
+    , w AS (SELECT *, LEAST(1.0e0, z_m / 2300.0e0) * rok AS wr, (1.0e0 - LEAST(1.0e0, z_m / 2300.0e0)) * sok AS ws FROM j)
     , f AS (SELECT *, CASE WHEN wr + ws = 0 THEN rok ELSE wr END AS fr, CASE WHEN wr + ws = 0 AND rok = 0 THEN sok ELSE ws END AS fs FROM w)
     , m AS (SELECT region_id, z_m, CASE WHEN fr + fs > 0 THEN (fs * st + fr * rt) / (fr + fs) END AS t, CASE WHEN fr + fs > 0 THEN (fs * std + fr * rtd) / (fr + fs) END AS td FROM f)
     SELECT region_id, z_m, ROUND(t, 4) AS t_k, ROUND(CASE WHEN td > t THEN t ELSE td END, 4) AS td_k FROM m""",
 )
 def _g17(spark, d):
     key = F.col("p_partkey")
-    level = F.floor(key / F.lit(25.0))
+    level = key % 60
     src = fx.table(spark, d, "part").select(
-        "p_partkey", (key % 25).cast("int").alias("region_id"), (250.0 + 45.0 * level).alias("height_m"),
-        (295.0 - 0.2 * level).alias("t_k"), (296.0 - 0.2 * level - 0.4 * F.col("p_size")).alias("td_k"),
+        F.floor(key / F.lit(60.0)).alias("region_id"), ((level < 20) | (key % 3 == 0)).alias("station"),
+        (250.0 + 45.0 * level).alias("height_m"), (295.0 - 0.2 * level).alias("t_k"),
+        (296.0 - 0.2 * level - 0.4 * F.col("p_size")).alias("td_k"),
     )
 
     def layered(df):
         return grids.interp_profile(df, ["region_id"], ["t_k", "td_k"], 100, 200, 5000)
 
-    blended = grids.blend_soundings(
-        layered(src.where(key % 3 == 0)), layered(src.where((key % 3 != 0) & (key >= 500))), ["region_id"]
-    )
+    blended = grids.blend_soundings(layered(src.where("station")), layered(src.where("NOT station")), ["region_id"])
     return rounded(blended.select("region_id", "z_m", "t_k", "td_k"), t_k=4, td_k=4)
 
 

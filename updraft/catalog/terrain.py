@@ -67,7 +67,8 @@ REP = """
     FROM region_box b JOIN rep r ON r.region_id = b.region_id LEFT JOIN relief f ON f.region_id = b.region_id AND b.region_id % 7 <> 3"""),
 )
 def _r5(spark, d):
-    partial = relief(spark, d).where("region_id % 7 <> 3")
+    known = F.when(F.col("region_id") % 7 != 3, F.col("elev_range_m"))
+    partial = relief(spark, d).withColumn("elev_range_m", known)
     out = terrain.terrain_classes(fx.region(spark, d), groups(spark, d), partial, 0.1)
     return out.select("region_id", "terrain_type")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from updraft.functions.air import potential_temperature, standard_pressure
 from updraft.operators.spatial import points_in_regions, representative_points
-from updraft.session import broadcast_if_small
+from updraft.session import broadcast_if_small, cut_lineage
 
 CELL = ["lat_i", "lon_i"]
 
@@ -99,19 +99,24 @@ def surface_series(
     variables: tuple[str, ...],
     run: str = "init_h",
     cell_deg: float = 0.05,
+    require_all: bool = True,
 ) -> DataFrame:
     """Value at the centre cell and mean over the region, per run, lead and variable.
 
-    Absent fields come out as null rows, so every series is complete.
+    Absent fields come out as null rows, so every series is complete. A region
+    without grid cells is an error, or left out when ``require_all`` is off.
     """
-    cells = grid.select(*CELL, "lat", "lon").distinct()
+    # The cells of each run and the region map are static and small next to the
+    # fields: stored once, so the fields are not scanned again for them.
+    run_cells = cut_lineage(grid.select(run, *CELL, "lat", "lon").distinct(), "cells")
+    cells = run_cells.drop(run).distinct()
+    cell_map = cut_lineage(region_cell_map(cells, regions, require_all), "cell-map")
     centre = nearest_cell(cells, representative_points(regions, cell_deg))
     keys = [run, "lead_h", "var"]
     wanted = grid.where(F.col("var").isin(*variables) & F.col("lead_h").between(*leads))
-    cell_map = broadcast_if_small(region_cell_map(cells, regions))
     means = region_mean(wanted, cell_map, keys)
     points = wanted.join(broadcast_if_small(centre), CELL).select("region_id", *keys, F.col("value").alias("centroid"))
-    every = grid.select(run, *CELL).distinct().join(cell_map, CELL).select(run, "region_id").distinct()
+    every = run_cells.join(broadcast_if_small(cell_map), CELL).select(run, "region_id").distinct()
     full = scaffold(every, leads, variables)
     return full.join(points, ["region_id", *keys], "left").join(means, ["region_id", *keys], "left")
 
