@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from updraft.functions.air import clip
 from updraft.operators import spatial
 from updraft.operators.grids import stop_unless
-from updraft.session import broadcast_if_small
+from updraft.session import broadcast_if_small, cut_lineage
 
 BIN_M = 100
 
@@ -284,7 +284,7 @@ def border_minimum(pixels: DataFrame, regions: DataFrame, pairs: DataFrame, tole
         "lon", "lat", "elev_m",
         spatial.cell_index(lon, cell).alias("cell_x"), spatial.cell_index(lat, cell).alias("cell_y"),
     )
-    met = placed.join(broadcast_if_small(borders), ["cell_x", "cell_y"])
+    met = placed.join(broadcast_if_small(cut_lineage(borders, "borders")), ["cell_x", "cell_y"])
     close = F.filter(
         "_pieces",
         lambda s: spatial.point_segment_distance(lon, lat, s["x1"], s["y1"], s["x2"], s["y2"]) <= tolerance_deg,
@@ -293,7 +293,8 @@ def border_minimum(pixels: DataFrame, regions: DataFrame, pairs: DataFrame, tole
     near = met.select("elev_m", ids.alias("_ids")).where(F.size("_ids") >= 2)
     sided = near.select("elev_m", "_ids", F.explode("_ids").alias("region_a"))
     both = sided.select("elev_m", "region_a", F.explode("_ids").alias("region_b"))
-    wanted = both.join(broadcast_if_small(pairs.select("region_a", "region_b")), ["region_a", "region_b"], "left_semi")
+    asked = broadcast_if_small(cut_lineage(pairs.select("region_a", "region_b"), "pairs"))
+    wanted = both.join(asked, ["region_a", "region_b"], "left_semi")
     return wanted.groupBy("region_a", "region_b").agg(F.min("elev_m").alias("threshold_z_m"))
 
 

@@ -25,6 +25,10 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.driver.memory", conf.pop("driver_memory", "12g"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Test tables are a few MB: without this their stages shrink to one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # Call-site capture per column expression costs seconds on long plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
