@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from updraft.llm import exact_dedup, minhash_dedup
+from updraft.llm import exact_dedup, minhash_dedup, packing, token_files
 from updraft.llm.common import table
 
 #: Word shingles of the near-duplicate query.
 QUERY_SHINGLE_WORDS = 4
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*exact_dedup.VERDICT)
 
@@ -19,5 +27,5 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_components(table(spark, sf_dir, "documents"), QUERY_SHINGLE_WORDS)
 
 
-QUERIES = {f.__name__: f for f in (op8_exact_dedup, op9_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op5_packing, op6_token_output, op8_exact_dedup, op9_minhash_dedup)}
 ORACLES = {"op8_exact_dedup": exact_dedup.SQL}
