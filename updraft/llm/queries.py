@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from updraft.llm import exact_dedup, minhash_dedup, packing, token_files
+from updraft.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, token_files
 from updraft.llm.common import table
 
 #: Word shingles of the near-duplicate query.
 QUERY_SHINGLE_WORDS = 4
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,5 +31,5 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_components(table(spark, sf_dir, "documents"), QUERY_SHINGLE_WORDS)
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_token_output, op8_exact_dedup, op9_minhash_dedup)}
-ORACLES = {"op8_exact_dedup": exact_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op5_packing, op6_token_output, op8_exact_dedup, op9_minhash_dedup)}
+ORACLES = {"op1_embedding_dedup": embedding_dedup.SQL, "op8_exact_dedup": exact_dedup.SQL}
