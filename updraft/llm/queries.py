@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from updraft.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, token_files
+from updraft.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, secrets, token_files
 from updraft.llm.common import table
 
 #: Word shingles of the near-duplicate query.
@@ -23,6 +23,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*exact_dedup.VERDICT)
 
@@ -31,5 +35,5 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_components(table(spark, sf_dir, "documents"), QUERY_SHINGLE_WORDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op5_packing, op6_token_output, op8_exact_dedup, op9_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op5_packing, op6_token_output, op7_secrets, op8_exact_dedup, op9_minhash_dedup)}
 ORACLES = {"op1_embedding_dedup": embedding_dedup.SQL, "op8_exact_dedup": exact_dedup.SQL}
