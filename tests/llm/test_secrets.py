@@ -53,7 +53,7 @@ def test_checked_kinds():
 
 
 def test_table(spark):
-    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = secrets.secret_spans(docs).collect()
     assert len(rows) == len(texts) and sum(r.n_assign + r.n_access + r.n_hex for r in rows) > 0

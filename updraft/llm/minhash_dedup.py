@@ -6,9 +6,11 @@ is a pair, one value from each collection, so ``side * side`` tables cost only
 document shares: without a shared value in both collections no table can match.
 
 Candidates are checked on full shingle sets in two rounds. The first checks each
-document against the head it shares most tables with. The second checks, within
-each table entry, the pairs whose ends are not yet in one component. So a group
-of n near copies costs about n checks and no link between two components is lost.
+document against the best-connected document of the tables they share. The
+second looks at what is left: within each table entry, pairs whose ends are not
+yet in one component, whose set sizes allow the similarity and whose MinHash
+sketches do not rule it out. So a group of n near copies costs about n checks
+and no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -31,17 +33,23 @@ WIDTH = 5
 #: Band values per collection and MinHash values per band. At similarity 0.8 a
 #: pair meets in no table with probability 2 * (1 - 0.8**ROWS)**SIDE = 0.0004.
 SIDE, ROWS = 12, 3
+#: Hashes of the sketch, one byte of each; the bands use the first of them.
+SKETCH = 192
+#: Standard deviations by which a sketch may fall short of the similarity.
+SLACK = 4.5
 #: Members checked against one copy of their head's text.
 BLOCK = 256
+#: Documents of one table entry that are compared in one step.
+ENTRY_BLOCK = 512
 
-_N_HASHES = 2 * SIDE * ROWS
+_N_HASHES = SKETCH
 _RNG = np.random.default_rng(977)
 _MULTIPLY = _RNG.integers(0, 1 << 63, _N_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, _N_HASHES, dtype=np.uint64)
 
 
-def band_values(sets: list[np.ndarray]) -> np.ndarray:
-    """The 2 * SIDE band values of each non-empty set, one row each."""
+def band_values(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The 2 * SIDE band values and the sketch of each non-empty set, one row each."""
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     everything = np.concatenate(sets)
@@ -50,8 +58,9 @@ def band_values(sets: list[np.ndarray]) -> np.ndarray:
         least[k] = np.minimum.reduceat(everything * _MULTIPLY[k] + _ADD[k], starts)
     bands = np.zeros((2 * SIDE, len(sets)), np.uint64)
     for r in range(ROWS):
-        bands = mix64(bands + least[r::ROWS] + np.uint64(r + 1))
-    return bands.T.view(np.int64)
+        bands = mix64(bands + least[r : 2 * SIDE * ROWS : ROWS] + np.uint64(r + 1))
+    sketch = (mix64(least) & np.uint64(255)).astype(np.uint8)
+    return (bands.T >> np.uint64(32)).astype(np.uint32), np.ascontiguousarray(sketch.T)
 
 
 def _signatures(width: int):
@@ -60,23 +69,25 @@ def _signatures(width: int):
             sets = shingle_sets(batch["text"].tolist(), width)
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
+            sketches: list = [None] * len(sets)
             for at in range(0, len(full), 64):
                 part = full[at : at + 64]
-                for i, row in zip(part, band_values([sets[i] for i in part]), strict=True):
-                    bands[i] = row
+                for i, band, sketch in zip(part, *band_values([sets[i] for i in part]), strict=True):
+                    bands[i], sketches[i] = band.view(np.int32), sketch.tobytes()
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
                 "n_shingles": [len(s) for s in sets],
                 "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 "bands": bands,
+                "sketch": sketches,
             })
 
     return run
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, a digest of the whole set, and the band values."""
-    schema = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+    """doc_id, n_shingles, a digest of the whole set, the band values and the sketch."""
+    schema = "doc_id long, n_shingles long, set_key binary, bands array<int>, sketch binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_signatures(width), schema)
 
 
@@ -109,7 +120,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     members = pairs.join(per_head, "head").select("head", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), "doc")
     heads = per_head.select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("head").alias("doc"))
     rows = members.unionByName(heads).join(texts, "doc")
-    # A block without members, or whose head comes later, would be an error: the head sorts first.
+    # The head sorts before the members of its block.
     dealt = rows.repartition("head", "block").withColumn("member", F.col("doc") != F.col("head"))
     ordered = dealt.sortWithinPartitions("head", "block", "member").select("head", "doc", "text")
     return ordered.mapInPandas(_check(width, percent), "u long, v long")
@@ -124,17 +135,19 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """
     signed = cut_lineage(signatures(docs, width), "signed")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    # Equal sets have equal band values, so any row of a class stands for it.
-    classes = usable.groupBy("set_key").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
-    )
-    classes = cut_lineage(classes, "classes")
-    keys = cut_lineage(table_keys(classes), "keys")
+    # Equal sets have equal signatures, so any row of a class stands for it.
+    first = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]
+    classes = cut_lineage(usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), *first), "classes")
+    entries = cut_lineage(shared_entries(classes), "entries")
+    # The texts of all documents that may be checked, once. Both sides can be large: no broadcast.
+    wanted = entries.select(F.col("node").alias("doc")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    texts = texts.join(wanted.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"])
+    texts = cut_lineage(texts, "texts")
 
-    links = _first_round(keys, texts, width, percent)
+    links = cut_lineage(confirmed(_stars(entries), texts, width, percent), "links")
     known = connected_components(links)
-    more = _second_round(keys, known, classes, texts, width, percent)
+    more = cut_lineage(confirmed(_facing(entries, known, classes, percent), texts, width, percent), "links")
     if not more.isEmpty():
         known = connected_components(links.unionByName(more))
     by_class = classes.select("set_key", "node").join(known, "node", "left")
@@ -146,8 +159,11 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
 
 
-def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, node): the table entries that a class may share with another one."""
+def shared_entries(classes: DataFrame) -> DataFrame:
+    """(key, node, weight): the table entries that two classes or more share.
+
+    ``weight`` is a node's number of neighbours, counted over all its entries.
+    """
     halves = classes.select("node", F.posexplode("bands").alias("band", "value"))
     shared = halves.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     live = halves.join(shared, ["band", "value"], "left_semi")
@@ -158,36 +174,81 @@ def table_keys(classes: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("band") >= SIDE, value)).alias("right"),
     )
     crossed = sides.select("node", F.explode("left").alias("l"), "right").select("node", "l", F.explode("right").alias("r"))
-    return crossed.select(F.xxhash64("l.band", "l.value", "r.band", "r.value").alias("key"), "node")
+    code = F.col("l.band") * SIDE + F.col("r.band") - SIDE
+    keys = crossed.select(F.xxhash64("l.band", "l.value", "r.band", "r.value").alias("key"), code.alias("tab"), "node")
+    keys = cut_lineage(keys, "keys")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    entries = keys.join(sizes, "key")
+    weights = entries.groupBy("node").agg(F.sum(F.col("size") - 1).alias("weight"))
+    return entries.join(weights, "node").select("key", "tab", "node", "size", "weight")
+
+
+def _stars(entries: DataFrame) -> DataFrame:
+    """Each node with the head it shares most entries with; an entry's head has most neighbours."""
+    heads = entries.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("head"))
+    votes = entries.join(heads, "key").where("node <> head").groupBy("node", "head").agg(F.count("*").alias("tables"))
+    best = votes.groupBy("node").agg(F.max_by("head", F.struct("tables", -F.col("head"))).alias("head"))
+    return cut_lineage(best.select("head", F.col("node").alias("doc")), "stars")
+
+
+def _compared(percent: int):
+    """Candidate pairs within table entries, each pair in the first entry that it shares."""
+    enough = percent / 100 - SLACK * np.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        lo, hi, tab = (int(group[c].iloc[0]) for c in ("lo", "hi", "tab"))
+        side, node, part, n = (group[c].to_numpy() for c in ("block", "node", "part", "n_shingles"))
+        a, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        fits = (part[a][:, None] != part[b]) & (
+            100 * np.minimum(n[a][:, None], n[b]) >= percent * np.maximum(n[a][:, None], n[b])
+        )
+        if lo == hi:
+            fits &= a[:, None] < b
+        x, y = np.nonzero(fits)
+        x, y = a[x], b[y]
+        if len(x):
+            bands = np.array(group["bands"].tolist(), np.int32)
+            sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), SKETCH)
+            keep = np.zeros(len(x), bool)
+            for at in range(0, len(x), 1 << 14):
+                i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+                same = bands[i] == bands[j]
+                first = same[:, :SIDE].argmax(axis=1) * SIDE + same[:, SIDE:].argmax(axis=1) == tab
+                keep[at : at + len(i)] = first & ((sketch[i] == sketch[j]).mean(axis=1) >= enough)
+            x, y = x[keep], y[keep]
+        return pd.DataFrame({"head": np.minimum(node[x], node[y]), "doc": np.maximum(node[x], node[y])})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # the last group of a batch may go on in the next one
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            keys = rows[["key", "lo", "hi"]].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+            found = [pairs(rows.iloc[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
+            rest = rows.iloc[starts[-1] :]
+            if found:
+                yield pd.concat(found, ignore_index=True)
+        if rest is not None:
+            yield pairs(rest)
 
+    return run
 
-def _first_round(keys: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    votes = keys.join(heads, "key").where("node <> head").groupBy("node", "head").agg(F.count("*").alias("tables"))
-    best = votes.groupBy("node").agg(F.max_by("head", F.struct("tables", -F.col("head"))).alias("head"))
-    pairs = cut_lineage(best.select("head", F.col("node").alias("doc")), "stars")
-    return cut_lineage(confirmed(pairs, _of(pairs, texts), width, percent), "links")
-
-
-def _second_round(keys: DataFrame, known: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    placed = keys.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    members = cut_lineage(placed.join(mixed, "key", "left_semi").join(classes.select("node", "n"), "node"), "mixed")
-    # Only ends in different components meet: the parts pair up first, then their members.
-    parts = members.select("key", "part").distinct()
-    facing = parts.withColumnRenamed("part", "part_a").join(parts.withColumnRenamed("part", "part_b"), "key").where("part_a < part_b")
-    a, b = (members.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("part", "node", "n")]) for x in "ab")
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    met = facing.join(a, ["key", "part_a"]).join(b, ["key", "part_b"]).where(near)
-    pairs = met.select(F.least("node_a", "node_b").alias("head"), F.greatest("node_a", "node_b").alias("doc")).distinct()
-    pairs = cut_lineage(pairs, "pairs")
-    return cut_lineage(confirmed(pairs, _of(pairs, texts), width, percent), "links")
-
-
-def _of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """One text for each document that takes part in a pair."""
-    wanted = pairs.select(F.col("head").alias("doc")).unionByName(pairs.select("doc")).distinct()
-    return texts.join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
+
+def _facing(entries: DataFrame, known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (head, doc) whose ends are in different components."""
+    placed = entries.join(known, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    mixed = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("size"))
+    mixed = mixed.where("least < most").select("key", F.ceil(F.col("size") / ENTRY_BLOCK).alias("blocks"))
+    members = placed.select("key", "tab", "node", "part").join(mixed, "key")
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = members.select("*", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    full = dealt.join(classes.select("node", "n_shingles", "bands", "sketch"), "node")
+    ordered = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    ordered = ordered.select("key", "lo", "hi", "tab", "block", "node", "part", "n_shingles", "bands", "sketch")
+    return cut_lineage(ordered.mapInPandas(_compared(percent), "head long, doc long"), "pairs")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -1,8 +1,8 @@
 """Binary token files: concatenated ids with Elias-Fano document boundaries.
 
-A file is the magic text, three lengths, then the ids as little-endian unsigned
-32-bit integers, the boundaries and the document numbers. Both of the latter are
-Elias-Fano coded, so no table of 64-bit offsets exists. Documents lie in
+A file is the magic text, the bytes per id, three lengths, then the ids as
+little-endian unsigned integers (two bytes each while the vocabulary allows it),
+the boundaries and the document numbers. Both of the latter are Elias-Fano coded, so no table of 64-bit offsets exists. Documents lie in
 ascending order of their id, within each file and from file to file.
 
 Files are written by the tasks straight to the shared folder. An attempt uses a
@@ -28,32 +28,38 @@ from updraft.llm.common import cut_lineage, scratch_path
 from updraft.llm.elias_fano import EliasFano
 
 MAGIC = b"TOKIDS01"
-_LENGTHS = struct.Struct("<3Q")
+_LENGTHS = struct.Struct("<B3Q")
 #: Ids after which a task closes its file and opens the next one.
 FILE_IDS = 4_000_000
 #: Documents that have no id stand before all others, under this number.
 NO_ID = -(1 << 62)
 
 
-def pack_file(ids: bytes, ends: np.ndarray, numbers: np.ndarray) -> bytes:
+def narrow(ids: np.ndarray) -> np.ndarray:
+    return ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids
+
+
+def pack_file(ids: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> bytes:
     """``ends``: ids up to and with each document; ``numbers``: ascending document numbers."""
+    ids = narrow(ids)
+    width, body = ids.itemsize, ids.tobytes()
     least = int(numbers[0]) if len(numbers) else 0
     boundaries = EliasFano.encode(ends).to_bytes()
     docs = struct.pack("<q", least) + EliasFano.encode(numbers - least).to_bytes()
-    return MAGIC + _LENGTHS.pack(len(ids), len(boundaries), len(docs)) + ids + boundaries + docs
+    return MAGIC + _LENGTHS.pack(width, len(body), len(boundaries), len(docs)) + body + boundaries + docs
 
 
 def unpack_file(data: bytes) -> tuple[np.ndarray, EliasFano, np.ndarray]:
     """The ids, the boundaries with their select, and the document numbers."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token file")
-    sizes = _LENGTHS.unpack_from(data, len(MAGIC))
+    width, *sizes = _LENGTHS.unpack_from(data, len(MAGIC))
     at = np.cumsum([len(MAGIC) + _LENGTHS.size, *sizes])
     if at[-1] != len(data):
         raise ValueError("token file is cut short")
     docs = data[at[2] : at[3]]
     numbers = EliasFano.from_bytes(docs[8:]).all() + struct.unpack_from("<q", docs)[0]
-    return np.frombuffer(data[at[0] : at[1]], tokens.ID_TYPE), EliasFano.from_bytes(data[at[1] : at[2]]), numbers
+    return np.frombuffer(data[at[0] : at[1]], f"<u{width}"), EliasFano.from_bytes(data[at[1] : at[2]]), numbers
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
@@ -71,7 +77,7 @@ def _writer(folder: str, path: str):
         def close() -> pd.DataFrame:
             name = f"{task}-{files:05d}.ids"
             with store.open_output_stream(f"{root}/{name}") as out:
-                out.write(pack_file(b"".join(ids), np.array(ends, np.int64), np.array(numbers, np.int64)))
+                out.write(pack_file(np.concatenate(ids), np.array(ends, np.int64), np.array(numbers, np.int64)))
             row = {"file": name, "part": part, "place": files, "n_docs": len(ends), "n_ids": ends[-1]}
             ids.clear(), ends.clear(), numbers.clear()
             return pd.DataFrame([row])
@@ -79,7 +85,8 @@ def _writer(folder: str, path: str):
         for batch in batches:
             part = int(batch["part"].iloc[0]) if len(batch) else 0
             for number, body in zip(batch["number"], tokens.encode_all(path, batch["text"].tolist()), strict=True):
-                ids.append(body + end)
+                # Two bytes an id in memory too, as the file will mostly have them.
+                ids.append(narrow(np.frombuffer(body + end, tokens.ID_TYPE)))
                 ends.append((ends[-1] if ends else 0) + len(body) // tokens.ID_TYPE.itemsize + 1)
                 numbers.append(int(number))
                 if ends[-1] >= FILE_IDS:
@@ -119,14 +126,12 @@ def _reader(folder: str):
                     ids, ends, numbers = unpack_file(source.read())
                 stops = ends.all()
                 starts = np.concatenate([[0], stops[:-1]])
-                raw = ids.tobytes()
-                width = tokens.ID_TYPE.itemsize
                 yield pd.DataFrame({
                     "doc_id": pd.array(numbers, "Int64").copy() if NO_ID not in numbers
                     else pd.array([None if n == NO_ID else n for n in numbers], "Int64"),
                     "start": starts + before,
                     "n_tokens": stops - starts,
-                    "ids_crc32": [zlib.crc32(raw[a * width : b * width]) for a, b in zip(starts, stops, strict=True)],
+                    "ids_crc32": [zlib.crc32(ids[a:b].astype(tokens.ID_TYPE).tobytes()) for a, b in zip(starts, stops, strict=True)],
                 })
 
     return run
