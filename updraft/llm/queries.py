@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from updraft.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, secrets, token_files
+from updraft.llm import embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, secrets, token_files
 from updraft.llm.common import table
 
 #: Word shingles of the near-duplicate query.
@@ -15,6 +15,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_components(table(spark, sf_dir, "documents"), QUERY_SHINGLE_WORDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op5_packing, op6_token_output, op7_secrets, op8_exact_dedup, op9_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op4_html_extract, op5_packing, op6_token_output, op7_secrets, op8_exact_dedup, op9_minhash_dedup)}
 ORACLES = {"op1_embedding_dedup": embedding_dedup.SQL, "op8_exact_dedup": exact_dedup.SQL}
