@@ -9,7 +9,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from updraft.llm import secrets
+from updraft.llm import secret_scan as secrets
 from updraft.llm.common import table
 
 PATTERNS = {

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +16,29 @@ from updraft.session import cut_lineage, scratch_path
 #: The six white-space characters the operators split at.
 SPACE = r"[\x20\x09-\x0D]"
 
-__all__ = ["SPACE", "cut_lineage", "held_out", "in_pieces", "mix64", "scratch_path", "seeded", "table", "unit_hash"]
+__all__ = ["SPACE", "cut_lineage", "held_out", "in_pieces", "mix64", "scratch_path", "seeded", "ship", "table", "unit_hash"]
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each Spark context.
+
+    Tasks run its functions wherever the driver was started from and whatever
+    the executors have installed.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_updraft_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="updraft-code-")) / "updraft.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._updraft_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

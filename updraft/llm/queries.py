@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from updraft.llm import embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, secrets, token_files
+from updraft.llm import embedding_dedup, exact_dedup, html_extract, language_id, minhash_dedup, packing, quality, secret_scan, token_files
 from updraft.llm.common import table
 
 #: Word shingles of the near-duplicate query.
@@ -15,6 +15,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predicted(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
@@ -28,7 +32,7 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +43,11 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_components(table(spark, sf_dir, "documents"), QUERY_SHINGLE_WORDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op4_html_extract, op5_packing, op6_token_output, op7_secrets, op8_exact_dedup, op9_minhash_dedup)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_language_id, op4_html_extract, op5_packing, op6_token_output, op7_secrets, op8_exact_dedup, op9_minhash_dedup, op10_quality)}
 ORACLES = {"op1_embedding_dedup": embedding_dedup.SQL, "op8_exact_dedup": exact_dedup.SQL}
