@@ -9,8 +9,11 @@ Candidates are checked on full shingle sets in two rounds. The first checks each
 document against the best-connected document of the tables they share. The
 second looks at what is left: within each table entry, pairs whose ends are not
 yet in one component, whose set sizes allow the similarity and whose MinHash
-sketches do not rule it out. So a group of n near copies costs about n checks
-and no link between two components is lost.
+sketches do not rule it out. A shingle that no other document left over has
+cannot be in an intersection, so the sizes that count are those of the shared
+rest: many variants of one text that are all just too different need no checks.
+So a group of n near copies costs about n checks and no link between two
+components is lost.
 """
 
 from __future__ import annotations
@@ -147,7 +150,7 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     links = cut_lineage(confirmed(_stars(entries), texts, width, percent), "links")
     known = connected_components(links)
-    more = cut_lineage(confirmed(_facing(entries, known, classes, percent), texts, width, percent), "links")
+    more = cut_lineage(confirmed(_facing(entries, known, classes, texts, width, percent), texts, width, percent), "links")
     if not more.isEmpty():
         known = connected_components(links.unionByName(more))
     by_class = classes.select("set_key", "node").join(known, "node", "left")
@@ -197,11 +200,10 @@ def _compared(percent: int):
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         lo, hi, tab = (int(group[c].iloc[0]) for c in ("lo", "hi", "tab"))
-        side, node, part, n = (group[c].to_numpy() for c in ("block", "node", "part", "n_shingles"))
+        side, node, part, n, shared = (group[c].to_numpy() for c in ("block", "node", "part", "n_shingles", "shared"))
         a, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-        fits = (part[a][:, None] != part[b]) & (
-            100 * np.minimum(n[a][:, None], n[b]) >= percent * np.maximum(n[a][:, None], n[b])
-        )
+        most = np.minimum(shared[a][:, None], shared[b])  # of the intersection
+        fits = (part[a][:, None] != part[b]) & (100 * most >= percent * (n[a][:, None] + n[b] - most))
         if lo == hi:
             fits &= a[:, None] < b
         x, y = np.nonzero(fits)
@@ -236,18 +238,43 @@ def _compared(percent: int):
     return run
 
 
-def _facing(entries: DataFrame, known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _shingle_rows(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = shingle_sets(batch["text"].tolist(), width)
+            yield pd.DataFrame({
+                "node": np.repeat(batch["doc"].to_numpy(), [len(s) for s in sets]),
+                "shingle": np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64),
+            })
+
+    return run
+
+
+def shared_sizes(texts: DataFrame, width: int) -> DataFrame:
+    """(node, lonely): how many shingles of each text no other one has; texts without any are left out."""
+    rows = texts.select("doc", "text").mapInPandas(_shingle_rows(width), "node long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return alone.groupBy("node").agg(F.count("*").alias("lonely"))
+
+
+def _facing(entries: DataFrame, known: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Candidate pairs (head, doc) whose ends are in different components."""
     placed = entries.join(known, "node", "left").withColumn("part", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("size"))
     mixed = mixed.where("least < most").select("key", F.ceil(F.col("size") / ENTRY_BLOCK).alias("blocks"))
-    members = placed.select("key", "tab", "node", "part").join(mixed, "key")
+    members = cut_lineage(placed.select("key", "tab", "node", "part").join(mixed, "key"), "members")
+    left = members.select(F.col("node").alias("doc")).distinct()
+    lonely = shared_sizes(texts.join(left.hint("merge"), "doc", "left_semi"), width)
+    shared = (F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).alias("shared")
+    about = classes.join(lonely, "node", "left").select("node", "n_shingles", shared, "bands", "sketch")
+    # Not even a subset of such a document could be similar enough.
+    about = about.where(F.col("shared") * 100 >= F.col("n_shingles") * percent)
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     dealt = members.select("*", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    full = dealt.join(classes.select("node", "n_shingles", "bands", "sketch"), "node")
+    full = dealt.join(about, "node")
     ordered = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    ordered = ordered.select("key", "lo", "hi", "tab", "block", "node", "part", "n_shingles", "bands", "sketch")
+    ordered = ordered.select("key", "lo", "hi", "tab", "block", "node", "part", "n_shingles", "shared", "bands", "sketch")
     return cut_lineage(ordered.mapInPandas(_compared(percent), "head long, doc long"), "pairs")
 
 
