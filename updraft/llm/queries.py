@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from updraft.llm import embedding_dedup, exact_dedup, html_extract, language_id, minhash_dedup, packing, quality, secret_scan, token_files
+from updraft.llm import embedding_dedup, exact_dedup, html_extract, language_id, minhash_dedup, mixing, packing, quality, secret_scan, token_files
 from updraft.llm.common import table
 
 #: Word shingles of the near-duplicate query.
@@ -15,6 +15,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_language_id, op4_html_extract, op5_packing, op6_token_output, op7_secrets, op8_exact_dedup, op9_minhash_dedup, op10_quality)}
+OPERATORS = (
+    op1_embedding_dedup, op2_mixing, op3_language_id, op4_html_extract, op5_packing,
+    op6_token_output, op7_secrets, op8_exact_dedup, op9_minhash_dedup, op10_quality,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLES = {"op1_embedding_dedup": embedding_dedup.SQL, "op8_exact_dedup": exact_dedup.SQL}
