@@ -2,6 +2,7 @@
 
 A stage takes ``(spark, docs, sf_dir)`` and returns what it keeps; its result is
 written as Parquet in the shared folder and read again as the next stage's docs.
+All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -10,22 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 
 from updraft.llm import exact_dedup as exact
 from updraft.llm import minhash_dedup as near
-from updraft.llm.common import cut_lineage, table
+from updraft.llm import mixing, packing, quality
+from updraft.llm.common import cut_lineage, ship, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row stays of each group of equal texts."""
+    """One row of each group of equal texts."""
     return exact.deduplicated(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of near-duplicates."""
+    """One document of each group of near-duplicates."""
+    ship(spark)
     return near.deduplicated(docs)
 
 
-STAGES = [("exact dedup", exact_copies), ("near dedup", near_copies)]
+def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at their target weights: a document may come whole, in part, twice or not at all."""
+    ship(spark)
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as pieces of token sequences."""
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", exact_copies),
+    ("MinHash near-dedup", near_copies),
+    ("mixing to target weights", target_mix),
+    ("packing", packed),
+]
 
-#: Trained scores and hashed orders have no SQL twin; tests hold the stages against brute force.
+#: A trained score and a tokenizer have no SQL twin; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
