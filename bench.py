@@ -27,7 +27,13 @@ HEADLINE = [
     "j1_assign_region",
     "j8_watchlist_positions",
     "a1_hourly_activity",
+    "a3_phase_summary",
+    "j16_overlay_phases_on_track",
+    "flagship_from_log",
+    "x5_stream_hourly_activity",
+    "e2_regional_spread",
     "g1_region_mean",
+    "g3_surface_series",
     "g10_spatial_max_series",
     "g11_coverage",
     "g13_gate_decision",

@@ -102,15 +102,46 @@ def feed(path, batches):
     return str(path)
 
 
-def test_consensus_over_several_batches_waits_for_late_packets(spark, tmp_path):
-    batches = [[line(1, second=0), line(2, second=10)], [line(3, second=0), line(9, second=60)], [line(5, second=0)], [line(7, second=900)], [line(8, second=901)]]
-    from updraft.sources.beacons import gps_timestamp, parse_beacons
-
-    packets = streams.beacon_stream(spark, feed(tmp_path / "in", batches), 1)
+def drained(spark, tmp_path, name, batches, files, run, read):
+    """The same lines in one file, or one file per batch in the given order."""
+    rows = [r for b in batches for r in b] if files == "one" else None
+    order = {"one": [rows], "given": batches, "reverse": batches[::-1]}[files]
+    base = tmp_path / f"{name}-{files}"
+    base.mkdir()
+    stream = streams.beacon_stream(spark, feed(base / "in", order), 1)
+    run(stream, str(base / "out"), str(base / "cp"))
+    return sorted(tuple(r) for r in read(spark, str(base / "out")).collect())
+
+
+@pytest.mark.parametrize("files", ["given", "reverse"])
+def test_streams_do_not_depend_on_files(spark, tmp_path, files):
+    batches = [[line(i * 7 + k, f"FLR0000{k % 3}A", second=(i * 977 + k * 61) % 3600) for k in range(9)] for i in range(5)]
+    ticks = spark.createDataFrame([(T0,)], "ts_recv TIMESTAMP")
+    watch = spark.createDataFrame([("FLR00001A",)], "source_id STRING")
+    from updraft.sources.beacons import observations, parse_beacons
+
+    forms = {
+        "health": (streams.run_health, lambda s, p: streams.stream_health(s, p, ticks)),
+        "activity": (streams.run_hourly_activity, streams.stream_hourly_activity),
+        "position": (lambda s, p, c: streams.run_last_position(s, watch, p, c), streams.stream_last_position),
+        "consensus": (lambda s, p, c: streams.run_consensus(observations(parse_beacons(s)), p, c), streams.stream_consensus),
+    }
+    for name, (run, read) in forms.items():
+        got = drained(spark, tmp_path, name, batches, files, run, read)
+        assert got == drained(spark, tmp_path, f"{name}-all", batches, "one", run, read) and got
+    merged = [p.name for p in (tmp_path / f"health-{files}" / "out").iterdir()]
+    assert sorted(merged) == ["slot=0", "slot=1"]
+
+
+def test_every_line_lands(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text(json.dumps(line(1)) + '\n{"ts_recv": "odd", "raw": "x>y:z"}\n{"raw": "no time"}\nnot json\n')
     table = str(tmp_path / "out")
-    streams.run_append(streams.stream_consensus(gps_timestamp(parse_beacons(packets))), table, str(tmp_path / "cp"))
-    got = {r.t_s % 3600: round(r.alt_m / 0.3048) for r in spark.read.parquet(table).collect()}
-    assert got == {0: 3003, 10: 3002, 60: 3009}
+    streams.stream_land(streams.beacon_lines(spark, str(source)), table, str(tmp_path / "cp")).awaitTermination()
+    rows = spark.read.parquet(table).collect()
+    assert len(rows) == 4 and sum(r.day is None for r in rows) == 3
+    assert [r._corrupt_record for r in rows if r._corrupt_record] == ["not json"]
 
 
 def test_restart_lands_only_what_is_new(spark, tmp_path):
@@ -129,7 +160,8 @@ def test_job_state_stream_over_batches(spark, tmp_path):
     rng = random.Random(2)
     rows = [(f"j{rng.randint(0, 3)}", m, rng.choice(["ok", "fail"])) for m in range(60)]
     source = str(tmp_path / "in")
-    for part in (rows[:20], rows[20:45], rows[45:]):
+    rng.shuffle(late := list(rows))  # attempts in any order
+    for part in (late[:20], late[20:45], late[45:]):
         attempts(spark, part).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(ATTEMPT).parquet(source)
         streams.run_job_state(stream, str(tmp_path / "state"), str(tmp_path / "cp"))

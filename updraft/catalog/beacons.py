@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from updraft import fixtures as fx
 from updraft.catalog.registry import query, rnd, rounded
 from updraft.catalog.spatial import phases_with_region
-from updraft.catalog.tracks import TO_CLEAN, TO_PHASE, clean, detected, stored
+from updraft.catalog.tracks import TO_CLEAN, TO_CLEAN_TYPED, TO_PHASE, TO_PHASE_TYPED, clean, detected, stored
 from updraft.operators import activity, filters, health, phases, tracks
 from updraft.sources import beacons, tables
 
@@ -80,17 +80,69 @@ def _p6(spark, d):
 
 
 @query(
-    "t6_assemble_from_log",
+    "t1_consensus_from_log",
     fx.with_sql("beacon", body=f"""
     , ok AS (SELECT *, EPOCH({GPS}) AS t FROM beacon WHERE kind = 'position' AND alt_m IS NOT NULL AND aircraft_type IN (1, 6, 7) AND HOUR(ts_recv) BETWEEN 7 AND 18)
     SELECT day, source_id, CAST(t AS BIGINT) AS t_s, MIN(aircraft_type) AS aircraft_type, ROUND(MEDIAN(lat), 6) AS lat, ROUND(MEDIAN(lon), 6) AS lon, ROUND(MEDIAN(alt_m), 3) AS alt_m FROM ok GROUP BY 1, 2, 3"""),
 )
-def _t6_log(spark, d):
+def _t1_log(spark, d):
     from updraft.plans.thermals import log_observations
 
     return rounded(tracks.receiver_consensus(log_observations(log(spark, d))), lat=6, lon=6, alt_m=3)
 
 
+def obs_log(spark, d):
+    """The observations, written as gz lines and read back."""
+    path = _scratch(spark, "log")
+    fx.obs_line(spark, d).write.option("compression", "gzip").json(path)
+    return beacons.read_beacon_log(spark, path)
+
+
+LINE_OUT = "day, source_id, t_s, aircraft_type, ROUND(lat, 5) AS lat, ROUND(lon, 5) AS lon, ROUND(alt_m, 2) AS alt_m"
+IN_REGION = "LEFT JOIN region_box ON lon_centroid >= x0 AND lon_centroid < x1 AND lat_centroid >= y0 AND lat_centroid < y1"
+
+
+@query("t6_assemble_from_log", fx.with_sql("obs_line", recursive=True, body=TO_CLEAN_TYPED + f"SELECT {LINE_OUT} FROM clean"))
+def _t6_log(spark, d):
+    from updraft.plans.thermals import log_observations
+
+    return rounded(tracks.clean_tracks(log_observations(obs_log(spark, d))), lat=5, lon=5, alt_m=2)
+
+
+@query(
+    "flagship_from_log",
+    fx.with_sql("obs_line", "region_box", recursive=True, body=TO_PHASE_TYPED + f"""SELECT source_id, aircraft_type, t_start_s, duration_s, ROUND(climb_rate_ms, 3) AS climb_rate_ms, turn_sign, method, region_id FROM phase {IN_REGION}"""),
+)
+def _flagship_log(spark, d):
+    """Raw lines to stored phases with their region, in one go."""
+    from updraft.plans.thermals import DayTables, detect_days, log_observations
+
+    log = obs_log(spark, d)
+    base = _scratch(spark, "day")
+    where = DayTables(f"{base}/clean", f"{base}/phases", f"{base}/ledger")
+    days = log.select("day").distinct()
+    written = detect_days(log_observations(log), days, fx.region(spark, d), where, "run-1")
+    out = written.select("source_id", "aircraft_type", "t_start_s", "duration_s", "climb_rate_ms", "turn_sign", "method", "region_id")
+    return rounded(out, climb_rate_ms=3)
+
+
+@query("t14_track_from_either", fx.with_sql("obs_line", recursive=True, body=TO_CLEAN_TYPED + """, kept AS (SELECT * FROM (SELECT *, COUNT(*) OVER (PARTITION BY day, source_id) AS m FROM twice) WHERE m >= 5)
+    SELECT layer, source_id, t_s, aircraft_type FROM kept CROSS JOIN (VALUES ('clean'), ('raw')) v(layer) WHERE source_id = PRINTF('FLR%06X', 8)"""))
+def _t14_either(spark, d):
+    """One aircraft's day from the clean layer, and from the raw log before that layer exists."""
+    import datetime as dt
+
+    from updraft.plans.thermals import aircraft_day, cache_clean, log_observations
+
+    log, path = obs_log(spark, d), _scratch(spark, "clean")
+    wanted = (dt.date(2024, 6, 1), "FLR000008")
+    raw = aircraft_day(log, path, *wanted)
+    cache_clean(log_observations(log), path)
+    stored_day = aircraft_day(log, path, *wanted)
+    both = raw.withColumn("layer", F.lit("raw")).unionByName(stored_day.withColumn("layer", F.lit("clean")))
+    return both.select("layer", "source_id", "t_s", "aircraft_type")
+
+
 ACTIVITY = """
 , act AS (SELECT d.day, CAST(h AS INT) AS hour, COUNT(DISTINCT source_id) AS n_aircraft, COUNT(event_id) AS n_packets FROM (SELECT DISTINCT day FROM beacon) d CROSS JOIN range(0, 24) r(h)
     LEFT JOIN beacon b ON b.day = d.day AND HOUR(b.ts_recv) = h GROUP BY 1, 2)"""
@@ -118,7 +170,7 @@ def _a2(spark, d):
       ROUND(speed_kmh, 3) AS speed_kmh, course_deg, aircraft_type FROM watchlist w LEFT JOIN n ON n.source_id = w.source_id LEFT JOIN p ON p.source_id = w.source_id AND rn = 1"""),
 )
 def _j8(spark, d):
-    return rounded(activity.watchlist_positions(parsed(spark, d), fx.watchlist(spark, d)), **DIGITS)
+    return rounded(activity.watchlist_positions(log(spark, d), fx.watchlist(spark, d)), **DIGITS)
 
 
 @query(
@@ -129,7 +181,7 @@ def _j8(spark, d):
     FROM watchlist w LEFT JOIN p ON p.source_id = w.source_id AND rn = 1 WHERE lat IS NOT NULL"""),
 )
 def _b4(spark, d):
-    positions = activity.watchlist_positions(parsed(spark, d), fx.watchlist(spark, d))
+    positions = activity.watchlist_positions(log(spark, d), fx.watchlist(spark, d))
     flagged = health.active_flag(positions, F.to_timestamp(F.lit("2024-01-31 00:00:00")), 720)
     return health.located(flagged).select("source_id", F.unix_timestamp("last_seen").alias("seen_s"), "is_active")
 
@@ -152,7 +204,7 @@ def _a12(spark, d):
     LEFT JOIN phase p ON p.day = c.day AND p.source_id = c.source_id AND c.t_s BETWEEN p.t_start_s AND p.t_end_s"""),
 )
 def _j16(spark, d):
-    fixes = clean(spark, d)
+    fixes = stored(clean(spark, d))  # as the clean layer is: both sides read it
     out = activity.overlay_phases_on_track(fixes, phases.detect_phases(fixes))
     return out.select("source_id", "t_s", "phase_start_s")
 
@@ -273,11 +325,13 @@ def _s11(spark, d):
     path = _scratch(spark, "csv")
     part = fx.table(spark, d, "part")
     rows = part.select(F.concat_ws(",", F.col("p_partkey").cast("string"), "p_brand", F.col("p_retailprice").cast("string")).alias("value"))
-    # Every file has its own comment and header line, as the originals do.
-    noted = rows.unionByName(spark.createDataFrame([("# a comment, with commas",)], "value STRING"))
-    noted.write.text(path)
-    schema = "sample_id BIGINT, source STRING, height_m DOUBLE"
-    table = spark.read.schema(schema).option("comment", "#").csv(path)
+    # Every file begins with its own comment and header, as the originals do.
+    head = F.array(F.lit("# a comment, with commas"), F.lit("sample_id,source,height_m"))
+    files = rows.withColumn("file", F.crc32(F.col("value").cast("binary")) % 4).repartition(4, "file")
+    begin = spark.range(4).select(F.col("id").alias("file"), F.posexplode(head).alias("at", "value"))
+    lines = files.select("file", F.lit(2).alias("at"), "value").unionByName(begin.select("file", F.col("at"), "value"))
+    lines.repartition("file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(path)
+    table = tables.read_sounding_csv(spark, path, "sample_id BIGINT, source STRING, height_m DOUBLE").drop("file")
     return rounded(table, height_m=2)
 
 
@@ -288,12 +342,25 @@ def _s12(spark, d):
     return spark.read.parquet(path).groupBy("region_id", "init_h", "flux_source").agg(F.count("*").alias("n"))
 
 
-@query("s13_file_inventory", fx.with_sql("beacon", body="SELECT DISTINCT CAST(day AS VARCHAR) AS layer, TRUE AS has_bytes FROM beacon"))
-def _s13(spark, d):
+BODY_LENGTHS = "SELECT STRFTIME(CAST(o_orderdate AS DATE), '%Y-%m') AS layer, CAST(SUM(LENGTH(o_orderstatus) + 1) AS BIGINT) AS bytes FROM orders GROUP BY 1"
+
+
+def _month_files(spark, d):
+    """One text file per month: a line of the status for each order."""
     path = _scratch(spark, "inventory")
-    beacons.compact_beacon_log(log(spark, d), path)
-    found = tables.file_inventory(spark, path, r"day=(\d{4}-\d{2}-\d{2})/")
-    return found.select("layer", ((F.col("bytes") > 0) & (F.col("n_files") > 0)).alias("has_bytes"))
+    rows = fx.table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderstatus")
+    rows.repartition("month").write.partitionBy("month").text(path)
+    return tables.file_inventory(spark, path, r"month=(\d{4}-\d{2})/")
+
+
+@query("s13_file_inventory", BODY_LENGTHS)
+def _s13(spark, d):
+    return _month_files(spark, d).select("layer", "bytes")
+
+
+@query("s13_last_bytes", f"SELECT COUNT(*) AS n_layers, CAST(SUM(bytes) AS BIGINT) AS bytes FROM (SELECT * FROM ({BODY_LENGTHS}) ORDER BY layer DESC LIMIT 7)")
+def _s13_last(spark, d):
+    return tables.last_bytes(_month_files(spark, d))
 
 
 @query(

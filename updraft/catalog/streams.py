@@ -1,4 +1,8 @@
-"""Streaming queries, each drained into a table and checked against its batch form."""
+"""Streaming queries, each drained into a table and checked against its batch form.
+
+The feed lies in several files whose rows are shuffled, and one file is read per
+batch: the answer must not depend on their number or order.
+"""
 
 from __future__ import annotations
 
@@ -13,16 +17,18 @@ from updraft.session import scratch_path
 from updraft.sources import beacons
 from updraft.streaming import streams
 
-# A packet far in the future moves the watermark past all others.
-CLOSING = ("2035-01-01T00:00:00.000Z", "FLRCLOSE>APRS,qAS,STATION:/000000h4700.00N/01100.00E'000/000/A=001000 id06ABCDEF")
+FILES = 8
+
+
+def shuffled(df):
+    """``df`` in FILES parts without any order."""
+    return df.repartition(FILES, F.xxhash64(*df.columns))
 
 
-def landed(spark, d, closing: bool = False) -> str:
+def landed(spark, d) -> str:
     """The radio lines as JSON files."""
     path = scratch_path(spark, "feed")
-    fx.raw_line(spark, d).write.json(path)
-    if closing:
-        spark.createDataFrame([CLOSING], "ts_recv STRING, raw STRING").coalesce(1).write.mode("append").json(path)
+    shuffled(fx.raw_line(spark, d)).write.json(path)
     return path
 
 
@@ -34,8 +40,8 @@ def out(spark, label):
 @query("x1_stream_land", LOG_COUNTS)
 def _x1(spark, d):
     table, checkpoint = out(spark, "land")
-    packets = streams.beacon_stream(spark, landed(spark, d), 3)
-    streams.stream_land(packets, table, checkpoint).awaitTermination()
+    lines = streams.beacon_lines(spark, landed(spark, d), 1)
+    streams.stream_land(lines, table, checkpoint).awaitTermination()
     return log_counts(spark.read.parquet(table))
 
 
@@ -48,17 +54,12 @@ def _x1(spark, d):
 )
 def _x2(spark, d):
     table, checkpoint = out(spark, "health")
-    feed = landed(spark, d, closing=True)
-    ticks_path = scratch_path(spark, "ticks")
+    streams.run_health(streams.beacon_stream(spark, landed(spark, d), 1), table, checkpoint)
     span = fx.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"))
     tick = lambda c: F.floor(F.unix_timestamp(c) / 240)
     bounds = span.agg(F.min(tick("ts")).alias("a"), F.max(tick("ts")).alias("b"))
     ticks = bounds.select(F.explode(F.sequence("a", "b")).alias("t"))
-    ticks.select(F.timestamp_seconds(F.col("t") * 240).alias("ts_recv")).write.parquet(ticks_path)
-    tick_stream = spark.readStream.schema("ts_recv TIMESTAMP").parquet(ticks_path)
-    health = streams.stream_health(streams.beacon_stream(spark, feed), tick_stream)
-    streams.run_append(health, table, checkpoint)
-    return spark.read.parquet(table)
+    return streams.stream_health(spark, table, ticks.select(F.timestamp_seconds(F.col("t") * 240).alias("ts_recv")))
 
 
 @query(
@@ -71,10 +72,9 @@ def _x2(spark, d):
 )
 def _x3(spark, d):
     table, checkpoint = out(spark, "positions")
-    parsed = beacons.parse_beacons(streams.beacon_stream(spark, landed(spark, d), 3))
-    streams.run_update(streams.stream_last_position(parsed, fx.watchlist(spark, d)), table, checkpoint)
-    latest = streams.latest_rows(spark, table, "source_id")
-    return rounded(latest, lat=6, lon=6, alt_m=3, climb_ms=4, speed_kmh=3)
+    packets = streams.beacon_stream(spark, landed(spark, d), 1)
+    streams.run_last_position(packets, fx.watchlist(spark, d), table, checkpoint)
+    return rounded(streams.stream_last_position(spark, table), lat=6, lon=6, alt_m=3, climb_ms=4, speed_kmh=3)
 
 
 @query(
@@ -85,28 +85,25 @@ def _x3(spark, d):
 )
 def _x4(spark, d):
     table, checkpoint = out(spark, "consensus")
-    parsed = beacons.parse_beacons(streams.beacon_stream(spark, landed(spark, d, closing=True)))
-    rows = beacons.gps_timestamp(filters.soaring_only(filters.positions_only(parsed)))
-    streams.run_append(streams.stream_consensus(rows), table, checkpoint)
-    return rounded(spark.read.parquet(table), lat=6, lon=6, alt_m=3)
+    parsed = beacons.parse_beacons(streams.beacon_stream(spark, landed(spark, d), 1))
+    rows = beacons.observations(filters.soaring_only(filters.positions_only(parsed)))
+    streams.run_consensus(rows, table, checkpoint)
+    return rounded(streams.stream_consensus(spark, table).drop("day"), lat=6, lon=6, alt_m=3)
 
 
 @query("x5_stream_hourly_activity", fx.with_sql("beacon", body=ACTIVITY + "SELECT * FROM act WHERE n_packets > 0"))
 def _x5(spark, d):
     table, checkpoint = out(spark, "activity")
-    packets = streams.beacon_stream(spark, landed(spark, d, closing=True))
-    streams.run_append(streams.stream_hourly_activity(packets), table, checkpoint)
-    return spark.read.parquet(table)
+    streams.run_hourly_activity(streams.beacon_stream(spark, landed(spark, d), 1), table, checkpoint)
+    return streams.stream_hourly_activity(spark, table)
 
 
 @query("x6_stream_job_state", fx.with_sql("job_attempt", body=STATE + "SELECT * FROM state"))
 def _x6(spark, d):
     table, checkpoint = out(spark, "state")
-    path = scratch_path(spark, "attempts")
     attempts = fx.job_attempt(spark, d)
-    attempts.where("ts < '2024-01-15'").write.parquet(path)
-    stream = spark.readStream.schema(attempts.schema).option("maxFilesPerTrigger", 50).parquet(path)
-    streams.run_job_state(stream, table, checkpoint)
-    attempts.where("ts >= '2024-01-15'").write.mode("append").parquet(path)
+    path = scratch_path(spark, "attempts")
+    shuffled(attempts).write.parquet(path)
+    stream = spark.readStream.schema(attempts.schema).option("maxFilesPerTrigger", 1).parquet(path)
     streams.run_job_state(stream, table, checkpoint)
     return streams.current_job_state(spark, table)

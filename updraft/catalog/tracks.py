@@ -86,7 +86,12 @@ PHASES = """
     CASE WHEN spacing_s <= 7 AND ABS(turn_total_deg) / 360 >= 2 THEN 'turn' ELSE 'confined' END AS method
     FROM metrics WHERE duration_s >= 120 AND ABS(climb_rate_ms) <= 8
       AND ((spacing_s <= 7 AND ABS(turn_total_deg) / 360 >= 2) OR (radius_m <= 400 AND alt_top_m - alt_base_m >= 80)))"""
+# The type of a track's first packet, by receiver within a second.
+FIRST_TYPE = """, first_type AS (SELECT day, source_id, ARG_MIN(aircraft_type, t_s * 10 + rx) AS aircraft_type FROM obs_s GROUP BY 1, 2)
+, typed AS (SELECT m.* REPLACE (f.aircraft_type AS aircraft_type) FROM merged m JOIN first_type f USING (day, source_id))"""
+TO_CLEAN_TYPED = SOARING + CONSENSUS + FIRST_TYPE + _pass("typed", "once") + _pass("once", "twice") + CLEAN
 TO_CLEAN = SOARING + CONSENSUS + SPIKES + CLEAN
+TO_PHASE_TYPED = TO_CLEAN_TYPED + BEARINGS + ROLLED + ISLANDS + METRICS + PHASES
 TO_PHASE = TO_CLEAN + BEARINGS + ROLLED + ISLANDS + METRICS + PHASES
 FIX_OUT = "day, source_id, t_s, ROUND(lat, 4) AS lat, ROUND(lon, 4) AS lon, ROUND(alt_m, 2) AS alt_m"
 PHASE_OUT = """day, source_id, aircraft_type, t_start_s, t_end_s, duration_s, ROUND(lat_centroid, 4) AS lat_centroid, ROUND(lon_centroid, 4) AS lon_centroid,

@@ -72,6 +72,34 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Start of the first log day of :func:`obs_line`: 08:00 of 2024-06-01, in Unix seconds.
+OBS_START_S = 1_717_228_800
+
+
+def obs_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations as radio lines ``ts_recv, raw``: whole thousandths of a minute and whole feet.
+
+    Every fifth observation carries another soaring type than the aircraft's own.
+    """
+    o = obs(spark, sf_dir)
+    lat, lon = (F.floor(F.col(c) * 60_000 + 0.5) for c in ("lat", "lon"))
+    stamp = F.timestamp_millis((F.col("t_s") + OBS_START_S) * 1000 + F.col("rx") * 100)
+    kind = F.when((F.col("t_s") / 4 + F.col("rx")) % 5 == 0, 6).otherwise(F.col("aircraft_type"))
+
+    def angle(total: Column, width: int) -> Column:
+        rest = total % 60_000
+        whole = lambda a, b: F.floor(a / F.lit(float(b)))
+        return F.format_string(f"%0{width}d%02d.%02d", whole(total, 60_000), whole(rest, 1_000), whole(rest % 1_000, 10))
+
+    raw = F.concat(
+        F.format_string("FLR%06X", F.col("source_id")), F.lit(">APRS,qAS,RX"), F.col("rx").cast("string"), F.lit(":/"),
+        F.date_format(stamp, "HHmmss"), F.lit("h"), angle(lat, 2), F.lit("N/"), angle(lon, 3), F.lit("E'000/000"),
+        F.format_string("/A=%06d", F.floor(F.col("alt_m") / 0.3048 + 0.5)),
+        F.format_string(" !W%d%d!", lat % 10, lon % 10), F.format_string(" id%02X%06X", kind * 4 + 2, F.col("source_id")),
+    )
+    return o.select(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts_recv"), raw.alias("raw"))
+
+
 def grid_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3 runs x 7 leads x 4 variables x 400 cells, with natural gaps."""
     li = table(spark, sf_dir, "lineitem")
@@ -322,6 +350,14 @@ SQL: dict[str, str] = {
 }
 
 
+# The same observations as they come back from their lines; oracles written for ``obs`` run on them.
+SQL["obs_line"] = SQL["obs"].replace(" obs AS (", " exact AS (") + f""",
+ obs AS (SELECT PRINTF('FLR%06X', source_id) AS source_id, rx, t_s + {OBS_START_S} AS t_s, CAST(MAKE_TIMESTAMP((t_s + {OBS_START_S}) * 1000000) AS DATE) AS day,
+   CASE WHEN (t_s // 4 + rx) % 5 = 0 THEN 6 ELSE aircraft_type END AS aircraft_type,
+   FLOOR(lat * 60000 + 0.5e0) / 60000.0e0 AS lat, FLOOR(lon * 60000 + 0.5e0) / 60000.0e0 AS lon, FLOOR(alt_m / 0.3048e0 + 0.5e0) * 0.3048e0 AS alt_m
+  FROM exact WHERE HOUR(MAKE_TIMESTAMP((t_s + {OBS_START_S}) * 1000000)) BETWEEN 7 AND 18)"""
+
+
 def with_sql(*relations: str, body: str, recursive: bool = False) -> str:
     """Oracle query: the named projections as a WITH clause, then ``body``.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from updraft.operators.quantiles import group_quantiles, with_quantiles
 from updraft.session import broadcast_if_small
-from updraft.sources.beacons import sender
+from updraft.sources.beacons import parse_beacons, sender
 
 
 def hourly_activity(raw: DataFrame) -> DataFrame:
@@ -34,13 +34,19 @@ def peak_hour(activity: DataFrame) -> DataFrame:
     return activity.groupBy("day").agg(F.sum("n_packets").alias("n_packets"), F.max_by("hour", rank).alias("peak_hour"))
 
 
-def watchlist_positions(parsed: DataFrame, watchlist: DataFrame) -> DataFrame:
+def watched_lines(log: DataFrame, watchlist: DataFrame) -> DataFrame:
+    """Lines whose sender is on the list, found without parsing them."""
+    watched = broadcast_if_small(watchlist.select(F.col("source_id").alias("_watched")).distinct())
+    return log.join(watched, sender(F.col("raw")) == F.col("_watched"), "left_semi")
+
+
+def watchlist_positions(log: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Per watched aircraft its packets and the fields of its last position.
 
+    Takes the unparsed log: only the lines of watched aircraft reach the parser.
     Entries without packets stay, with a count of 0.
     """
-    watched = broadcast_if_small(watchlist.select("source_id"))
-    seen = parsed.join(watched, "source_id", "left_semi")
+    seen = parse_beacons(watched_lines(log, watchlist))
     is_position = F.col("kind") == "position"
     fields = F.struct("ts_recv", "lat", "lon", "alt_m", "climb_ms", "speed_kmh", "course_deg", "aircraft_type")
     last = F.max(F.when(is_position, F.struct("ts_recv", "raw", fields.alias("f"))))

@@ -141,7 +141,7 @@ def job_state(attempts: DataFrame) -> DataFrame:
         .groupBy("job")
         .agg(F.max("_at").alias("_broken"))
     )
-    marks = broadcast_if_small(final.join(other, "job", "left").select("job", "_broken"))
+    marks = final.join(other, "job", "left").select("job", "_broken")
     streak = (
         attempts.join(marks, "job")
         .where(F.col("_broken").isNull() | (at > F.col("_broken")))
@@ -169,11 +169,17 @@ def merge_job_state(previous: DataFrame, batch: DataFrame) -> DataFrame:
     return joined.withColumn("last_success", F.greatest("last_success", "_before")).select(*STATE)
 
 
-def alerts(state: DataFrame, thresholds: DataFrame, now: Column, fail_streak_s: int = FAIL_STREAK_S) -> DataFrame:
+def default_thresholds(state: DataFrame) -> DataFrame:
+    """The fixed allowed ages as a table."""
+    return state.sparkSession.createDataFrame(list(THRESHOLDS_S.items()), "job STRING, threshold_s BIGINT")
+
+
+def alerts(state: DataFrame, thresholds: DataFrame | None, now: Column, fail_streak_s: int = FAIL_STREAK_S) -> DataFrame:
     """Missing, stale and stuck jobs; a stale job is not also reported stuck.
 
-    ``thresholds`` has ``job, threshold_s``.
+    ``thresholds`` has ``job, threshold_s``; None takes the fixed ones.
     """
+    thresholds = default_thresholds(state) if thresholds is None else thresholds
     joined = thresholds.join(state, "job", "left").withColumn("_now", now)
     seconds = lambda c: F.unix_timestamp("_now") - F.unix_timestamp(c)
     age, streak = seconds("last_attempt"), seconds("since")
@@ -244,7 +250,7 @@ def job_window_status(packets: DataFrame, tick_s: int = 240) -> DataFrame:
     earlier = F.sum("_sum").over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1))
     shifts = per_day.select("_day", F.coalesce(earlier, F.lit(0)).alias("_shift"))
     inside = F.sum("packets").over(W.partitionBy("_day").orderBy("tick").rowsBetween(W.unboundedPreceding, 0))
-    summed = full.withColumn("_run", inside).join(broadcast_if_small(shifts), "_day")
+    summed = full.withColumn("_run", inside).join(shifts, "_day")
     return summed.select(
         F.timestamp_seconds(F.col("tick") * tick_s).alias("tick_start"),
         "packets",

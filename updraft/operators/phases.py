@@ -111,7 +111,7 @@ def phase_metrics(rows: DataFrame) -> DataFrame:
     elapsed = (F.col("t_s") - F.col("phase_start_s")).cast("double")
     spacing = F.when(F.col("t_s") > F.col("phase_start_s"), F.col("t_s") - F.col("prev_t_s"))
     return centred.groupBy(*TRACK, "phase_no").agg(
-        F.first("aircraft_type").alias("aircraft_type"),
+        F.min("aircraft_type").alias("aircraft_type"),  # one value per track
         F.min("t_s").alias("t_start_s"),
         F.max("t_s").alias("t_end_s"),
         (F.max("t_s") - F.min("t_s")).alias("duration_s"),

@@ -67,8 +67,9 @@ def group_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str,
 def with_quantiles(summary: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:
     """Joins quantiles to a per-group summary, null keys included."""
     if not keys:
-        columns = quantiles.columns
-        return summary.withColumns({c: quantiles.select(c).scalar() for c in columns})
+        # One row, so one subquery for all of its columns.
+        row = summary.withColumn("_q", quantiles.select(F.struct(*quantiles.columns)).scalar())
+        return row.select(*summary.columns, *[F.col(f"_q.{c}").alias(c) for c in quantiles.columns])
     left, right = summary.alias("s"), quantiles.alias("q")
     same = F.lit(True)
     for c in keys:

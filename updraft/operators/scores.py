@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from updraft.operators.quantiles import group_quantiles, with_quantiles
 
 MIN_SAMPLE = 5
 
@@ -16,14 +15,15 @@ def thermal_bins(phases: DataFrame, bin_s: int = 1800, min_sample: int = MIN_SAM
     start = F.floor(F.col("t_start_s") / bin_s) * bin_s
     binned = phases.withColumn("bin_start_s", start)
     keys = ["region_id", "day", "bin_start_s"]
-    counted = binned.groupBy(*keys).agg(
+    return binned.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.sum("n_turns").alias("n_circles"),
         F.max("alt_top_m").alias("top_max_m"),
         (F.count("*") >= min_sample).alias("enough"),
+        # A region's phases of half an hour are few: exact percentiles in one aggregate.
+        F.percentile("climb_rate_ms", F.lit(0.5)).alias("climb_median_ms"),
+        F.percentile("climb_rate_ms", F.lit(0.9)).alias("climb_q90_ms"),
     )
-    wanted = {"climb_median_ms": ("climb_rate_ms", 0.5), "climb_q90_ms": ("climb_rate_ms", 0.9)}
-    return with_quantiles(counted, group_quantiles(binned, keys, wanted), keys)
 
 
 def regional_spread(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,18 +32,16 @@ def regional_spread(cells: DataFrame, keys: list[str]) -> DataFrame:
     Needs ``cloud, base_m, u, v``: quartiles of cloud, median and valid share of
     the convection base, mean wind vector and its variance.
     """
-    counted = cells.groupBy(*keys).agg(
+    return cells.groupBy(*keys).agg(
         F.avg(F.col("base_m").isNotNull().cast("double")).alias("base_share"),
         F.sqrt(F.avg("u") * F.avg("u") + F.avg("v") * F.avg("v")).alias("wind_ms"),
         (F.var_pop("u") + F.var_pop("v")).alias("wind_variance"),
+        # A region has a bounded number of cells, so its exact percentiles fit one buffer.
+        F.percentile("cloud", F.lit(0.25)).alias("cloud_q25"),
+        F.percentile("cloud", F.lit(0.5)).alias("cloud_median"),
+        F.percentile("cloud", F.lit(0.75)).alias("cloud_q75"),
+        F.percentile("base_m", F.lit(0.5)).alias("base_median_m"),
     )
-    wanted = {
-        "cloud_q25": ("cloud", 0.25),
-        "cloud_median": ("cloud", 0.5),
-        "cloud_q75": ("cloud", 0.75),
-        "base_median_m": ("base_m", 0.5),
-    }
-    return with_quantiles(counted, group_quantiles(cells, keys, wanted), keys)
 
 
 def spread_by_height(cells: DataFrame, keys: list[str], value: str, class_m: int = 500) -> DataFrame:

@@ -84,11 +84,10 @@ def normalise_group_names(groups: DataFrame, identifier: str = "osm_id") -> Data
 def log_scale_position(df: DataFrame, column: str = "area_km2") -> DataFrame:
     """Adds the position of log10(value) between the data's smallest and largest."""
     log = F.when(F.col(column) > 0, F.log10(column))
-    lo, hi = df.select(F.min(log)).scalar(), df.select(F.max(log)).scalar()
-    bounded = df.withColumn("_lo", lo).withColumn("_hi", hi)
-    share = (log - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    clipped = clip(share, 0.0, 1.0)
-    return bounded.withColumn("position", F.when(F.col("_hi") > F.col("_lo"), clipped)).drop("_lo", "_hi")
+    bounded = df.withColumn("_span", df.select(F.struct(F.min(log).alias("lo"), F.max(log).alias("hi"))).scalar())
+    lo, hi = F.col("_span.lo"), F.col("_span.hi")
+    clipped = clip((log - lo) / (hi - lo), 0.0, 1.0)
+    return bounded.withColumn("position", F.when(hi > lo, clipped)).drop("_span")
 
 
 # -- pixels ------------------------------------------------------------------
@@ -284,7 +283,8 @@ def border_minimum(pixels: DataFrame, regions: DataFrame, pairs: DataFrame, tole
         "lon", "lat", "elev_m",
         spatial.cell_index(lon, cell).alias("cell_x"), spatial.cell_index(lat, cell).alias("cell_y"),
     )
-    met = placed.join(broadcast_if_small(cut_lineage(borders, "borders")), ["cell_x", "cell_y"])
+    # Rows are arrays of pieces: left to the planner, which knows their bytes.
+    met = placed.join(borders, ["cell_x", "cell_y"])
     close = F.filter(
         "_pieces",
         lambda s: spatial.point_segment_distance(lon, lat, s["x1"], s["y1"], s["x2"], s["y2"]) <= tolerance_deg,
@@ -293,9 +293,10 @@ def border_minimum(pixels: DataFrame, regions: DataFrame, pairs: DataFrame, tole
     near = met.select("elev_m", ids.alias("_ids")).where(F.size("_ids") >= 2)
     sided = near.select("elev_m", "_ids", F.explode("_ids").alias("region_a"))
     both = sided.select("elev_m", "region_a", F.explode("_ids").alias("region_b"))
-    asked = broadcast_if_small(cut_lineage(pairs.select("region_a", "region_b"), "pairs"))
-    wanted = both.join(asked, ["region_a", "region_b"], "left_semi")
-    return wanted.groupBy("region_a", "region_b").agg(F.min("elev_m").alias("threshold_z_m"))
+    # Minima merge before the shuffle, so only pairs of regions are joined.
+    lowest = both.groupBy("region_a", "region_b").agg(F.min("elev_m").alias("threshold_z_m"))
+    asked = pairs.select("region_a", "region_b")
+    return lowest.join(asked, ["region_a", "region_b"], "left_semi")
 
 
 def pass_height(

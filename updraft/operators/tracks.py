@@ -32,15 +32,31 @@ def whole_track():
     return track_order().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
 
+def _consensus(observations: DataFrame, *carried: Column) -> DataFrame:
+    medians = [F.median(c).alias(c) for c in ("lat", "lon", "alt_m")]
+    return observations.groupBy(*TRACK, "t_s").agg(*carried, *medians)
+
+
 def receiver_consensus(observations: DataFrame) -> DataFrame:
     """One fix per aircraft and GPS second: the median over its receivers.
 
     The shuffle key includes the second, and equal copies merge before it.
     """
-    keys = [*TRACK, "t_s"]
-    medians = [F.median(c).alias(c) for c in ("lat", "lon", "alt_m")]
-    carried = [F.min("aircraft_type").alias("aircraft_type")] if "aircraft_type" in observations.columns else []
-    return observations.groupBy(*keys).agg(*carried, *medians)
+    typed = "aircraft_type" in observations.columns
+    return _consensus(observations, *[F.min("aircraft_type").alias("aircraft_type")] * typed)
+
+
+def typed_consensus(observations: DataFrame) -> DataFrame:
+    """The same with the track's type: that of its first packet in order of receipt.
+
+    The first packet of each second travels along and the first of these is
+    taken per track, on the partitioning that all later windows use. Without a
+    receive time the second stands for it.
+    """
+    arrival = [c for c in ("ts_recv", "raw") if c in observations.columns] or ["t_s"]
+    first = F.min(F.struct(*arrival, "aircraft_type")).alias("_first")
+    fixes = _consensus(observations, first).withColumn("aircraft_type", F.min("_first").over(whole_track())["aircraft_type"])
+    return fixes.select(*TRACK, "t_s", "aircraft_type", "lat", "lon", "alt_m")
 
 
 def aircraft_type_first(observations: DataFrame) -> DataFrame:
@@ -123,7 +139,9 @@ def min_fixes(fixes: DataFrame, n: int = MIN_FIXES) -> DataFrame:
 
 def clean_tracks(observations: DataFrame, n: int = MIN_FIXES) -> DataFrame:
     """Consensus, jump rejection and length filter for positioned observations."""
-    return min_fixes(spike_reject(receiver_consensus(observations)), n)
+    typed = "aircraft_type" in observations.columns
+    fixes = typed_consensus(observations) if typed else receiver_consensus(observations)
+    return min_fixes(spike_reject(fixes), n)
 
 
 def aircraft_track(fixes: DataFrame, day, source_id) -> DataFrame:

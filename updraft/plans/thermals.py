@@ -36,10 +36,27 @@ def cache_clean(observations: DataFrame, path: str) -> None:
 
 
 def _present_days(spark, path: str) -> DataFrame | None:
+    """Days of a derived table, or None before anything was written to it."""
     try:
-        return spark.read.parquet(path).select("day").distinct()
-    except AnalysisException:
-        return None
+        table = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return table.select("day").distinct()
+
+
+def aircraft_day(log: DataFrame, clean_path: str, day, source_id: str) -> DataFrame:
+    """One aircraft's fixes of a day: from the clean layer, else from the raw log.
+
+    Of the log only this aircraft's lines reach the parser.
+    """
+    spark = log.sparkSession
+    present = _present_days(spark, clean_path)
+    if present is not None and not present.where(F.col("day") == day).isEmpty():
+        return tracks.aircraft_track(tables.read_clean_fixes(spark, clean_path), day, source_id)
+    lines = log.where((F.col("day") == day) & (beacons.sender(F.col("raw")) == source_id))
+    return tracks.aircraft_track(tracks.clean_tracks(log_observations(lines), tracks.CLEAN_LAYER_MIN_FIXES), day, source_id)
 
 
 def clean_layer(observations: DataFrame, days: DataFrame, path: str) -> DataFrame:

@@ -19,24 +19,44 @@ POSITION = (
 IDENT = r"\bid([0-9A-Fa-f]{2})[0-9A-Fa-f]{6}"
 
 
+def receive_time(log: DataFrame) -> DataFrame:
+    """Types the receive time and its day; both are null without a usable one."""
+    usable = F.when(F.length("ts_recv") >= 13, F.try_to_timestamp("ts_recv"))
+    # Parsed once per row, not once per later use (see parse_beacons).
+    return log.withColumn("ts_recv", F.explode(F.array(usable))).withColumn("day", F.to_date("ts_recv"))
+
+
 def with_receive_time(log: DataFrame) -> DataFrame:
-    """Types the receive time; rows without a usable one are dropped.
+    """The same without the rows that have no usable time.
 
     A malformed JSON line reads as nulls and goes with them.
     """
-    usable = log.where(F.col("raw").isNotNull() & (F.length("ts_recv") >= 13))
-    # Parsed once per row, not once per later use (see parse_beacons).
-    stamped = usable.withColumn("ts_recv", F.explode(F.array(F.try_to_timestamp("ts_recv"))))
-    return stamped.where(F.col("ts_recv").isNotNull()).withColumn("day", F.to_date("ts_recv"))
+    return receive_time(log.where(F.col("raw").isNotNull())).where(F.col("ts_recv").isNotNull())
 
 
 def read_beacon_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows ``ts_recv, raw, day`` of gz or plain JSON-lines logs.
 
-    Bad lines are dropped; a truncated last block ends its file quietly.
+    Bad lines are dropped. A file that cannot be read to its end fails the
+    query; :func:`read_damaged_log` takes what such files still hold.
+    """
+    return with_receive_time(spark.read.schema(LOG_SCHEMA).option("mode", "PERMISSIVE").json(paths))
+
+
+def read_damaged_log(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """The log of files whose end may be cut off, and what each file gave.
+
+    The second frame has one row per file: ``path, bytes, n_lines``. A file cut in
+    its first block has no line; compare ``n_lines`` with what was written.
     """
     reader = spark.read.schema(LOG_SCHEMA).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", "true")
-    return with_receive_time(reader.json(paths))
+    lines = reader.json(paths).select("*", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"))
+    # Both spell the scheme differently; the part after it is the same.
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    counts = lines.groupBy(plain.alias("path")).agg(F.count("*").alias("n_lines"))
+    given = files.withColumn("path", plain).join(counts, "path", "left").fillna(0, subset=["n_lines"])
+    return with_receive_time(lines.drop("path")), given
 
 
 def compact_beacon_log(log: DataFrame, path: str, files_per_hour: int = 4) -> None:

@@ -1,6 +1,8 @@
 """Structured Streaming forms of the live-feed operators.
 
-Event time is a TIMESTAMP with a watermark of two minutes by default. Every
+Landed files come in any order and number, so the drains here keep no watermark:
+each batch becomes partial results per key, which merge with those stored so
+far. A packet that comes late changes its own group and none is lost. Every
 query takes its checkpoint folder as an argument and restarts from it.
 """
 
@@ -10,11 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from updraft.operators.health import STATE, job_state, merge_job_state
-from updraft.session import broadcast_if_small
-from updraft.sources.beacons import LOG_SCHEMA, sender, with_receive_time
+from updraft.operators.activity import watched_lines
+from updraft.operators.health import STATE, job_state
+from updraft.operators.tracks import receiver_consensus
+from updraft.sources.beacons import LOG_SCHEMA, parse_beacons, receive_time, sender, with_receive_time
 
-LATE = "2 minutes"
+
+def beacon_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """Landed JSON-lines logs as a stream of all their lines, whole or not."""
+    schema = f"{LOG_SCHEMA}, _corrupt_record STRING"
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return receive_time(reader.option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
 def beacon_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -24,111 +32,130 @@ def beacon_stream(spark: SparkSession, path: str, files_per_trigger: int = 100)
 
 
 def stream_land(packets: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends every packet to the day of its receipt, exactly once."""
+    """Appends every packet to the day of its receipt, exactly once.
+
+    A line without a usable time, or that is no JSON, lands without a day.
+    """
     writer = packets.writeStream.outputMode("append").format("parquet").partitionBy("day")
     return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_health(packets: DataFrame, ticks: DataFrame, tick: str = "240 seconds", late: str = LATE) -> DataFrame:
-    """Packets per keep-alive window, ``ok`` or ``fail``.
+# -- merged drains -----------------------------------------------------------
 
-    ``ticks`` (column ``ts_recv``) count nothing but make silent windows exist:
-    a rate source live, a file of ticks in tests.
+
+def run_merged(stream: DataFrame, path: str, checkpoint: str, partial, merge) -> None:
+    """Drains the available input into one table of merged partial results.
+
+    ``partial`` turns a batch into rows per key, ``merge`` unites such rows. Two
+    slots take turns, so state N is built from N-1 beside it and nothing older is
+    kept; a repeated batch replaces its own result and never counts twice.
     """
-    real = packets.select("ts_recv", F.lit(1).alias("_w"))
-    both = real.unionByName(ticks.select("ts_recv", F.lit(0).alias("_w")))
-    counted = both.withWatermark("ts_recv", late).groupBy(F.window("ts_recv", tick)).agg(F.sum("_w").alias("packets"))
-    return counted.select(
-        F.col("window.start").alias("tick_start"),
+
+    def slot(epoch: int) -> str:
+        return f"{path}/slot={epoch % 2}"
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        rows = partial(batch)
+        if epoch:
+            before = batch.sparkSession.read.schema(rows.schema).parquet(slot(epoch - 1))
+            rows = merge(before.unionByName(rows))
+        rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(slot(epoch))
+
+    writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def merged_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The table of :func:`run_merged` after its last batch."""
+    slots = spark.read.parquet(path).drop("slot")
+    newest = slots.select(F.max("epoch")).scalar()
+    return slots.where(F.col("epoch") == newest).drop("epoch")
+
+
+def run_health(packets: DataFrame, path: str, checkpoint: str, tick_s: int = 240) -> None:
+    """Packets per keep-alive window."""
+    tick = F.floor(F.unix_timestamp("ts_recv") / tick_s).alias("tick")
+
+    def partial(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(tick).agg(F.count("*").alias("packets"))
+
+    run_merged(packets, path, checkpoint, partial, lambda rows: rows.groupBy("tick").agg(F.sum("packets").alias("packets")))
+
+
+def stream_health(spark: SparkSession, path: str, ticks: DataFrame, tick_s: int = 240) -> DataFrame:
+    """Every window of ``ticks`` (column ``ts_recv``) or with packets, ``ok`` or ``fail``."""
+    wanted = ticks.select(F.floor(F.unix_timestamp("ts_recv") / tick_s).alias("tick")).distinct()
+    full = wanted.join(merged_rows(spark, path), "tick", "full").withColumn("packets", F.coalesce("packets", F.lit(0)))
+    return full.select(
+        F.timestamp_seconds(F.col("tick") * tick_s).alias("tick_start"),
         "packets",
         F.when(F.col("packets") > 0, "ok").otherwise("fail").alias("status"),
     )
 
 
-def stream_last_position(parsed: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """Current position per watched aircraft, for update mode.
-
-    State is one row per watched aircraft.
-    """
-    watched = broadcast_if_small(watchlist.select("source_id"))
-    is_position = F.col("kind") == "position"
+def run_last_position(packets: DataFrame, watchlist: DataFrame, path: str, checkpoint: str) -> None:
+    """Last position and packets of each watched aircraft; only their lines are parsed."""
     fields = F.struct("ts_recv", "raw", "lat", "lon", "alt_m", "climb_ms", "speed_kmh", "course_deg")
-    seen = parsed.join(watched, "source_id").groupBy("source_id")
-    latest = seen.agg(F.count("*").alias("packets"), F.max(F.when(is_position, fields)).alias("_p"))
-    return latest.select(
-        "source_id", "packets", F.col("_p.ts_recv").alias("last_seen"),
-        *[F.col(f"_p.{c}").alias(c) for c in ("lat", "lon", "alt_m", "climb_ms", "speed_kmh", "course_deg")],
-    )
 
+    def partial(batch: DataFrame) -> DataFrame:
+        seen = parse_beacons(watched_lines(batch, watchlist)).groupBy("source_id")
+        return seen.agg(F.count("*").alias("packets"), F.max(F.when(F.col("kind") == "position", fields)).alias("last"))
 
-def stream_consensus(observations: DataFrame, late: str = LATE) -> DataFrame:
-    """Receiver median per aircraft and GPS second, emitted once late data is in."""
-    second = F.window("gps_ts", "1 second")
-    keyed = observations.withWatermark("gps_ts", late).groupBy("source_id", second)
-    medians = keyed.agg(F.min("aircraft_type").alias("aircraft_type"), *[F.median(c).alias(c) for c in ("lat", "lon", "alt_m")])
-    return medians.select(
-        "source_id", F.unix_timestamp("window.start").alias("t_s"), "aircraft_type", "lat", "lon", "alt_m"
-    )
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("source_id").agg(F.sum("packets").alias("packets"), F.max("last").alias("last"))
 
+    run_merged(packets, path, checkpoint, partial, merge)
 
-def stream_hourly_activity(packets: DataFrame, late: str = LATE) -> DataFrame:
-    """Exact distinct senders and packets per hour.
 
-    Two chained aggregations: packets per hour and sender, then senders per
-    hour. The state is spread over senders; no set of ids is built.
-    """
-    tagged = packets.withWatermark("ts_recv", late).select("ts_recv", sender(F.col("raw")).alias("_id"))
-    per_sender = tagged.groupBy(F.window("ts_recv", "1 hour"), "_id").agg(F.count("*").alias("_n"))
-    hour = F.window(F.window_time("window"), "1 hour")
-    counted = per_sender.groupBy(hour).agg(F.count("_id").alias("n_aircraft"), F.sum("_n").alias("n_packets"))
-    start = F.col("window.start")
-    return counted.select(F.to_date(start).alias("day"), F.hour(start).alias("hour"), "n_aircraft", "n_packets")
+def stream_last_position(spark: SparkSession, path: str) -> DataFrame:
+    """Current position per watched aircraft."""
+    return merged_rows(spark, path).select(
+        "source_id", "packets", F.col("last.ts_recv").alias("last_seen"),
+        *[F.col(f"last.{c}").alias(c) for c in ("lat", "lon", "alt_m", "climb_ms", "speed_kmh", "course_deg")],
+    )
 
 
-def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Drains the available input into a parquet table."""
-    writer = stream.writeStream.outputMode("append").format("parquet").option("path", path)
-    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_hourly_activity(packets: DataFrame, path: str, checkpoint: str) -> None:
+    """Packets per hour and sender; no set of ids is built."""
+    keys = ["day", "hour", "_id"]
 
+    def partial(batch: DataFrame) -> DataFrame:
+        tagged = batch.select(F.to_date("ts_recv").alias("day"), F.hour("ts_recv").alias("hour"), sender(F.col("raw")).alias("_id"))
+        return tagged.groupBy(*keys).agg(F.count("*").alias("n"))
 
-def run_update(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Drains the available input; each batch's changed rows become one folder."""
+    run_merged(packets, path, checkpoint, partial, lambda rows: rows.groupBy(*keys).agg(F.sum("n").alias("n")))
 
-    def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    writer = stream.writeStream.outputMode("update").foreachBatch(save)
-    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def stream_hourly_activity(spark: SparkSession, path: str) -> DataFrame:
+    """Exact distinct senders and packets per hour."""
+    per_hour = merged_rows(spark, path).groupBy("day", "hour")
+    return per_hour.agg(F.count("_id").alias("n_aircraft"), F.sum("n").alias("n_packets"))
 
 
-def latest_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Newest version of each key among the folders of :func:`run_update`."""
-    versions = spark.read.parquet(path)
-    payload = [c for c in versions.columns if c not in (key, "epoch")]
-    newest = versions.groupBy(key).agg(F.max_by(F.struct(*payload), "epoch").alias("_r"))
-    return newest.select(key, "_r.*")
+# -- landed drains -----------------------------------------------------------
 
 
-def run_job_state(attempts: DataFrame, path: str, checkpoint: str) -> None:
-    """Keeps the job-state table current; state N is built from state N-1.
+def run_consensus(observations: DataFrame, path: str, checkpoint: str) -> None:
+    """Lands observations by day; a median needs all receivers of its second."""
+    stream_land(observations, path, checkpoint).awaitTermination()
 
-    Each epoch writes its own folder, so a repeated batch replaces its own
-    result and never counts twice.
-    """
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        if epoch == 0:
-            state = job_state(batch).select(*STATE)
-        else:
-            state = merge_job_state(spark.read.parquet(f"{path}/epoch={epoch - 1}"), batch)
-        state.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+def stream_consensus(spark: SparkSession, path: str) -> DataFrame:
+    """Receiver median per aircraft and GPS second of what has landed so far."""
+    return receiver_consensus(spark.read.parquet(path))
 
-    writer = attempts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
+
+def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Drains the available input into a parquet table."""
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", path)
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_job_state(attempts: DataFrame, path: str, checkpoint: str) -> None:
+    """Lands the attempts, in any order."""
+    run_append(attempts, path, checkpoint)
 
 
 def current_job_state(spark: SparkSession, path: str) -> DataFrame:
-    """State after the last batch."""
-    versions = spark.read.parquet(path)
-    return versions.where(F.col("epoch") == versions.select(F.max("epoch")).scalar()).select(*STATE)
+    """State by all attempts landed so far: a late one can still split a streak."""
+    return job_state(spark.read.parquet(path)).select(*STATE)
