@@ -88,7 +88,7 @@ def test_risk_never_rewards_a_negative_estimate():
     rng = np.random.default_rng(6)
     good = rng.normal(size=(40, 8)) + 2
     web = np.vstack([rng.normal(size=(170, 8)) + 2, rng.normal(size=(30, 8)) - 2])
-    model = quality.fit_risk(good, web, 0.85)
+    model = quality.fit_risk(np.vstack([good, web]), np.arange(240) < 40, 0.85)
     right = (web @ model.weights + model.bias >= 0) == (np.arange(200) < 170)
     assert right.mean() > 0.97 and np.isfinite(model.weights).all()
 

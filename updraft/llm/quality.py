@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from updraft.llm.common import cut_lineage, held_out, mix64, seeded
 
-BUCKET_BITS = 11
+BUCKET_BITS = 10
 BUCKETS = 1 << BUCKET_BITS
 #: Lengths of the shape n-grams.
 SIZES = (1, 2, 3, 4)
@@ -106,18 +106,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(found, -500, 500)))
 
 
-def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimises the non-negative unbiased risk of the logistic loss, by Adam on batches."""
-    dim = positive.shape[1]
-    mean = unlabelled.mean(axis=0)
-    spread = unlabelled.std(axis=0) + 0.02
-    positive, unlabelled = ((x - mean) / spread for x in (positive, unlabelled))
-    weights, bias = np.zeros(dim), math.log(prior / (1 - prior))
+def fit_risk(values: np.ndarray, good: np.ndarray, prior: float) -> Model:
+    """Minimises the non-negative unbiased risk of the logistic loss, by Adam on batches.
+
+    ``good`` marks the positives among the rows of ``values``, which is not copied.
+    """
+    dim = values.shape[1]
+    positive, unlabelled = np.flatnonzero(good), np.flatnonzero(~good)
+    parts = np.array_split(unlabelled, max(1, len(unlabelled) // BATCH))
+    mean = sum(values[p].sum(axis=0, dtype=np.float64) for p in parts) / len(unlabelled)
+    spread = np.sqrt(sum(((values[p] - mean) ** 2).sum(axis=0) for p in parts) / len(unlabelled)) + 0.02
+    mean, spread = mean.astype(np.float32), spread.astype(np.float32)
+    weights, bias = np.zeros(dim, np.float32), math.log(prior / (1 - prior))
     first, second = np.zeros(dim + 1), np.zeros(dim + 1)
     order = np.random.default_rng(23)
     rate = RATE / math.sqrt(dim)
     for done in range(1, STEPS + 1):
-        xp, xu = (x[order.choice(len(x), BATCH, replace=False) if len(x) > BATCH else slice(None)] for x in (positive, unlabelled))
+        picked = (rows if len(rows) <= BATCH else order.choice(rows, BATCH, replace=False) for rows in (positive, unlabelled))
+        xp, xu = ((values[rows] - mean) / spread for rows in picked)
         zp, zu = xp @ weights + bias, xu @ weights + bias
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp, gu = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))  # slopes of calling them negative
@@ -130,17 +136,25 @@ def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Mode
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         move = rate * (first / (1 - 0.9**done)) / (np.sqrt(second / (1 - 0.999**done)) + 1e-8)
-        weights, bias = weights - move[:-1], bias - move[-1]
+        weights, bias = (weights - move[:-1]).astype(np.float32), bias - move[-1]
     scaled = weights / spread
     return Model(scaled.astype(np.float32), float(bias - mean @ scaled))
 
 
+def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch[["doc_id", "positive"]].assign(values=[features(t).tobytes() for t in batch["text"]])
+
+
 def _fitted(prior: float):
     def run(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values(["positive", "doc_id"], kind="stable")
-        values = np.array([features(t) for t in sample["text"]])
+        values = np.empty((len(sample), BUCKETS + N_DENSE), np.float32)
+        for row, raw in zip(values, sample["values"], strict=True):
+            row[:] = np.frombuffer(raw, np.float32)
         good = sample["positive"].to_numpy(bool)
-        model = fit_risk(values[good], values[~good], prior)
+        del sample
+        model = fit_risk(values, good, prior)
         return pd.DataFrame({"at": np.arange(len(model.weights) + 1), "value": np.append(model.weights, model.bias)})
 
     return run
@@ -170,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if picked.select("positive").distinct().count() < 2:
         return flat
     # At most POSITIVES + UNLABELLED ids, so the broadcast is bounded.
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    sample = sample.mapInPandas(_featured, "doc_id long, positive boolean, values binary")
     found = sample.groupBy().applyInPandas(_fitted(float(prior)), "at int, value double").collect()
     values = np.array([r.value for r in sorted(found)])
     return Model(values[:-1].astype(np.float32), float(values[-1]))
