@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
@@ -23,25 +24,25 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks alread
 import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from updraft.llm.common import in_pieces  # noqa: E402
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Id that closes each document.
 END_ID = 0
 ID_TYPE = np.dtype("<u4")
-#: Words whose ids one worker keeps, and the longest of them.
-KEPT_WORDS, KEPT_CHARS = 500_000, 40
-#: Characters that are handed to the tokenizer at once.
-CALL_CHARS = 1 << 18
-
-#: White space of any kind next to a space, also across what may count as white space.
+#: Words of a generation whose ids one worker keeps, and the longest of them: longer ones seldom come back.
+KEPT_WORDS, KEPT_CHARS = 500_000, 12
+#: Characters that are handed to the tokenizer at once, and that are looked up together.
+CALL_CHARS, PIECE_CHARS = 1 << 18, 1 << 20
+
+#: Stands before a word that begins its text and so has no space in front.
+_FIRST = "\0"
+#: White space of any kind, also what only may count as such.
 _BLANK = "\\s\u0085\u180e\u200b\u2060\ufeff"
-_UNSAFE = re.compile(f"[{_BLANK}] | [{_BLANK}]|^ | $")
-
-
-def vocabulary_path(name: str = VOCABULARY) -> str:
-    return public_tokenizers.path(name)
-
-
-_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?$%&#*|]*)")
+#: Words next to which a space is not single: empty, or with a blank at an edge.
+_UNSAFE = re.compile(f"{_FIRST}?(?:[{_BLANK}].*|.*[{_BLANK}])?", re.DOTALL)
+#: Latin letters, then perhaps punctuation.
+_PLAIN = re.compile("(\0?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?$%&#*|]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,6 +56,10 @@ _LETTERS = _byte_letters()
 _ID_BYTES = [i.to_bytes(ID_TYPE.itemsize, "little") for i in range(1 << 16)]
 
 
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    return public_tokenizers.path(name)
+
+
 @cache
 def _tokenizer(path: str) -> Tokenizer:
     tokenizer = Tokenizer.from_file(path)
@@ -62,37 +67,67 @@ def _tokenizer(path: str) -> Tokenizer:
     return tokenizer
 
 
+@dataclass
+class Known:
+    """Words met of late, and those of the generation before."""
+
+    recent: dict[str, bytes] = field(default_factory=dict)
+    before: dict[str, bytes] = field(default_factory=dict)
+
+
+@cache
+def _known(path: str) -> Known:
+    return Known()
+
+
 @cache
-def _known(path: str) -> dict[str, bytes]:
-    return {}
+def _tokenize(path: str):
+    """The model's call for one pre-token; asking for the model costs as much as the call."""
+    return _tokenizer(path).model.tokenize
 
 
-def _pre_token(path: str, word: str) -> bytes:
-    if word.isascii() and word.rfind(" ") < 1:  # visible characters and at most the space in front
+def _pre_token(tokenize, word: str) -> bytes:
+    """Ids of one pre-token, given with its space."""
+    if word.isascii():
         letters = _LETTERS[32] + word[1:] if word[0] == " " else word
     else:
         letters = word.encode().decode("latin-1").translate(_LETTERS)
-    return b"".join([_ID_BYTES[t.id] for t in _tokenizer(path).model.tokenize(letters)])
+    return b"".join([_ID_BYTES[t.id] for t in tokenize(letters)])
 
 
-def _new_words(path: str, words: list[str]) -> dict[str, bytes]:
+def _as_text(word: str) -> str:
+    return word[1:] if word[:1] == _FIRST else " " + word
+
+
+def _new_words(path: str, words: set[str], known: Known) -> dict[str, bytes]:
     found: dict[str, bytes] = {}
     other = []
     marks = {"": b""}
+    recent, before, tokenize = known.recent, known.before, _tokenize(path)
     for word in words:
-        plain = _PLAIN.fullmatch(word) if len(word) <= KEPT_CHARS else None
+        if ids := before.get(word):
+            found[word] = recent[word] = ids
+            continue
+        plain = _PLAIN.fullmatch(word)
         if not plain:
             other.append(word)
             continue
         body, mark = plain.groups()
         if mark not in marks:
-            marks[mark] = _pre_token(path, mark)
-        found[word] = _pre_token(path, body) + marks[mark]
-    found.update(zip(other, _encode(path, other), strict=True))
+            marks[mark] = _pre_token(tokenize, mark)
+        ids = mark and (recent.get(body) or before.get(body))
+        found[word] = ids = (ids or _pre_token(tokenize, _as_text(body))) + marks[mark]
+        if len(word) <= KEPT_CHARS:
+            recent[word] = ids
+    for word, ids in zip(other, _encode(path, [_as_text(w) for w in other]), strict=True):
+        found[word] = ids
+        if len(word) <= KEPT_CHARS and not _UNSAFE.fullmatch(word):
+            recent[word] = ids
     return found
 
 
 def _encode(path: str, parts: list[str]) -> list[bytes]:
+    """Ids of texts by the whole tokenizer."""
     found: list[bytes] = []
     at = 0
     while at < len(parts):
@@ -110,35 +145,48 @@ def _encode(path: str, parts: list[str]) -> list[bytes]:
     return found
 
 
-def _split(text: str) -> list[str]:
-    """Parts of a text that can be encoded one by one."""
-    first, *rest = text.split(" ")
-    parts = [first, *[" " + w for w in rest]]
-    if not _UNSAFE.search(text):
-        return parts
-    merged = [parts[0]]
-    for part in parts[1:]:
-        if _UNSAFE.search(merged[-1][-1:] + part[:2]) or len(part) == 1:
-            merged[-1] += part
+def _merged(words: list[str]) -> list[str]:
+    """Joins the words again wherever the space between them is not single."""
+    blank = re.compile(f"[{_BLANK}]")
+    parts = words[:1]
+    for word in words[1:]:
+        last = parts[-1]
+        if last in ("", _FIRST) or not word or blank.match(last[-1]) or blank.match(word[0]):
+            parts[-1] = f"{last} {word}"
         else:
-            merged.append(part)
-    return merged
+            parts.append(word)
+    return parts
 
 
 def encode_all(path: str, texts: list[str | None]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, without the end id."""
+    texts = [t or "" for t in texts]
+    return [ids for part in in_pieces(texts, PIECE_CHARS) for ids in _encode_piece(path, texts[part])]
+
+
+def _encode_piece(path: str, texts: list[str]) -> list[bytes]:
     known = _known(path)
-    if len(known) > KEPT_WORDS:
-        known.clear()
-    split = [_split(t) if t else [] for t in texts]
-    new = list({w for parts in split for w in parts if w not in known})
-    fresh = _new_words(path, new)
-    known.update((w, ids) for w, ids in fresh.items() if len(w) <= KEPT_CHARS)
-    look = known.__getitem__
-    out = []
-    for parts in split:
-        try:
-            out.append(b"".join(map(look, parts)))
-        except KeyError:
-            out.append(b"".join(fresh[w] if w in fresh else known[w] for w in parts))
-    return out
+    if len(known.recent) > KEPT_WORDS:
+        known.before, known.recent = known.recent, {}
+    look = known.recent.get
+    split: list[list[str]] = []
+    found: list[list[bytes | None]] = []
+    new: set[str] = set()
+    for text in texts:
+        words = [] if not text else [_FIRST + text] if _FIRST in text else (_FIRST + text).split(" ")
+        ids = list(map(look, words))
+        if None in ids:
+            missing = [w for w, i in zip(words, ids, strict=True) if i is None]
+            # Kept words have clean edges, so only the others can break the rule.
+            if any(map(_UNSAFE.fullmatch, missing)):
+                words = _merged(words)
+                ids = list(map(look, words))
+                missing = [w for w, i in zip(words, ids, strict=True) if i is None]
+            new.update(missing)
+        split.append(words)
+        found.append(ids)
+    fresh = _new_words(path, new, known)
+    return [
+        b"".join([fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)]) if None in ids else b"".join(ids)
+        for words, ids in zip(split, found, strict=True)
+    ]
