@@ -9,7 +9,7 @@ import __spark_entry__ as entry_points
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
-# Iterates over written tables; its parts and a brute-force twin are tested elsewhere.
+# Iterates over written tables; the form with closing is compared here.
 SLOW = {"r11_high_terrain_component"}
 
 

@@ -10,6 +10,8 @@ from updraft.catalog.tracks import PHASE_OUT, TO_PHASE, detected
 from updraft.operators import spatial
 from updraft.operators.filters import BBox
 from updraft.operators.phases import PHASE_COLUMNS
+from updraft.session import scratch_path
+from updraft.sources import regions as geo
 
 IN_BOX = "lon >= x0 AND lon < x1 AND lat >= y0 AND lat < y1"
 PHASE_IN_BOX = "lon_centroid >= x0 AND lon_centroid < x1 AND lat_centroid >= y0 AND lat_centroid < y1"
@@ -52,6 +54,24 @@ def _j1(spark, d):
     return found.select("source_id", "rx", "t_s", "region_id", "name")
 
 
+# Which slanted region holds a point: at most one, by the parity of its edges east of the point.
+CROSSING = "(ya > lat) <> (yb > lat) AND lon < (xb - xa) * (lat - ya) / (yb - ya) + xa"
+
+
+@query(
+    "j1_assign_slanted_region",
+    fx.with_sql("obs", "slanted_edge", body=f"""
+    , hit AS (SELECT source_id, rx, t_s, region_id FROM obs JOIN slanted_edge ON {CROSSING} GROUP BY ALL HAVING COUNT(*) % 2 = 1)
+    SELECT o.source_id, o.rx, o.t_s, CAST(h.region_id AS VARCHAR) AS region_id FROM obs o LEFT JOIN hit h ON h.source_id = o.source_id AND h.rx = o.rx AND h.t_s = o.t_s"""),
+)
+def _j1_slanted(spark, d):
+    """Slanted edges, holes and two parts, written as GeoJSON and read back."""
+    path = scratch_path(spark, "geojson")
+    geo.to_geojson(fx.slanted_region(spark, d)).write.text(path)
+    layer = geo.read_regions(spark, path, multi_line=False)
+    return spatial.assign_region(fx.obs(spark, d), layer).select("source_id", "rx", "t_s", "region_id")
+
+
 @query(
     "j2_reassign_regions",
     fx.with_sql("obs", "region_box", recursive=True, body=TO_PHASE + f"SELECT source_id, t_start_s, region_id FROM phase LEFT JOIN region_box ON {PHASE_IN_BOX}"),

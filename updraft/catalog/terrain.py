@@ -284,11 +284,48 @@ def _r11_mask(spark, d):
     return components.high_terrain_mask(blocks(spark, d), FRAME, THRESHOLD, 1)
 
 
-@query("r11_high_terrain_component")
+def _filled(src: str, dst: str) -> str:
+    """Adds the parts of the complement that a walk from the rim does not reach."""
+    return f"""
+    , {dst}_out AS (SELECT a.x, b.y FROM range(0, 150) a(x), range(0, 69) b(y) WHERE (a.x, b.y) NOT IN (SELECT (x, y) FROM {src}))
+    , {dst}_open AS (SELECT x, y FROM {dst}_out WHERE x IN (0, 149) OR y IN (0, 68)
+        UNION SELECT o.x, o.y FROM {dst}_open w, steps s, {dst}_out o WHERE o.x = w.x + s.dx AND o.y = w.y + s.dy)
+    , {dst} AS (SELECT x, y FROM {src} UNION SELECT x, y FROM {dst}_out WHERE (x, y) NOT IN (SELECT (x, y) FROM {dst}_open))"""
+
+
+HIGH = """WITH RECURSIVE px AS (SELECT (l_orderkey * 7 + l_linenumber * 131) % 1200 AS x, (l_partkey * 3 + l_suppkey) % 550 AS y, 400.0e0 + l_quantity * 40 + (l_suppkey % 7) * 60 AS e FROM lineitem)
+    , steps AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) v(dx, dy))
+    , m0 AS (SELECT x, y FROM (SELECT CAST(FLOOR(x / 8.0e0) AS BIGINT) AS x, CAST(FLOOR(y / 8.0e0) AS BIGINT) AS y, AVG(e) AS e FROM px GROUP BY 1, 2) WHERE e >= 1600)"""
+# Every cell takes the least label of its neighbours until none changes.
+LARGEST = """
+    , lab(x, y, label) USING KEY (x, y) AS (SELECT x, y, y * 1000 + x FROM solid
+        UNION SELECT t.x, t.y, MIN(w.label) FROM lab w, steps s, recurring.lab t WHERE t.x = w.x + s.dx AND t.y = w.y + s.dy AND w.label < t.label GROUP BY 1, 2)
+    , top AS (SELECT label FROM lab GROUP BY 1 ORDER BY COUNT(*) DESC, label LIMIT 1)
+    , main AS (SELECT x, y FROM lab WHERE label = (SELECT label FROM top))"""
+
+
+def _closed(rounds: int) -> str:
+    ops = ["dilate"] * rounds + ["erode"] * rounds
+    names = ["m0", *[f"k{i}" for i in range(1, 2 * rounds + 1)]]
+    return "".join(_shift(a, b, op) for a, b, op in zip(names, names[1:], ops, strict=False))
+
+
+def component_sql(rounds: int) -> str:
+    last = f"k{2 * rounds}" if rounds else "m0"
+    return HIGH + _closed(rounds) + _filled(last, "solid") + LARGEST + _filled("main", "whole") + " SELECT x, y FROM whole"
+
+
+@query("r11_high_terrain_component", component_sql(0))
 def _r11(spark, d):
     return components.high_terrain_component(blocks(spark, d), FRAME, THRESHOLD, 0)
 
 
+@query("r11_high_terrain_closed", component_sql(3))
+def _r11_closed(spark, d):
+    """With the default closing; the higher threshold leaves several parts to choose from."""
+    return components.high_terrain_component(blocks(spark, d), FRAME, THRESHOLD, 3)
+
+
 # -- scalar columns ----------------------------------------------------------
 
 

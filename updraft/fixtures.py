@@ -172,6 +172,28 @@ def region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region_box(spark, sf_dir).select("region_id", "name", "ord", F.array(box_ring()).alias("rings"))
 
 
+#: Rings of a slanted region in shares of its box: two parts, the lower one with a hole.
+SLANTED = (
+    ((0.05, 0.0), (0.95, 0.1), (0.85, 0.45), (0.1, 0.5), (0.05, 0.0)),
+    ((0.3, 0.15), (0.6, 0.2), (0.4, 0.4), (0.3, 0.15)),
+    ((0.0, 0.6), (0.5, 0.75), (1.0, 0.55), (0.7, 1.0), (0.2, 0.9), (0.0, 0.6)),
+)
+#: Degrees of longitude by which a slanted region leans per degree of latitude.
+LEAN = 0.15
+
+
+def slanted_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions with slanted edges, a hole and two parts; none overlap."""
+
+    def corner(u: float, v: float) -> Column:
+        lat = F.col("y0") + v * (F.col("y1") - F.col("y0"))
+        lon = F.col("x0") + u * (F.col("x1") - F.col("x0")) + LEAN * (lat - 46.0)
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    rings = F.array(*[F.array(*[corner(u, v) for u, v in ring]) for ring in SLANTED])
+    return region_box(spark, sf_dir).select("region_id", "name", "ord", rings.alias("rings"))
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.col("o_orderstatus")
     return table(spark, sf_dir, "orders").select(
@@ -358,6 +380,14 @@ SQL["obs_line"] = SQL["obs"].replace(" obs AS (", " exact AS (") + f""",
   FROM exact WHERE HOUR(MAKE_TIMESTAMP((t_s + {OBS_START_S}) * 1000000)) BETWEEN 7 AND 18)"""
 
 
+_EDGES = ", ".join(f"({ua}, {va}, {ub}, {vb})" for ring in SLANTED for (ua, va), (ub, vb) in zip(ring, ring[1:], strict=False))
+# Edges of the slanted regions, for the parity rule: an eastward ray crosses an odd number of them.
+SQL["slanted_edge"] = SQL["region_box"] + f""",
+ slanted_edge AS (SELECT region_id, name, x0 + ua * (x1 - x0) + {LEAN} * (y0 + va * (y1 - y0) - 46.0e0) AS xa, y0 + va * (y1 - y0) AS ya,
+   x0 + ub * (x1 - x0) + {LEAN} * (y0 + vb * (y1 - y0) - 46.0e0) AS xb, y0 + vb * (y1 - y0) AS yb
+  FROM region_box, (VALUES {_EDGES}) e(ua, va, ub, vb))"""
+
+
 def with_sql(*relations: str, body: str, recursive: bool = False) -> str:
     """Oracle query: the named projections as a WITH clause, then ``body``.
 
