@@ -237,14 +237,17 @@ def _g12(spark, d):
         CASE WHEN r > 0.27e0 THEN 'rad_cover=' || CAST(ROUND_EVEN(r * 100, 0) AS INT) || '%>27%@900' END,
         CASE WHEN wet_frac < 0.35e0 AND h > 0.55e0 THEN 'blue_day(wet=' || CAST(ROUND_EVEN(wet_frac * 100, 0) AS INT) || '%<35%,htop_dc_cover=' || CAST(ROUND_EVEN(h * 100, 0) AS INT) || '%>55%)' END) AS why
         FROM facts FULL JOIN wet USING (init_h))
-    SELECT init_h, why <> '' AS fire, CASE WHEN why <> '' THEN why ELSE 'no_threshold_met' END AS reason, ROUND(c, 4) AS cape_cover_frac, ROUND(wet_frac, 4) AS wet_frac FROM reasons"""),
+    SELECT init_h, why <> '' AS fire, CASE WHEN why <> '' THEN why ELSE 'no_threshold_met' END AS reason, ROUND(c, 4) AS cape_cover_frac, ROUND(wet_frac, 4) AS wet_frac,
+      ROUND(cape_max, 2) AS cape_max_jkg, 2 AS lead_from FROM reasons LEFT JOIN (SELECT init_h, MAX(value) AS cape_max FROM grid_cell WHERE var = 'cape_ml' AND lead_h BETWEEN 2 AND 6 GROUP BY 1) USING (init_h)"""),
 )
 def _g13(spark, d):
     grid = fx.grid_cell(spark, d)
-    out = grids.gate_decision(grids.coverage(grid, GATE.cells(), (2, 6)), grids.wet_fraction(grid, (2, 6), 7.0), GATE)
+    parts = (grids.coverage(grid, GATE.cells(), (2, 6)), grids.wet_fraction(grid, (2, 6), 7.0), GATE)
+    out = grids.gate_decision(*parts, peak=grids.cape_peak(grid, (2, 6)), leads=(2, 6), box=(5.0, 43.5, 17.0, 49.0))
     return out.select(
         "init_h", "fire", "reason", rnd("metrics.cape_cover_frac", 4).alias("cape_cover_frac"),
-        rnd("metrics.wet_frac", 4).alias("wet_frac"),
+        rnd("metrics.wet_frac", 4).alias("wet_frac"), rnd("metrics.cape_max_jkg", 2).alias("cape_max_jkg"),
+        F.col("metrics.leads")[0].alias("lead_from"),
     )
 
 

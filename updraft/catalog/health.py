@@ -173,6 +173,12 @@ def _b1(spark, d):
     return health.job_state(attempts(spark, d))
 
 
+@query("b1_last_extra", fx.with_sql("job_attempt", body="SELECT job, CAST(ARG_MAX(seq, (ts, seq)) AS VARCHAR) AS files FROM job_attempt GROUP BY 1"))
+def _b1_extra(spark, d):
+    noted = attempts(spark, d).withColumn("extra", F.create_map(F.lit("files"), F.col("seq").cast("string")))
+    return health.job_state(noted).select("job", F.col("last_extra")["files"].alias("files"))
+
+
 @query("b1_merge_job_state", fx.with_sql("job_attempt", body=STATE + "SELECT * FROM state"))
 def _b1_merge(spark, d):
     middle = F.to_timestamp(F.lit("2024-01-15 00:00:00"))

@@ -263,6 +263,12 @@ def coverage(
     return share.groupBy(run, "var").agg(F.max("share").alias("cover"))
 
 
+def cape_peak(grid: DataFrame, leads: tuple[int, int] = GATE_LEADS, run: str = "init_h") -> DataFrame:
+    """Highest instability of a run over all cells and leads."""
+    rows = grid.where((F.col("var") == "cape_ml") & F.col("lead_h").between(*leads))
+    return rows.groupBy(run).agg(F.max("value").alias("cape_max_jkg"))
+
+
 def wet_fraction(
     grid: DataFrame, leads: tuple[int, int] = GATE_LEADS, wet_mm: float = 1.0, run: str = "init_h"
 ) -> DataFrame:
@@ -286,8 +292,20 @@ def _percent(share: Column) -> Column:
     return F.concat(F.bround(share * 100).cast("long").cast("string"), F.lit("%"))
 
 
-def gate_decision(cover: DataFrame, wet: DataFrame, thresholds: GateThresholds = GateThresholds(), run: str = "init_h") -> DataFrame:
-    """Fires when any branch holds: widespread instability, sun, or dry convection."""
+def gate_decision(
+    cover: DataFrame,
+    wet: DataFrame,
+    thresholds: GateThresholds = GateThresholds(),
+    run: str = "init_h",
+    peak: DataFrame | None = None,
+    leads: tuple[int, int] = GATE_LEADS,
+    box: tuple[float, float, float, float] | None = None,
+) -> DataFrame:
+    """Fires when any branch holds: widespread instability, sun, or dry convection.
+
+    ``peak`` (see :func:`cape_peak`), the leads and the box that the shares were
+    taken over go into the metrics; they decide nothing.
+    """
     g = thresholds
 
     def of(var: str) -> Column:
@@ -297,6 +315,10 @@ def gate_decision(cover: DataFrame, wet: DataFrame, thresholds: GateThresholds =
         of("cape_ml").alias("cape_cover_frac"), of("asob_s").alias("rad_cover_frac"), of("htop_dc").alias("htop_dc_cover_frac")
     )
     facts = wide.join(wet, run, "full")
+    if peak is None:
+        facts = facts.withColumn("cape_max_jkg", F.lit(None).cast("double"))
+    else:
+        facts = facts.join(peak, run, "left")
     cape, sun, dry, rain = (F.col(c) for c in ("cape_cover_frac", "rad_cover_frac", "htop_dc_cover_frac", "wet_frac"))
 
     def text(name: str, share: Column, limit: float, cell: float) -> Column:
@@ -313,7 +335,8 @@ def gate_decision(cover: DataFrame, wet: DataFrame, thresholds: GateThresholds =
         F.when(sun > g.rad_cover_frac, text("rad_cover", sun, g.rad_cover_frac, g.rad_cell)),
         F.when((rain < g.precip_wet_max_frac) & (dry > g.htop_dc_cover_frac), blue),
     )
-    metrics = F.struct(cape, sun, dry, rain, F.struct(*[F.lit(v).alias(k) for k, v in asdict(g).items()]).alias("thresholds"))
+    scope = (F.array(*map(F.lit, leads)).alias("leads"), F.array(*map(F.lit, box or ())).cast("array<double>").alias("bbox"))
+    metrics = F.struct(cape, sun, dry, rain, "cape_max_jkg", *scope, F.struct(*[F.lit(v).alias(k) for k, v in asdict(g).items()]).alias("thresholds"))
     return facts.select(
         run,
         (reasons != "").alias("fire"),

@@ -123,6 +123,8 @@ STATE = ["job", "last_attempt", "last_status", "since", "last_success"]
 def job_state(attempts: DataFrame) -> DataFrame:
     """State of each job from its attempts: ``job, ts, status, seq``.
 
+    With a column ``extra`` the last attempt's goes along as ``last_extra``.
+
     The current streak starts at the first attempt after the last one with
     another status. Three grouped extrema find it, so a job with most of all
     attempts is still merged before the shuffle.
@@ -132,6 +134,7 @@ def job_state(attempts: DataFrame) -> DataFrame:
         F.max(at).alias("_last"),
         F.max_by("status", at).alias("last_status"),
         F.max(F.when(F.col("status") == "ok", F.col("ts"))).alias("last_success"),
+        *[F.max_by(c, at).alias(f"last_{c}") for c in ("extra",) if c in attempts.columns],
     )
     # Latest attempt per job and status, a handful of rows per job.
     per_status = attempts.groupBy("job", "status").agg(F.max(at).alias("_at"))
@@ -149,8 +152,9 @@ def job_state(attempts: DataFrame) -> DataFrame:
         .agg(F.min("ts").alias("since"))
     )
     return final.join(streak, "job").select(
-        "job", F.col("_last.ts").alias("last_attempt"), "last_status", "since", "last_success"
-    )
+        "job", F.col("_last.ts").alias("last_attempt"), "last_status", "since", "last_success",
+        *[c for c in ("last_extra",) if c in final.columns],
+    )
 
 
 def merge_job_state(previous: DataFrame, batch: DataFrame) -> DataFrame:
