@@ -114,11 +114,17 @@ def surface_series(
     centre = nearest_cell(cells, representative_points(regions, cell_deg))
     keys = [run, "lead_h", "var"]
     wanted = grid.where(F.col("var").isin(*variables) & F.col("lead_h").between(*leads))
-    means = region_mean(wanted, cell_map, keys)
-    points = wanted.join(broadcast_if_small(centre), CELL).select("region_id", *keys, F.col("value").alias("centroid"))
+    # One map for both: a cell may count for the mean, be the centre, or both.
+    flags = [(cell_map, True, False), (centre, False, True)]
+    marked = [m.select("region_id", *CELL, F.lit(a).alias("_in"), F.lit(b).alias("_centre")) for m, a, b in flags]
+    parts = marked[0].unionByName(marked[1]).groupBy("region_id", *CELL)
+    parts = cut_lineage(parts.agg(F.max("_in").alias("_in"), F.max("_centre").alias("_centre")), "parts")
+    joined = wanted.join(broadcast_if_small(parts), CELL).groupBy("region_id", *keys)
+    values = joined.agg(
+        F.max(F.when(F.col("_centre"), F.col("value"))).alias("centroid"), F.avg(F.when(F.col("_in"), F.col("value"))).alias("mean")
+    )
     every = run_cells.join(broadcast_if_small(cell_map), CELL).select(run, "region_id").distinct()
-    full = scaffold(every, leads, variables)
-    return full.join(points, ["region_id", *keys], "left").join(means, ["region_id", *keys], "left")
+    return scaffold(every, leads, variables).join(values, ["region_id", *keys], "left")
 
 
 def wide_series(series: DataFrame, variables: tuple[str, ...], keys: list[str]) -> DataFrame:
