@@ -16,6 +16,10 @@ from updraft.session import cut_lineage, scratch_path
 #: The six white-space characters the operators split at.
 SPACE = r"[\x20\x09-\x0D]"
 
+#: Documents in an Arrow batch.
+BATCH_DOCUMENTS = 500
+_BATCH_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
 __all__ = ["SPACE", "cut_lineage", "held_out", "in_pieces", "mix64", "scratch_path", "seeded", "ship", "table", "unit_hash"]
 
 
@@ -23,8 +27,11 @@ def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each Spark context.
 
     Tasks run its functions wherever the driver was started from and whatever
-    the executors have installed.
+    the executors have installed. Unless the session says otherwise, Arrow batches
+    get smaller, since a row here is a whole document and not a few numbers.
     """
+    if spark.conf.get(_BATCH_ROWS, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_BATCH_ROWS, str(BATCH_DOCUMENTS))
     context = spark.sparkContext
     if getattr(context, "_updraft_shipped", False):
         return
