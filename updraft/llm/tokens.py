@@ -31,7 +31,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 ID_TYPE = np.dtype("<u4")
 #: Words of a generation whose ids one worker keeps, and the longest of them: longer ones seldom come back.
-KEPT_WORDS, KEPT_CHARS = 300_000, 12
+KEPT_WORDS, KEPT_CHARS = 450_000, 12
 #: Characters that are handed to the tokenizer at once, and that are looked up together.
 CALL_CHARS, PIECE_CHARS = 1 << 18, 1 << 20
 
