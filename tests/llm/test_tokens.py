@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from updraft.llm import packing, token_files, tokens
 from updraft.llm.common import table
@@ -46,6 +47,34 @@ def test_words_give_the_ids_of_the_text(parts):
     assert got == plain_ids(text)[:-1]
 
 
+def library_ids(text):
+    """By the library alone, with nothing of the engine's set on it."""
+    return Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+SPECIAL_TEXTS = [
+    "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|> b", "a<|endoftext|>b", "a  <|endoftext|>  b", "a\n<|endoftext|>\n b", "x <|endoftext|><|endoftext|> y.",
+    "<|endoftext|", "< |endoftext|>", "<|ENDOFTEXT|>", "a\0 <|endoftext|> b", " <|endoftext|> " * 3,
+]
+
+
+@pytest.mark.parametrize("text", SPECIAL_TEXTS)
+def test_special_names_are_the_librarys(text):
+    for _ in range(2):  # the second time from kept words
+        assert np.frombuffer(tokens.encode_all(PATH, [text])[0], "<u4").tolist() == library_ids(text)
+
+
+def test_special_names_in_files_and_windows(spark, tmp_path):
+    assert library_ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+    want = {k: library_ids(text) + [tokens.END_ID] for k, text in enumerate(SPECIAL_TEXTS)}
+    docs = spark.createDataFrame(list(enumerate(SPECIAL_TEXTS)), "doc_id long, text string")
+    got = sorted(token_files.round_trip(docs, str(tmp_path / "out")).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(i), crc(i)) for i in want.values()]
+    assert [r.start for r in got] == np.cumsum([0, *map(len, want.values())])[:-1].tolist()
+    for r in packing.pack(docs).collect():
+        assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == crc(want[r.doc_id][r.start : r.start + r.length])
+
+
 @given(st.lists(st.integers(0, 10**6), max_size=1500))
 @settings(max_examples=60, deadline=None)
 def test_elias_fano(steps):

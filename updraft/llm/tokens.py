@@ -62,9 +62,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @cache
 def _tokenizer(path: str) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 @dataclass
