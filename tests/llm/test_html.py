@@ -31,6 +31,33 @@ def test_tree_mends_broken_markup():
     assert parse("3 < 4 <b").runs == [(0, "3 < 4", 0)]
 
 
+@pytest.mark.parametrize("inside, text", [
+    ('<p>Ahead of it. <svg class="i"/>Close behind it.</p>', "Ahead of it. Close behind it."),
+    ("<p>Ahead of it. <svg><path d='M0'/><circle r=1 /><text>Label here.</text></svg>Close behind it.</p>", "Ahead of it. Label here. Close behind it."),
+    ("<p>Ahead of it. <svg><title/><style/><title>Icon</svg>Close behind it.</p>", "Ahead of it. Close behind it."),
+    ("<p>Ahead of it. <object data=x>Close behind it.</p>", "Ahead of it. Close behind it."),
+    ("<template><p>Ahead of it.</p><p>Close behind it.</p>", "Ahead of it. Close behind it."),
+    ("<p>Ahead of it. <noscript>Shown without scripts.</noscript> Close behind it.</p>", "Ahead of it. Shown without scripts. Close behind it."),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><mspace/></math> holds here.</p>", "So x = 1 2 holds here."),
+    ("<p>So it is, <math/> as said.</p>", "So it is, as said."),
+    ("<p>Ahead of it.</p><xmp>a <b>bold</b> &amp; word.</xmp><p>Close behind it.</p>", "Ahead of it. a <b>bold</b> &amp; word. Close behind it."),
+    ("<noframes><p>Ahead of it.</p></noframes><noembed>Close behind it.</noembed>", "Ahead of it. Close behind it."),
+    ("<script>var a = '<p>';</script><style>p {}</style><iframe>no</iframe><textarea>no</textarea><title>no</title><p>Ahead of it.</p>", "Ahead of it."),
+])
+def test_nothing_else_is_dropped(model, inside, text):
+    page = f"<body><article><h1>Title of it</h1><p>First part, with words.</p>{inside}<p>Second part of it.</p></article><footer>&copy; me</footer></body>"
+    runs = " ".join(t for _, t, _ in parse(page).runs)
+    assert runs == f"Title of it First part, with words. {text} Second part of it. © me"
+    assert model.extract(page) == f"Title of it First part, with words. {text} Second part of it."
+    assert " ".join(t for _, t, _ in parse(f"<article>{inside}").runs) == text
+
+
+def test_what_is_left_open_keeps_the_rest():
+    for name in "svg object template noscript math xmp".split():
+        runs = parse(f"<article><p>Ahead.</p><{name}>In it.<p>Behind.</p></article>tail").runs
+        assert "Behind." in " ".join(t for _, t, _ in runs) and "tail" in runs[-1][1]
+
+
 def test_marginals_are_exact(model):
     tree = parse("<div class=page><p>Some words here. More.</p><div class=ad>Buy it</div><a href=x>link</a></div>")
     got = model.content(tree)

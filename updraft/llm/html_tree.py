@@ -14,7 +14,14 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math object".split())
+RAW = frozenset("script style title textarea iframe".split())
+#: Formulas flow with the text around them; each part stands apart.
+FORMULA = frozenset(
+    "math mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover "
+    "munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split()
+)
+#: Elements that may stand within a paragraph and do not end it.
+WITHIN = frozenset("svg object template noscript".split())
 CONTROLS = frozenset("input button select textarea".split())
 #: A start tag ends an open element of its group, up to the enclosing container.
 SIBLINGS = {
@@ -30,6 +37,7 @@ SIBLINGS = {
 _TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>?|!--.*?(?:-->|\Z)|[!?/][^>]*+>?)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 _SPACE = re.compile(r"\s+")
+_XMP_END = re.compile(r"</xmp[^>]*>?", re.I)
 _NAMED = frozenset(("class", "id", "role", "itemprop", "aria-label"))
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -115,9 +123,11 @@ def parse(source: str, mark: str | None = None) -> Tree:
         name = name.lower()
         if name in RAW and not closing:
             tree.controls[stack[-1]] += name in CONTROLS
-            end = re.compile(f"</{re.escape(name)}[^>]*>?", re.I).search(source, at)
+            if opened["svg"] and attributes.endswith("/"):
+                continue
+            end = re.compile(f"</{name}[^>]*>?{'|(?=</svg)' if opened['svg'] else ''}", re.I).search(source, at)
             at = begin = end.end() if end else len(source)
-        elif name == "br":
+        elif name == "br" or name in FORMULA:
             parts.append(" ")
         elif name in INLINE:
             if name == "a":
@@ -134,9 +144,11 @@ def parse(source: str, mark: str | None = None) -> Tree:
                 pop_to(depth)
         elif name == "html" or (name == "body" and opened["body"]):
             continue
+        elif (name == "svg" or opened["svg"]) and attributes.endswith("/"):
+            continue
         else:
             flush()
-            if tree.tags[stack[-1]] == "p":
+            if tree.tags[stack[-1]] == "p" and name not in WITHIN:
                 pop_to(len(stack) - 1)
             group, container = SIBLINGS.get(name, ((), ()))
             depth = len(stack) - 1
@@ -149,5 +161,10 @@ def parse(source: str, mark: str | None = None) -> Tree:
             push(name, attributes)
             if name in CONTROLS:
                 tree.controls[stack[-1]] += 1
+            if name == "xmp":  # all up to its end is text as it stands
+                end = _XMP_END.search(source, at)
+                parts.append(source[at : end.start() if end else len(source)])
+                state["linked"] += len(parts[-1]) if state["links"] else 0
+                at = begin = end.start() if end else len(source)
     flush()
     return tree
