@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from updraft.session import cut_lineage, scratch_path
 
@@ -20,7 +21,7 @@ SPACE = r"[\x20\x09-\x0D]"
 BATCH_DOCUMENTS = 500
 _BATCH_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
-__all__ = ["SPACE", "cut_lineage", "held_out", "in_pieces", "mix64", "scratch_path", "seeded", "ship", "table", "unit_hash"]
+__all__ = ["SPACE", "cut_lineage", "held_out", "in_pieces", "long_columns", "map_exact", "mix64", "scratch_path", "seeded", "ship", "table", "unit_hash"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,6 +50,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def long_columns(rows: DataFrame) -> list[str]:
+    return [f.name for f in rows.schema if isinstance(f.dataType, LongType)]
+
+
+def map_exact(rows: DataFrame, run: Callable, schema: str | StructType, *names: str) -> DataFrame:
+    """``mapInPandas`` that hands the named longs through as texts.
+
+    Beside a null, pandas makes floats of a batch's longs, which rounds them above 2**53.
+    """
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    sent = StructType([StructField(f.name, StringType()) if f.name in names else f for f in kinds])
+    texts = rows.withColumns({n: F.col(f"`{n}`").cast("string") for n in names})
+    return texts.mapInPandas(run, sent).withColumns({n: F.col(f"`{n}`").cast("long") for n in names})
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn from; false where the id is null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from updraft.llm.common import cut_lineage
+from updraft.llm.common import cut_lineage, map_exact
 from updraft.operators.components import connected_components
 
 COSINE = 0.93
@@ -156,7 +156,7 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     empty result; other columns are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<float>"))
-    rows = cut_lineage(rows.mapInPandas(_packed, "vec_id long, label long, vector binary"), "vectors")
+    rows = cut_lineage(map_exact(rows, _packed, "vec_id long, label long, vector binary", "vec_id", "label"), "vectors")
     usable = rows.where("vector IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL")
     classes = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("times"))
     classes = cut_lineage(classes, "classes")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from updraft.llm import html_pages
+from updraft.llm.common import map_exact
 from updraft.llm.html_tree import Tree, parse
 
 FRAME, CONTENT, OTHER = range(3)
@@ -177,4 +178,4 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
             yield batch[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
 
     schema = "page_id long, url string, text string, n_chars long"
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(run, schema)
+    return map_exact(pages.select(F.col("page_id").cast("long"), "url", "html"), run, schema, "page_id")

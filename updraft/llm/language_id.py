@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from updraft.llm.common import cut_lineage, held_out, mix64, seeded
+from updraft.llm.common import cut_lineage, held_out, mix64, seeded, map_exact
 
 SIZES = (1, 2, 3)
 BUCKET_BITS = 16
@@ -225,4 +225,4 @@ def predicted(docs: DataFrame, model: Model | None = None) -> DataFrame:
             yield out
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_exact(rows, run, "doc_id long, held_out boolean, lang_pred string, score double", "doc_id")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from updraft.llm.common import cut_lineage, mix64
+from updraft.llm.common import cut_lineage, mix64, map_exact
 from updraft.llm.shingles import shingle_sets
 from updraft.operators.components import connected_components
 
@@ -91,7 +91,7 @@ def _signatures(width: int):
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, a digest of the whole set, the band values and the sketch."""
     schema = "doc_id long, n_shingles long, set_key binary, bands array<int>, sketch binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_signatures(width), schema)
+    return map_exact(docs.select(F.col("doc_id").cast("long"), "text"), _signatures(width), schema, "doc_id")
 
 
 def _check(width: int, percent: int):

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from updraft.llm.common import SPACE, cut_lineage
+from updraft.llm.common import SPACE, cut_lineage, long_columns, map_exact
 
 _WORD = re.compile(SPACE.replace("[", "[^") + "+")
 
@@ -216,5 +216,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = _placed(_sized(docs.withColumnsRenamed(clash)), plan(lines)).where("taken > 0")
     names = [clash.get(c, c) for c in docs.columns]
     wanted = rows.select(*names, "copies", "head_from", "head_to", "tail_from", "tail_to")
-    out = wanted.mapInPandas(_cut, wanted.schema).select(*names)
+    passed = [c for c in long_columns(wanted) if c in names and c != "n_chars"]
+    out = map_exact(wanted, _cut, wanted.schema, *passed).select(*names)
     return out.withColumnsRenamed({v: k for k, v in clash.items()})

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from updraft.llm import tokens
-from updraft.llm.common import cut_lineage
+from updraft.llm.common import cut_lineage, map_exact
 
 LENGTH = 1024
 OPEN_WINDOWS = 64
@@ -41,7 +41,7 @@ SCHEMA = (
 
 @dataclass
 class Piece:
-    doc_id: int | None
+    doc_id: str | None
     start: int
     ids: bytes
     doc_tokens: int
@@ -126,9 +126,7 @@ def _rows(numbered: list[tuple[int, list[Piece]]], still_open: bool) -> pd.DataF
             rows.append((p.doc_id, p.start, len(p), zlib.crc32(p.ids), p.doc_tokens, number, offset, ids, still_open))
             offset += len(p)
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    frame = pd.DataFrame(rows, columns=names)
-    frame["doc_id"] = pd.array([r[0] for r in rows], "Int64")
-    return frame
+    return pd.DataFrame(rows, columns=names)
 
 
 def _first_pass(path: str, length: int, limit: int):
@@ -141,10 +139,9 @@ def _first_pass(path: str, length: int, limit: int):
                 continue
             part = int(batch["part"].iloc[0]) * _PART
             done = []
-            doc_ids = batch["doc_id"].astype("Int64")
-            for doc_id, body in zip(doc_ids, tokens.encode_all(path, batch["text"].tolist()), strict=True):
+            for doc_id, body in zip(batch["doc_id"], tokens.encode_all(path, batch["text"].tolist()), strict=True):
                 body += end
-                whole = Piece(None if doc_id is pd.NA else int(doc_id), 0, body, len(body) // _WIDTH)
+                whole = Piece(doc_id, 0, body, len(body) // _WIDTH)
                 for window in state.add(whole):
                     done.append((part + number, window))
                     number += 1
@@ -162,9 +159,8 @@ def _second_pass(length: int, limit: int):
                 continue
             part = _PASS + int(batch["part"].iloc[0]) * _PART
             done = []
-            doc_ids = batch["doc_id"].astype("Int64")
-            for doc_id, start, ids, total in zip(doc_ids, batch["start"], batch["ids"], batch["doc_tokens"], strict=True):
-                piece = Piece(None if doc_id is pd.NA else int(doc_id), int(start), bytes(ids), int(total))
+            for doc_id, start, ids, total in zip(batch["doc_id"], batch["start"], batch["ids"], batch["doc_tokens"], strict=True):
+                piece = Piece(doc_id, int(start), bytes(ids), int(total))
                 for window in state.add(piece):
                     done.append((part + number, window))
                     number += 1
@@ -185,11 +181,11 @@ def pack(docs: DataFrame, length: int = LENGTH, open_windows: int = OPEN_WINDOWS
     """
     path = path or tokens.vocabulary_path()
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part"))
-    first = cut_lineage(rows.mapInPandas(_first_pass(path, length, open_windows), SCHEMA), "packed")
+    first = cut_lineage(map_exact(rows, _first_pass(path, length, open_windows), SCHEMA, "doc_id"), "packed")
     left = first.where("open")
     tasks = max(1, -(-left.select("sequence_id").distinct().count() // MERGED_WINDOWS))
     # Largest pieces first within a task, as best fit likes them; the order is total up to equal rows.
     dealt = left.repartition(tasks, "sequence_id", "offset").sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids_crc32")
     dealt = dealt.withColumn("part", F.spark_partition_id())
-    merged = dealt.mapInPandas(_second_pass(length, open_windows), SCHEMA)
+    merged = map_exact(dealt, _second_pass(length, open_windows), SCHEMA, "doc_id")
     return first.where("NOT open").unionByName(merged).drop("ids", "open")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from updraft.llm.common import cut_lineage, held_out, mix64, seeded
+from updraft.llm.common import cut_lineage, held_out, mix64, seeded, long_columns, map_exact
 
 BUCKET_BITS = 10
 BUCKETS = 1 << BUCKET_BITS
@@ -207,7 +207,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             score = shared.value.score(batch["text"].tolist())
             yield batch.assign(score=score, predicted=(score >= 0.5).astype(np.int32))
 
-    return out.mapInPandas(run, schema)
+    return map_exact(out, run, schema, *long_columns(out))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from updraft.llm.common import long_columns, map_exact
+
 # Patterns of the base kinds.
 ASSIGN = re.compile(rb"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -185,7 +187,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     other row; other columns are ignored; an empty table gives an empty result.
     """
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_rows, schema)
+    return map_exact(docs.select(F.col("doc_id").cast("long"), "text"), _rows, schema, "doc_id")
 
 
 def masked(docs: DataFrame, mask: str = "[{kind}]") -> DataFrame:
@@ -196,7 +198,7 @@ def masked(docs: DataFrame, mask: str = "[{kind}]") -> DataFrame:
             batch["text"] = [None if t is None else _masked(t, spans_of(t), mask) for t in batch["text"]]
             yield batch
 
-    return docs.mapInPandas(run, docs.schema)
+    return map_exact(docs, run, docs.schema, *long_columns(docs))
 
 
 def _masked(text: str, spans: list[tuple[str, int, int]], mask: str) -> str:
