@@ -74,3 +74,12 @@ def test_edge_rows(spark):
     ]
     assert secrets.secret_spans(frame.limit(0)).collect() == []
     assert sorted(r.text or "" for r in secrets.masked(frame.where("doc_id IS NULL OR doc_id < 3")).collect()) == ["", "", "[assign]"]
+
+
+def test_later_and_shorter_numbers():
+    number = "4111 1111 1111 1111"
+    assert [s for s in secrets.scan("card order 1234567890123 4111111111111111") if s[0] == "card"] == [("card", 25, 41)]
+    assert [s for s in secrets.scan(f"card {number} 123") if s[0] == "card"] == [("card", 5, 5 + len(number))]
+    account = "DE89370400440532013000"
+    assert [s for s in secrets.scan(f"iban DE00370400440532013000 {account} EUR") if s[0] == "account"] == [("account", 28, 28 + len(account))]
+    assert [s for s in secrets.scan("card 4111 1111 1111 1112 123") if s[0] == "card"] == []

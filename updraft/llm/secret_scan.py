@@ -124,9 +124,10 @@ def _scan(data: bytes) -> list[tuple[str, int, int]]:
             if at < len(CHECKED):
                 before = data[start - 1 : start]
                 match = None if before.isalnum() or start < free[at] else pattern.match(data, start)
+                match = match if match and holds(match) else None
             else:
-                match = _first_near(pattern, data, max(free[at], start + len(word)))
-            if match and holds(match):
+                match = _first_near(pattern, holds, data, max(free[at], start + len(word)))
+            if match:
                 more.append((kind, *match.span()))
                 free[at] = match.end()
         elif word == ACCESS_KEYWORD:
@@ -142,10 +143,14 @@ def _scan(data: bytes) -> list[tuple[str, int, int]]:
     return assign + access + [("hex", *m.span()) for m in HEX.finditer(data)] + more
 
 
-def _first_near(pattern: re.Pattern, data: bytes, after: int) -> re.Match | None:
+def _first_near(pattern: re.Pattern, holds: Callable[[re.Match], bool], data: bytes, after: int) -> re.Match | None:
+    """The first match near a keyword whose check holds, the longest at its place."""
     for at in range(after, min(len(data), after + NEAR)):
         if not data[at - 1 : at].isalnum() and (match := pattern.match(data, at)):
-            return match
+            # A number may end before any of its separators; what follows is then no part of it.
+            for end in (match.end(), *(e for e in range(match.end() - 1, at, -1) if not data[e : e + 1].isalnum())):
+                if (shorter := pattern.fullmatch(data, at, end)) and holds(shorter):
+                    return shorter
     return None
 
 
