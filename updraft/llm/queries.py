@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from updraft.llm import embedding_dedup, exact_dedup, html_extract, language_id, minhash_dedup, mixing, packing, quality, secret_scan, token_files
+from updraft.llm import alignment, byte_bpe, embedding_dedup, exact_dedup, html_extract, language_id, minhash_dedup, mixing, packing, quality, secret_scan, token_files, vector_codes
 from updraft.llm.common import table
 
 #: Word shingles of the near-duplicate query.
@@ -53,9 +53,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_embedding_dedup, op2_mixing, op3_language_id, op4_html_extract, op5_packing,
     op6_token_output, op7_secrets, op8_exact_dedup, op9_minhash_dedup, op10_quality,
+    op11_byte_bpe, op12_vector_codes, op13_alignment,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
-ORACLES = {"op1_embedding_dedup": embedding_dedup.SQL, "op8_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op1_embedding_dedup": embedding_dedup.SQL, "op8_exact_dedup": exact_dedup.SQL, "op12_vector_codes": vector_codes.SQL}
