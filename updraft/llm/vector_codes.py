@@ -81,7 +81,8 @@ def _sums(codebooks: list[np.ndarray]):
                 np.add.at(sums[p], index[p], values[:, p * width : (p + 1) * width])
                 counts[p] += np.bincount(index[p], minlength=entries)
         part, entry = np.nonzero(counts)
-        yield pd.DataFrame({"part": part, "entry": entry, "n": counts[part, entry], "total": list(sums[part, entry])})
+        if len(part):
+            yield pd.DataFrame({"part": part, "entry": entry, "n": counts[part, entry], "total": list(sums[part, entry])})
 
     return run
 
