@@ -8,6 +8,8 @@ what it made void stays in the queue and is skipped when met, since the list
 knows the present rank of each pair. A match of n bytes takes about n steps,
 however long it is.
 
+A worker keeps the ids of matches, and of the stretches between single spaces, that it has met.
+
 The pattern's letter and number classes are those of the Unicode version of the
 ``tiktoken`` library. The ``regex`` module may know later letters, so characters
 on which the two differ are replaced for the cut, one for one.
@@ -37,12 +39,14 @@ from updraft.llm.rank_queue import PairMerger
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 ID_TYPE = np.dtype("<u4")
-#: Matches whose ids one worker keeps, and the longest of them in characters.
-KEPT_WORDS, KEPT_CHARS = 600_000, 24
+#: Matches, and stretches, of a generation whose ids one worker keeps, and the longest of them in characters.
+KEPT_WORDS, KEPT_CHARS = 500_000, 24
 #: Matches that are looked up together; longer texts take several turns.
 TURN = 200_000
-#: Characters up to which a text's matches are listed at once.
+#: Characters up to which a text's matches are listed at once, and after which a text is cut at the next safe space.
 LISTED_CHARS = 1 << 20
+#: A single space between two visible characters: no match reaches across it, the next one begins with it.
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
@@ -97,6 +101,25 @@ def matches(text: str) -> Iterator[list[str]]:
         yield part
 
 
+class Kept(dict):
+    """Ids of words met of late; those of the generation before come back when asked for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def again(self, word: str) -> bytes | None:
+        ids = self.older.pop(word, None)
+        if ids is not None:
+            self[word] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) > KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
 class Vocabulary:
     """Token bytes by rank, and the work of encoding and decoding with them."""
 
@@ -107,7 +130,9 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.decimal = [str(rank) for rank in range(len(self.tokens))]
-        self._known: dict[str, bytes] = {}
+        #: Ids of matches, and of whole stretches by the text after their space.
+        self._matches = Kept()
+        self._stretches = Kept()
 
     @cached_property
     def _merger(self) -> PairMerger:
@@ -118,23 +143,43 @@ class Vocabulary:
         whole = self.ranks.get(piece)
         return self._merger.merge(piece) if whole is None else [whole]
 
-    def _packed(self, word: str) -> bytes:
-        ids = self.merge(word.encode())
-        ids = struct.pack(f"<{len(ids)}I", *ids)
+    def _match_ids(self, word: str) -> bytes:
+        if ids := self._matches.again(word):
+            return ids
+        found = self.merge(word.encode())
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= KEPT_CHARS:
-            self._known[word] = ids
+            self._matches[word] = ids
+        return ids
+
+    def _stretch_ids(self, stretch: str) -> bytes:
+        """Ids of what stands between two safe spaces, with the first of them."""
+        if ids := self._stretches.again(stretch[1:]):
+            return ids
+        known = self._matches
+        ids = b"".join([known.get(w) or self._match_ids(w) for words in matches(stretch) for w in words])
+        if len(stretch) <= KEPT_CHARS:
+            self._stretches[stretch[1:]] = ids
         return ids
 
     def encode(self, text: str | None) -> Iterator[np.ndarray]:
-        """The text's ids, in turns of bounded size."""
-        for words in matches(text or ""):
-            if len(self._known) > KEPT_WORDS:
-                self._known.clear()
-            found = list(map(self._known.get, words))
-            if None in found:
-                known = self._known
-                found = [known.get(w) or self._packed(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
-            yield np.frombuffer(b"".join(found), ID_TYPE)
+        """The text's ids, in turns of bounded size wherever the text has safe spaces."""
+        text = text or ""
+        at = 0
+        while at < len(text):
+            self._matches.turn()
+            self._stretches.turn()
+            cut = _SAFE.search(text, at + LISTED_CHARS) if len(text) - at > LISTED_CHARS else None
+            part = text[at : cut.start() if cut else len(text)]
+            at += len(part)
+            head, *rest = _SAFE.split(part)
+            known = self._matches
+            # The first stretch has its space, if any, with it.
+            found = [known.get(w) or self._match_ids(w) for words in matches(head) for w in words]
+            ids = list(map(self._stretches.get, rest))
+            if None in ids:
+                ids = [self._stretch_ids(" " + w) if i is None else i for w, i in zip(rest, ids, strict=True)]
+            yield np.frombuffer(b"".join(found + ids), ID_TYPE)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
