@@ -109,3 +109,9 @@ def test_quality_ignores_held_out_labels(spark):
     spoiled = labels.withColumn("quality", F.when(held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality.scored(docs, quality.fit(docs, x)).select("doc_id", "score").collect() for x in (labels, spoiled))
     assert sorted(a) == sorted(b)
+
+
+def test_signs_that_are_no_letters():
+    from updraft.llm.language_id import has_letter
+
+    assert not any(map(has_letter, ["", " ", "² ½ ①", "Ⅷ", "12_3", "—"])) and all(map(has_letter, ["² é", "ª", "中", "1a"]))

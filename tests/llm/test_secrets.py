@@ -83,3 +83,17 @@ def test_later_and_shorter_numbers():
     account = "DE89370400440532013000"
     assert [s for s in secrets.scan(f"iban DE00370400440532013000 {account} EUR") if s[0] == "account"] == [("account", 28, 28 + len(account))]
     assert [s for s in secrets.scan("card 4111 1111 1111 1112 123") if s[0] == "card"] == []
+
+
+def test_nested_token_is_no_secret_and_does_no_harm():
+    head, deep = (base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"none"}', b'{"a":' + b"[" * 100_000))
+    assert secrets.spans_of(f"{head}.{deep}.c2ln password=abcdef") == [("assign", len(f"{head}.{deep}.c2ln "), len(f"{head}.{deep}.c2ln password=abcdef"))]
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    for part in ("-eyJ", "_eyJ", "eyJ.", "-eyJ.eyJ", "ghp_", "card 4", "iban AA00 ", "secret:", "AKIA"):
+        start = time.perf_counter()
+        secrets.spans_of(part * (1_000_000 // len(part)))
+        assert time.perf_counter() - start < 20, part

@@ -34,7 +34,12 @@ SCALE = 32.0
 UNKNOWN = "und"
 PIECE_CHARS = 1 << 18
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_SIGN = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of any letter category is there; signs such as superscripts and fractions are none."""
+    return any(sign[0].isalpha() for sign in _WORD_SIGN.finditer(text))
 
 
 def grams(text: str) -> np.ndarray:
@@ -66,7 +71,7 @@ class Model:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         total, n = np.zeros(len(self.langs)), 0
         for at in range(0, len(text), PIECE_CHARS):  # bounds the arrays, not the text
