@@ -6,15 +6,11 @@ from pyspark.sql import functions as F
 
 from updraft import fixtures as fx
 from updraft.catalog.registry import query, rnd, rounded
-from updraft.catalog.spatial import BOX_CELLS
+from updraft.catalog.spatial import REP
 from updraft.functions import air, solar
 from updraft.operators import filters, grids
 
-CENTRE = BOX_CELLS + """
-, mid AS (SELECT region_id, AVG(cx) AS mx, AVG(cy) AS my FROM box_cells GROUP BY 1)
-, rep AS (SELECT region_id, (cx + 0.5e0) * 0.1e0 AS lon, (cy + 0.5e0) * 0.1e0 AS lat FROM (
-    SELECT c.*, ROW_NUMBER() OVER (PARTITION BY c.region_id ORDER BY ROUND(POW(cx - mx, 2) + POW(cy - my, 2), 6), cx, cy) AS rn
-    FROM box_cells c JOIN mid m ON c.region_id = m.region_id) WHERE rn = 1)
+CENTRE = REP + """
 , cells AS (SELECT DISTINCT lat_i, lon_i, lat, lon FROM grid_cell)
 , lat_pick AS (SELECT region_id, ARG_MIN(lat_i, (ABS(c.lat - r.lat), c.lat)) AS lat_i FROM rep r, (SELECT DISTINCT lat, lat_i FROM cells) c GROUP BY 1)
 , lon_pick AS (SELECT region_id, ARG_MIN(lon_i, (ABS(c.lon - r.lon), c.lon)) AS lon_i FROM rep r, (SELECT DISTINCT lon, lon_i FROM cells) c GROUP BY 1)
@@ -42,7 +38,7 @@ def _g1(spark, d):
 def _g2(spark, d):
     from updraft.operators.spatial import representative_points
 
-    return grids.nearest_cell(cells(spark, d), representative_points(fx.region(spark, d), 0.1))
+    return grids.nearest_cell(cells(spark, d), representative_points(fx.region(spark, d)))
 
 
 SERIES = CENTRE + MAP + """
@@ -52,7 +48,7 @@ SERIES = CENTRE + MAP + """
 
 
 def series(spark, d):
-    return grids.surface_series(fx.grid_cell(spark, d), fx.region(spark, d), (0, 7), VARS, cell_deg=0.1, require_all=False)
+    return grids.surface_series(fx.grid_cell(spark, d), fx.region(spark, d), (0, 7), VARS, require_all=False)
 
 
 @query(
@@ -119,7 +115,7 @@ def model_levels(spark, d):
 def _g5(spark, d):
     from updraft.operators.spatial import representative_points
 
-    centre = grids.nearest_cell(cells(spark, d), representative_points(fx.region(spark, d), 0.1))
+    centre = grids.nearest_cell(cells(spark, d), representative_points(fx.region(spark, d)))
     out = grids.build_profile(model_levels(spark, d), centre, heights(spark, d), ["init_h"])
     cols = ["region_id", "init_h", "level", "step", "height_m", "t", "qv", "theta_k"]
     return rounded(out.select(*cols), height_m=3, t=4, qv=6, theta_k=4)

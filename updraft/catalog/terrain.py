@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from updraft import fixtures as fx
 from updraft.catalog.registry import query, rnd, rounded
-from updraft.catalog.spatial import BOX_CELLS, GROUPS_SQL, groups
+from updraft.catalog.spatial import BOX_CELLS, GROUPS_SQL, REP, groups
 from updraft.operators import components, spatial, terrain
 from updraft.operators.filters import BBox
 
@@ -52,16 +52,9 @@ def _r4(spark, d):
     return relief(spark, d)
 
 
-REP = """
-, mid AS (SELECT region_id, AVG(cx) AS mx, AVG(cy) AS my FROM box_cells GROUP BY 1)
-, rep AS (SELECT region_id, (cx + 0.5e0) * 0.1e0 AS lon, (cy + 0.5e0) * 0.1e0 AS lat FROM (
-    SELECT c.*, ROW_NUMBER() OVER (PARTITION BY c.region_id ORDER BY ROUND(POW(cx - mx, 2) + POW(cy - my, 2), 6), cx, cy) AS rn
-    FROM box_cells c JOIN mid m ON c.region_id = m.region_id) WHERE rn = 1)"""
-
-
 @query(
     "r5_terrain_classes",
-    fx.with_sql("pixel", "region_box", body=GROUPS_SQL + BOX_CELLS + REP + AHD + RELIEF + """
+    fx.with_sql("pixel", "region_box", body=GROUPS_SQL + REP + AHD + RELIEF + """
     SELECT b.region_id, CASE WHEN EXISTS (SELECT 1 FROM grp WHERE r.lon >= gx0 AND r.lon < gx1 AND r.lat >= gy0 AND r.lat < gy1) THEN 'alpine'
       WHEN f.elev_range_m >= 400 THEN 'mittelgebirge' WHEN f.elev_range_m IS NOT NULL THEN 'flachland' ELSE 'non_alpine' END AS terrain_type
     FROM region_box b JOIN rep r ON r.region_id = b.region_id LEFT JOIN relief f ON f.region_id = b.region_id AND b.region_id % 7 <> 3"""),
@@ -69,7 +62,7 @@ REP = """
 def _r5(spark, d):
     known = F.when(F.col("region_id") % 7 != 3, F.col("elev_range_m"))
     partial = relief(spark, d).withColumn("elev_range_m", known)
-    out = terrain.terrain_classes(fx.region(spark, d), groups(spark, d), partial, 0.1)
+    out = terrain.terrain_classes(fx.region(spark, d), groups(spark, d), partial)
     return out.select("region_id", "terrain_type")
 
 
@@ -239,7 +232,7 @@ def _r10_missing(spark, d):
 @query(
     "r13_refine_region",
     fx.with_sql("region_box", body=BOX_CELLS + """
-    , ov AS (SELECT region_id, AVG(CASE WHEN (cx + 0.5e0) * 0.1e0 BETWEEN 8.03e0 AND 13.03e0 AND (cy + 0.5e0) * 0.1e0 BETWEEN 44.43e0 AND 46.93e0 THEN 1.0e0 ELSE 0.0e0 END) AS f FROM box_cells GROUP BY 1)
+    , ov AS (SELECT region_id, GREATEST(0, LEAST(x1, 13.03e0) - GREATEST(x0, 8.03e0)) * GREATEST(0, LEAST(y1, 46.93e0) - GREATEST(y0, 44.43e0)) / ((x1 - x0) * (y1 - y0)) AS f FROM region_box)
     , pick AS (SELECT region_id FROM ov WHERE f >= 0.5e0)
     , cells AS (SELECT DISTINCT cx, cy FROM box_cells JOIN pick USING (region_id) WHERE (cx + 0.5e0) * 0.1e0 BETWEEN 8.0e0 AND 12.0e0 AND (cy + 0.5e0) * 0.1e0 BETWEEN 44.0e0 AND 47.0e0)
     SELECT region_id AS basin_id, (SELECT COUNT(*) FROM pick) AS n_basins, (SELECT COUNT(*) FROM cells) AS n_cells FROM pick"""),

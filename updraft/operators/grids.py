@@ -98,7 +98,6 @@ def surface_series(
     leads: tuple[int, int],
     variables: tuple[str, ...],
     run: str = "init_h",
-    cell_deg: float = 0.05,
     require_all: bool = True,
 ) -> DataFrame:
     """Value at the centre cell and mean over the region, per run, lead and variable.
@@ -111,7 +110,7 @@ def surface_series(
     run_cells = cut_lineage(grid.select(run, *CELL, "lat", "lon").distinct(), "cells")
     cells = run_cells.drop(run).distinct()
     cell_map = cut_lineage(region_cell_map(cells, regions, require_all), "cell-map")
-    centre = nearest_cell(cells, representative_points(regions, cell_deg))
+    centre = nearest_cell(cells, representative_points(regions))
     keys = [run, "lead_h", "var"]
     wanted = grid.where(F.col("var").isin(*variables) & F.col("lead_h").between(*leads))
     # One map for both: a cell may count for the mean, be the centre, or both.

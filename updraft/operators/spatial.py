@@ -9,10 +9,11 @@ in at most one of two neighbours.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from updraft.operators import overlay
 from updraft.session import broadcast_if_small
 
 #: Cell width in degrees of the point-to-region join key.
@@ -201,39 +202,25 @@ def covered_cells(regions: DataFrame, cell_deg: float) -> DataFrame:
     )
 
 
-def assign_largest_overlap(
-    basins: DataFrame, groups: DataFrame, attributes: list[str], cell_deg: float = 0.05
-) -> DataFrame:
-    """Each basin with the group that shares most area, empty text if none."""
-    mine = covered_cells(basins, cell_deg)
-    theirs = covered_cells(groups, cell_deg).select(F.col("region_id").alias("group_id"), "cell_x", "cell_y")
-    shared = mine.join(theirs, ["cell_x", "cell_y"]).groupBy("region_id", "group_id").agg(F.sum("weight").alias("shared"))
-    best = shared.groupBy("region_id").agg(
-        F.max_by("group_id", F.struct(F.round("shared", 6), -F.col("group_id"))).alias("group_id")
-    )
-    named = best.join(groups.select(F.col("region_id").alias("group_id"), *attributes), "group_id")
-    placed = basins.join(named.select("region_id", *attributes), "region_id", "left")
+def assign_largest_overlap(basins: DataFrame, groups: DataFrame, attributes: list[str]) -> DataFrame:
+    """Each basin with the group that shares most area, empty text if none; the first in layer order on ties."""
+    mine, theirs = [overlay.signed_edges(region_edges(layer)) for layer in (basins, groups)]
+    shared = overlay.overlap_areas(mine, theirs).join(overlay.region_areas(mine).withColumnRenamed("area_deg2", "_all"), "region_id")
+    named = shared.join(groups.select(F.col("region_id").alias("group_id"), "ord", *attributes), "group_id")
+    order = F.struct(F.round(F.col("area_deg2") / F.col("_all"), overlay.DIGITS), -F.col("ord"))
+    best = named.groupBy("region_id").agg(F.max_by(F.struct(*attributes), order).alias("_best"))
+    placed = basins.join(best.select("region_id", "_best.*"), "region_id", "left")
     return placed.fillna("", subset=attributes)
 
 
-def representative_points(regions: DataFrame, cell_deg: float = 0.05) -> DataFrame:
-    """A covered cell centre close to the middle of each region's cells."""
-    cells = covered_cells(regions, cell_deg)
-    middle = cells.groupBy("region_id").agg(F.avg("cell_x").alias("_mx"), F.avg("cell_y").alias("_my"))
-    off = F.pow(F.col("cell_x") - F.col("_mx"), 2) + F.pow(F.col("cell_y") - F.col("_my"), 2)
-    nearest = cells.join(middle, "region_id").groupBy("region_id").agg(
-        F.min(F.struct(F.round(off, 6).alias("off"), "cell_x", "cell_y")).alias("_c")
-    )
-    return nearest.select(
-        "region_id",
-        ((F.col("_c.cell_x") + 0.5) * cell_deg).alias("lon"),
-        ((F.col("_c.cell_y") + 0.5) * cell_deg).alias("lat"),
-    )
+def representative_points(regions: DataFrame) -> DataFrame:
+    """``region_id, lon, lat``: a point inside each region, however small the region is."""
+    return overlay.interior_points(region_edges(regions))
 
 
-def assign_by_point(basins: DataFrame, groups: DataFrame, attributes: list[str], cell_deg: float = 0.05) -> DataFrame:
+def assign_by_point(basins: DataFrame, groups: DataFrame, attributes: list[str]) -> DataFrame:
     """Each basin with the first group that contains its representative point."""
-    points = representative_points(basins, cell_deg).withColumnRenamed("region_id", "basin_id")
+    points = representative_points(basins).withColumnRenamed("region_id", "basin_id")
     hit = assign_region(points, groups, attributes=tuple(attributes)).select(
         F.col("basin_id").alias("region_id"), *attributes
     )
@@ -249,15 +236,23 @@ def assign_basins(basins: DataFrame, groups: DataFrame, attributes: list[str], m
     raise ValueError(f"unknown method {method!r}")
 
 
-def inside_bbox(basins: DataFrame, box, min_fraction: float = 0.5, cell_deg: float = 0.05) -> DataFrame:
+def box_layer(spark: SparkSession, box) -> DataFrame:
+    """A bounding box as a region layer of one row."""
+    corners = [(box.lon_min, box.lat_min), (box.lon_max, box.lat_min), (box.lon_max, box.lat_max), (box.lon_min, box.lat_max)]
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in [*corners, corners[0]]])
+    return spark.range(1).select(F.col("id").cast("int").alias("region_id"), F.lit(0).alias("ord"), F.array(ring).alias("rings"))
+
+
+def inside_bbox(basins: DataFrame, box, min_fraction: float = 0.5) -> DataFrame:
     """Basins with at least ``min_fraction`` of their area in the box.
 
-    Adds ``overlap_frac``, measured on cell centres in plain degrees.
+    Adds ``overlap_frac``, the exact share in plain degrees.
     """
-    x, y = (F.col("cell_x") + 0.5) * cell_deg, (F.col("cell_y") + 0.5) * cell_deg
-    in_box = x.between(box.lon_min, box.lon_max) & y.between(box.lat_min, box.lat_max)
-    share = covered_cells(basins, cell_deg).groupBy("region_id").agg(F.avg(in_box.cast("double")).alias("overlap_frac"))
-    return basins.join(share.where((F.col("overlap_frac") > 0) & (F.col("overlap_frac") >= min_fraction)), "region_id")
+    edges = overlay.signed_edges(region_edges(basins))
+    shared = overlay.overlap_areas(edges, overlay.signed_edges(region_edges(box_layer(basins.sparkSession, box))))
+    share = shared.select("region_id", F.col("area_deg2").alias("_in")).join(overlay.region_areas(edges), "region_id")
+    share = share.select("region_id", F.least(F.lit(1.0), F.col("_in") / F.col("area_deg2")).alias("overlap_frac"))
+    return basins.join(share.where(F.round("overlap_frac", overlay.DIGITS) >= min_fraction), "region_id")
 
 
 def domain_cells(regions: DataFrame, cell_deg: float = 0.05) -> DataFrame:

@@ -168,12 +168,12 @@ def relief_class(relief: Column) -> Column:
     return F.when(relief >= MIN_RELIEF_M, "mittelgebirge").when(relief.isNotNull(), "flachland").otherwise("non_alpine")
 
 
-def terrain_classes(regions: DataFrame, mountain_groups: DataFrame, relief: DataFrame, cell_deg: float = 0.05) -> DataFrame:
+def terrain_classes(regions: DataFrame, mountain_groups: DataFrame, relief: DataFrame) -> DataFrame:
     """Adds ``terrain_type``: alpine inside a mountain group, else by relief.
 
     Inside means that the region's representative point lies in a group.
     """
-    points = spatial.representative_points(regions, cell_deg).withColumnRenamed("region_id", "_id")
+    points = spatial.representative_points(regions).withColumnRenamed("region_id", "_id")
     inside = spatial.assign_region(points, mountain_groups).where("region_id IS NOT NULL").select(
         F.col("_id").alias("region_id"), F.lit(True).alias("_alpine")
     )
@@ -386,7 +386,7 @@ def refine_region(basins: DataFrame, seed_box, min_fraction: float = 0.5, clip=N
     ``clip`` limits the cells to a box. The provenance has a row per basin used;
     no basin at all is an error.
     """
-    chosen = spatial.inside_bbox(basins, seed_box, min_fraction, cell_deg)
+    chosen = spatial.inside_bbox(basins, seed_box, min_fraction)
     cells = spatial.domain_cells(chosen, cell_deg)
     if clip is not None:
         x, y = (F.col("cell_x") + 0.5) * cell_deg, (F.col("cell_y") + 0.5) * cell_deg
