@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from updraft.operators import activity, health
 from updraft.session import shared_dir
-from updraft.streaming import streams
+from updraft.streaming import state, streams
+from updraft.streaming.state import merged_rows
 
 T0 = dt.datetime(2026, 5, 25)
 ATTEMPT = "job STRING, ts TIMESTAMP, status STRING, seq BIGINT"
@@ -129,8 +130,81 @@ def test_streams_do_not_depend_on_files(spark, tmp_path, files):
     for name, (run, read) in forms.items():
         got = drained(spark, tmp_path, name, batches, files, run, read)
         assert got == drained(spark, tmp_path, f"{name}-all", batches, "one", run, read) and got
-    merged = [p.name for p in (tmp_path / f"health-{files}" / "out").iterdir()]
-    assert sorted(merged) == ["slot=0", "slot=1"]
+    folders = [p.name.split("-")[0] for p in (tmp_path / f"health-{files}" / "out").iterdir() if not p.name.startswith(".")]
+    assert sorted(folders) == ["current", "run"]
+
+
+def test_a_new_checkpoint_starts_from_nothing(spark, tmp_path):
+    ticks = spark.createDataFrame([], "ts_recv TIMESTAMP")
+    table = str(tmp_path / "out")
+    read = lambda: sum(r.packets for r in streams.stream_health(spark, table, ticks).collect())
+    old = feed(tmp_path / "old", [[line(i * 5 + k) for k in range(5)] for i in range(4)])
+    run = lambda path, checkpoint: streams.run_health(streams.beacon_stream(spark, path, 1), table, str(tmp_path / checkpoint))
+    run(old, "cp-1")
+    assert read() == 20
+    run(feed(tmp_path / "new", [[line(1), line(2), line(3)]]), "cp-2")
+    assert read() == 3
+    (tmp_path / "old" / "later.json").write_text(json.dumps(line(77)))
+    run(old, "cp-1")  # goes on from its own state
+    assert read() == 21
+    (tmp_path / "empty").mkdir()
+    run(str(tmp_path / "empty"), "cp-3")
+    assert read() == 0
+
+
+def test_a_checkpoint_without_its_state_is_an_error(spark, tmp_path):
+    path = feed(tmp_path / "in", [[line(1)]])
+    streams.stream_land(streams.beacon_stream(spark, path), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    with pytest.raises(ValueError, match="state"):
+        streams.run_health(streams.beacon_stream(spark, path), str(tmp_path / "state"), str(tmp_path / "cp"))
+
+
+@pytest.mark.parametrize("fails_in", ["commit", "after commit", "compact"])
+def test_a_batch_that_dies_counts_once(spark, tmp_path, monkeypatch, fails_in):
+    path = feed(tmp_path / "in", [[line(i * 5 + k) for k in range(5)] for i in range(5)])
+    table, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    monkeypatch.setattr(state, "COMPACT_AFTER", 2)
+    calls, commit = [], state.commit
+
+    def dying(*args):
+        calls.append(1)
+        dies = len(calls) == (4 if fails_in == "compact" else 3)  # the second commit of every two is a compaction's
+        if dies and fails_in != "after commit":
+            raise OSError("the driver is lost")
+        commit(*args)
+        if dies:
+            raise OSError("the driver is lost")
+
+    monkeypatch.setattr(state, "commit", dying)
+    run = lambda: streams.run_hourly_activity(streams.beacon_stream(spark, path, 1), table, checkpoint)
+    with pytest.raises(Exception, match="driver is lost"):
+        run()
+    run()
+    assert sum(r.n_packets for r in streams.stream_hourly_activity(spark, table).collect()) == 25
+
+
+def test_a_batch_rewrites_only_the_days_it_touches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "COMPACT_AFTER", 2)
+    days = [[{**line(i), "ts_recv": f"2026-05-{day:02d}T10:00:0{i}.000Z"} for i in range(3)] for day in (1, 1, 2, 2, 3, 2)]
+    path = feed(tmp_path / "in", days)
+    table, checkpoint = tmp_path / "out", str(tmp_path / "cp")
+    streams.run_hourly_activity(streams.beacon_stream(spark, path, 1), str(table), checkpoint)
+    root = next(p for p in table.iterdir() if p.name.startswith("run-"))
+    now = state.manifest(spark, str(root))
+    assert now.deltas == [] and {b: f.lstrip("base=0") for b, f in now.bases.items()} == {"2026-05-01": "1", "2026-05-02": "5", "2026-05-03": "5"}
+    assert sorted(p.name for p in root.iterdir() if p.name.startswith("base")) == ["base=0000000001", "base=0000000003", "base=0000000005"]
+    assert [(str(r.day), r.n_packets) for r in streams.stream_hourly_activity(spark, str(table)).orderBy("day").collect()] == [("2026-05-01", 6), ("2026-05-02", 9), ("2026-05-03", 3)]
+
+
+def test_sketches_of_hours_unite_to_days(spark, tmp_path):
+    batches = [[{**line(i), "ts_recv": f"2026-05-25T{8 + i % 5:02d}:00:00.000Z", "raw": f"FLR{i * 7 % 4000:05d}>APRS:x"} for i in range(k, 12_000, 3)] for k in range(3)]
+    table = str(tmp_path / "out")
+    streams.run_hourly_sketches(streams.beacon_stream(spark, feed(tmp_path / "in", batches), 1), table, str(tmp_path / "cp"))
+    hours, day = streams.stream_activity_estimate(spark, table), streams.stream_activity_estimate(spark, table, "day").first()
+    assert day.n_packets == 12_000 and abs(day.n_aircraft - 4000) < 4000 * 0.065
+    assert hours.count() == 5 and all(abs(r.n_aircraft - 800) < 800 * 0.065 for r in hours.collect())
+    rows = merged_rows(spark, table, streams.SKETCH_STATE)
+    assert rows.count() == 5 and max(len(r.senders) for r in rows.collect()) < 5000
 
 
 def test_every_line_lands(spark, tmp_path):

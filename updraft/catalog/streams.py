@@ -98,6 +98,22 @@ def _x5(spark, d):
     return streams.stream_hourly_activity(spark, table)
 
 
+@query(
+    "x5_stream_activity_estimate",
+    fx.with_sql("beacon", body="""SELECT CAST(day AS DATE) AS day, COUNT(*) AS n_packets, TRUE AS within_bound FROM beacon GROUP BY 1"""),
+)
+def _x5_estimate(spark, d):
+    """Days from the sketches of hours; the bound is four standard errors."""
+    table, checkpoint = out(spark, "sketches")
+    lines = landed(spark, d)
+    streams.run_hourly_sketches(streams.beacon_stream(spark, lines, 1), table, checkpoint)
+    found = streams.stream_activity_estimate(spark, table, "day")
+    heard = streams.with_receive_time(spark.read.schema(streams.LOG_SCHEMA).json(lines))
+    exact = heard.groupBy(F.to_date("ts_recv").alias("day")).agg(F.countDistinct(beacons.sender(F.col("raw"))).alias("n"))
+    off = F.abs(F.col("n_aircraft") - F.col("n")) <= F.col("n") * 4 * 1.04 / 2**6
+    return found.join(exact, "day").select("day", "n_packets", off.alias("within_bound"))
+
+
 @query("x6_stream_job_state", fx.with_sql("job_attempt", body=STATE + "SELECT * FROM state"))
 def _x6(spark, d):
     table, checkpoint = out(spark, "state")

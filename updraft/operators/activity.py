@@ -28,6 +28,29 @@ def hourly_activity(raw: DataFrame) -> DataFrame:
     return full.fillna(0, subset=["n_aircraft", "n_packets"])
 
 
+#: Sketches of 2**12 registers: a standard error of 1.6 per cent, exact while the ids are few.
+SKETCH_BITS = 12
+
+
+def hourly_sketches(heard: DataFrame) -> DataFrame:
+    """Per ``day`` and ``hour`` of (day, hour, _id) rows a sketch of the ids and the number of rows.
+
+    The sketch has a bounded size whatever the traffic, and sketches unite: hours
+    to days, batches to hours, receivers or regions to their sum.
+    """
+    return heard.groupBy("day", "hour").agg(F.hll_sketch_agg("_id", SKETCH_BITS).alias("senders"), F.count("*").alias("n_packets"))
+
+
+def united_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("senders").alias("senders"), F.sum("n_packets").alias("n_packets"))
+
+
+def estimates(sketches: DataFrame) -> DataFrame:
+    """The sketches' keys with ``n_aircraft``, an estimate, and the exact ``n_packets``."""
+    keys = [c for c in sketches.columns if c not in ("senders", "n_packets")]
+    return sketches.select(*keys, F.coalesce(F.hll_sketch_estimate("senders"), F.lit(0)).alias("n_aircraft"), "n_packets")
+
+
 def peak_hour(activity: DataFrame) -> DataFrame:
     """Per day all packets and the hour with most aircraft, the first on ties."""
     rank = F.struct("n_aircraft", -F.col("hour"))

@@ -2,20 +2,23 @@
 
 Landed files come in any order and number, so the drains here keep no watermark:
 each batch becomes partial results per key, which merge with those stored so
-far. A packet that comes late changes its own group and none is lost. Every
-query takes its checkpoint folder as an argument and restarts from it.
+far (``state``). A packet that comes late changes its own group and none is lost.
+Every query takes its checkpoint folder as an argument and restarts from it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from updraft.operators.activity import watched_lines
+from updraft.operators.activity import estimates, hourly_sketches, united_sketches, watched_lines
 from updraft.operators.health import STATE, job_state
 from updraft.operators.tracks import receiver_consensus
 from updraft.sources.beacons import LOG_SCHEMA, parse_beacons, receive_time, sender, with_receive_time
+from updraft.streaming.state import Merged, merged_rows, run_merged
 
 
 def beacon_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -43,49 +46,27 @@ def stream_land(packets: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 # -- merged drains -----------------------------------------------------------
 
 
-def run_merged(stream: DataFrame, path: str, checkpoint: str, partial, merge) -> None:
-    """Drains the available input into one table of merged partial results.
-
-    ``partial`` turns a batch into rows per key, ``merge`` unites such rows. Two
-    slots take turns, so state N is built from N-1 beside it and nothing older is
-    kept; a repeated batch replaces its own result and never counts twice.
-    """
-
-    def slot(epoch: int) -> str:
-        return f"{path}/slot={epoch % 2}"
-
-    def save(batch: DataFrame, epoch: int) -> None:
-        rows = partial(batch)
-        if epoch:
-            before = batch.sparkSession.read.schema(rows.schema).parquet(slot(epoch - 1))
-            rows = merge(before.unionByName(rows))
-        rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(slot(epoch))
+def _summed(*keys: str, **sums: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.groupBy(*keys).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
 
-    writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
 
-
-def merged_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The table of :func:`run_merged` after its last batch."""
-    slots = spark.read.parquet(path).drop("slot")
-    newest = slots.select(F.max("epoch")).scalar()
-    return slots.where(F.col("epoch") == newest).drop("epoch")
+def health_state(tick_s: int = 240) -> Merged:
+    """Packets per keep-alive window; the bucket is the window's day."""
+    tick = F.floor(F.unix_timestamp("ts_recv") / tick_s).alias("tick")
+    day = f"to_date(timestamp_seconds(tick * {tick_s}))"
+    return Merged(lambda batch: batch.groupBy(tick).agg(F.count("*").alias("packets")), _summed("tick", packets="packets"), day)
 
 
 def run_health(packets: DataFrame, path: str, checkpoint: str, tick_s: int = 240) -> None:
     """Packets per keep-alive window."""
-    tick = F.floor(F.unix_timestamp("ts_recv") / tick_s).alias("tick")
-
-    def partial(batch: DataFrame) -> DataFrame:
-        return batch.groupBy(tick).agg(F.count("*").alias("packets"))
-
-    run_merged(packets, path, checkpoint, partial, lambda rows: rows.groupBy("tick").agg(F.sum("packets").alias("packets")))
+    run_merged(packets, path, checkpoint, health_state(tick_s))
 
 
 def stream_health(spark: SparkSession, path: str, ticks: DataFrame, tick_s: int = 240) -> DataFrame:
     """Every window of ``ticks`` (column ``ts_recv``) or with packets, ``ok`` or ``fail``."""
     wanted = ticks.select(F.floor(F.unix_timestamp("ts_recv") / tick_s).alias("tick")).distinct()
-    full = wanted.join(merged_rows(spark, path), "tick", "full").withColumn("packets", F.coalesce("packets", F.lit(0)))
+    found = merged_rows(spark, path, health_state(tick_s), "tick LONG, packets LONG")
+    full = wanted.join(found, "tick", "full").withColumn("packets", F.coalesce("packets", F.lit(0)))
     return full.select(
         F.timestamp_seconds(F.col("tick") * tick_s).alias("tick_start"),
         "packets",
@@ -93,45 +74,79 @@ def stream_health(spark: SparkSession, path: str, ticks: DataFrame, tick_s: int
     )
 
 
-def run_last_position(packets: DataFrame, watchlist: DataFrame, path: str, checkpoint: str) -> None:
-    """Last position and packets of each watched aircraft; only their lines are parsed."""
-    fields = F.struct("ts_recv", "raw", "lat", "lon", "alt_m", "climb_ms", "speed_kmh", "course_deg")
+_POSITION = ("lat", "lon", "alt_m", "climb_ms", "speed_kmh", "course_deg")
+
+
+def position_state(watchlist: DataFrame | None = None) -> Merged:
+    """Packets and last position of each watched aircraft, in one bucket: the watch list bounds it."""
 
     def partial(batch: DataFrame) -> DataFrame:
         seen = parse_beacons(watched_lines(batch, watchlist)).groupBy("source_id")
-        return seen.agg(F.count("*").alias("packets"), F.max(F.when(F.col("kind") == "position", fields)).alias("last"))
+        last = F.max(F.when(F.col("kind") == "position", F.struct("ts_recv", "raw", *_POSITION)))
+        return seen.agg(F.count("*").alias("packets"), last.alias("last"))
 
     def merge(rows: DataFrame) -> DataFrame:
         return rows.groupBy("source_id").agg(F.sum("packets").alias("packets"), F.max("last").alias("last"))
 
-    run_merged(packets, path, checkpoint, partial, merge)
+    return Merged(partial, merge, "'all'")
+
+
+def run_last_position(packets: DataFrame, watchlist: DataFrame, path: str, checkpoint: str) -> None:
+    """Last position and packets of each watched aircraft; only their lines are parsed."""
+    run_merged(packets, path, checkpoint, position_state(watchlist))
 
 
 def stream_last_position(spark: SparkSession, path: str) -> DataFrame:
     """Current position per watched aircraft."""
-    return merged_rows(spark, path).select(
-        "source_id", "packets", F.col("last.ts_recv").alias("last_seen"),
-        *[F.col(f"last.{c}").alias(c) for c in ("lat", "lon", "alt_m", "climb_ms", "speed_kmh", "course_deg")],
-    )
+    fields = "ts_recv: TIMESTAMP, raw: STRING, " + ", ".join(f"{c}: DOUBLE" for c in _POSITION)
+    found = merged_rows(spark, path, position_state(), f"source_id STRING, packets LONG, last STRUCT<{fields}>")
+    return found.select(
+        "source_id", "packets", F.col("last.ts_recv").alias("last_seen"), *[F.col(f"last.{c}").alias(c) for c in _POSITION]
+    )
 
 
-def run_hourly_activity(packets: DataFrame, path: str, checkpoint: str) -> None:
-    """Packets per hour and sender; no set of ids is built."""
-    keys = ["day", "hour", "_id"]
+def _heard(batch: DataFrame) -> DataFrame:
+    return batch.select(F.to_date("ts_recv").alias("day"), F.hour("ts_recv").alias("hour"), sender(F.col("raw")).alias("_id"))
+
+
+#: Packets per hour and sender: exact, and as many rows as senders.
+ACTIVITY_STATE = Merged(
+    lambda batch: _heard(batch).groupBy("day", "hour", "_id").agg(F.count("*").alias("n")),
+    _summed("day", "hour", "_id", n="n"),
+    "day",
+)
 
-    def partial(batch: DataFrame) -> DataFrame:
-        tagged = batch.select(F.to_date("ts_recv").alias("day"), F.hour("ts_recv").alias("hour"), sender(F.col("raw")).alias("_id"))
-        return tagged.groupBy(*keys).agg(F.count("*").alias("n"))
 
-    run_merged(packets, path, checkpoint, partial, lambda rows: rows.groupBy(*keys).agg(F.sum("n").alias("n")))
+def run_hourly_activity(packets: DataFrame, path: str, checkpoint: str) -> None:
+    """Packets per hour and sender; no set of ids is built."""
+    run_merged(packets, path, checkpoint, ACTIVITY_STATE)
 
 
 def stream_hourly_activity(spark: SparkSession, path: str) -> DataFrame:
     """Exact distinct senders and packets per hour."""
-    per_hour = merged_rows(spark, path).groupBy("day", "hour")
+    per_hour = merged_rows(spark, path, ACTIVITY_STATE, "day DATE, hour INT, _id STRING, n LONG").groupBy("day", "hour")
     return per_hour.agg(F.count("_id").alias("n_aircraft"), F.sum("n").alias("n_packets"))
 
 
+#: One row per hour whatever the traffic: packets, and a sketch of the senders that can be united.
+SKETCH_STATE = Merged(
+    lambda batch: hourly_sketches(_heard(batch)),
+    lambda rows: united_sketches(rows, "day", "hour"),
+    "day",
+)
+
+
+def run_hourly_sketches(packets: DataFrame, path: str, checkpoint: str) -> None:
+    """As :func:`run_hourly_activity` without a row per sender."""
+    run_merged(packets, path, checkpoint, SKETCH_STATE)
+
+
+def stream_activity_estimate(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """Estimated senders and exact packets per hour, or per coarser ``keys`` such as the day."""
+    found = merged_rows(spark, path, SKETCH_STATE, "day DATE, hour INT, senders BINARY, n_packets LONG")
+    return estimates(united_sketches(found, *(keys or ("day", "hour"))))
+
+
 # -- landed drains -----------------------------------------------------------
 
 
