@@ -111,3 +111,38 @@ def test_near_matches_brute_force_on_the_table(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_components(docs).collect()}
     assert got == brute.near_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 5)
     assert minhash_dedup.deduplicated(docs).count() == sum(d == c for d, (_, c) in got.items())
+
+
+def test_ids_with_several_texts_are_one_document(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    text, other, third = words(40), words(40), words(40)
+    rows = [(1, other), (1, text), (2, text), (3, other), (4, [*text, "more"]), (5, third), (5, [*other, "tail"]), (6, [*third, "end"]), (7, words(40)), (8, words(9))]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in minhash_dedup.near_components(docs, 4).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (7, 7), (8, 8)}
+    assert sorted(r.doc_id for r in minhash_dedup.deduplicated(docs.selectExpr("*", "'x' AS kept_id", "1 AS component_id")).collect()) == [1, 1, 7, 8]
+
+
+def test_many_variants_that_are_just_too_different(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "ENTRY_BLOCK", 16)
+    monkeypatch.setattr(minhash_dedup, "CLUSTER_BLOCK", 20)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for k in rng.sample(range(100), 5 if i % 3 else 3):
+            own[k] = f"e{rng.randrange(60)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_components(docs, 4).collect()}
+    assert got == brute.near_components(rows, 4)
+
+
+def test_long_words_of_few_letters_differ():
+    words = ["a", "b"]
+    for _ in range(10):
+        words = [words[0] + words[1], words[1] + words[0]]
+    assert len({int(s[0]) for s in shingle_sets(words, 4)}) == 2
+    assert len({int(s[0]) for s in shingle_sets([words[0], words[0].upper()], 4)}) == 1

@@ -21,7 +21,7 @@ SPACE = r"[\x20\x09-\x0D]"
 BATCH_DOCUMENTS = 500
 _BATCH_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
-__all__ = ["SPACE", "cut_lineage", "held_out", "in_pieces", "long_columns", "map_exact", "mix64", "scratch_path", "seeded", "ship", "table", "unit_hash"]
+__all__ = ["SPACE", "cut_lineage", "fresh_name", "held_out", "in_pieces", "long_columns", "map_exact", "mix64", "scratch_path", "seeded", "ship", "table", "unit_hash"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -65,6 +65,14 @@ def map_exact(rows: DataFrame, run: Callable, schema: str | StructType, *names:
     return texts.mapInPandas(run, sent).withColumns({n: F.col(f"`{n}`").cast("long") for n in names})
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many strokes behind it as make it unlike any column's name."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn from; false where the id is null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

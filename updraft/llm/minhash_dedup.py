@@ -12,23 +12,29 @@ yet in one component, whose set sizes allow the similarity and whose MinHash
 sketches do not rule it out. A shingle that no other document left over has
 cannot be in an intersection, so the sizes that count are those of the shared
 rest: many variants of one text that are all just too different need no checks.
-So a group of n near copies costs about n checks and no link between two
-components is lost.
+
+Such pairs can be as many as the square of a group of variants, so they never
+become rows. An entry reports a spanning forest of its open pairs; what hangs
+together is a cluster, cut into blocks; each text goes once to each pair of
+blocks, where the open pairs are checked in memory, and again a forest of the
+links leaves. So a group of n near copies costs about n checks, a group of n that
+stay apart n squared checks in blocks, and no link between two components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from updraft.llm.common import cut_lineage, mix64, map_exact
+from updraft.llm.common import cut_lineage, fresh_name, map_exact, mix64
 from updraft.llm.shingles import shingle_sets
 from updraft.operators.components import connected_components
+from updraft.session import broadcast_if_small
 
 #: Similarity in per cent from which two documents are linked.
 PERCENT = 80
@@ -42,8 +48,9 @@ SKETCH = 192
 SLACK = 4.5
 #: Members checked against one copy of their head's text.
 BLOCK = 256
-#: Documents of one table entry that are compared in one step.
-ENTRY_BLOCK = 512
+#: Documents of one table entry, or of one cluster, that are compared in one step,
+#: and the shingles that a cluster's block may hold.
+ENTRY_BLOCK, CLUSTER_BLOCK, BLOCK_SHINGLES = 512, 1024, 1 << 21
 
 _N_HASHES = SKETCH
 _RNG = np.random.default_rng(977)
@@ -79,6 +86,7 @@ def _signatures(width: int):
                     bands[i], sketches[i] = band.view(np.int32), sketch.tobytes()
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
+                "text_key": batch["text_key"],
                 "n_shingles": [len(s) for s in sets],
                 "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 "bands": bands,
@@ -89,9 +97,13 @@ def _signatures(width: int):
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, a digest of the whole set, the band values and the sketch."""
-    schema = "doc_id long, n_shingles long, set_key binary, bands array<int>, sketch binary"
-    return map_exact(docs.select(F.col("doc_id").cast("long"), "text"), _signatures(width), schema, "doc_id")
+    """doc_id, digests of the text and of the whole set, n_shingles, the band values and the sketch."""
+    schema = "doc_id long, text_key string, n_shingles long, set_key binary, bands array<int>, sketch binary"
+    return map_exact(keyed(docs), _signatures(width), schema, "doc_id")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.col("text").cast("binary")).alias("text_key"))
 
 
 def _check(width: int, percent: int):
@@ -119,8 +131,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     A head's text travels once per block of members; a head with many members
     has many blocks. ``pairs`` must be stored, ``texts`` has one row per doc.
     """
-    per_head = pairs.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = pairs.join(per_head, "head").select("head", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), "doc")
+    per_head = cut_lineage(pairs.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "heads")
+    # Only heads with several blocks need a number, one for BLOCK rows at most: a hot head's rows stay where they are.
+    several = pairs.join(broadcast_if_small(per_head.where("blocks > 1")), "head", "left")
+    block = F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1).cast("long"))).alias("block")
+    members = several.select("head", block, "doc")
     heads = per_head.select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("head").alias("doc"))
     rows = members.unionByName(heads).join(texts, "doc")
     # The head sorts before the members of its block.
@@ -134,27 +149,32 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     Texts with equal sets collapse to one class first. A text without words, or
     null, and a row with a null id link with nothing. Rows that share an id are
-    one document. An empty table gives an empty result; other columns are ignored.
+    one document, whatever their texts: what is near to one of them is in its
+    component. An empty table gives an empty result; other columns are ignored.
     """
     signed = cut_lineage(signatures(docs, width), "signed")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets have equal signatures, so any row of a class stands for it.
     first = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]
-    classes = cut_lineage(usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), *first), "classes")
+    classes = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), *first)
+    # Written before it is used, so the numbers stay what they are.
+    classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     entries = cut_lineage(shared_entries(classes), "entries")
-    # The texts of all documents that may be checked, once. Both sides can be large: no broadcast.
-    wanted = entries.select(F.col("node").alias("doc")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    texts = texts.join(wanted.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"])
-    texts = cut_lineage(texts, "texts")
+    # One text of each class that may be checked. Both sides can be large: no broadcast.
+    wanted = classes.select("node", "row.doc_id", "row.text_key").join(entries.select("node").distinct(), "node", "left_semi")
+    texts = keyed(docs).join(wanted.hint("merge"), ["doc_id", "text_key"]).select(F.col("node").alias("doc"), "text")
+    texts = cut_lineage(texts.dropDuplicates(["doc"]), "texts")
 
-    links = cut_lineage(confirmed(_stars(entries), texts, width, percent), "links")
+    links = confirmed(_stars(entries), texts, width, percent).unionByName(_same_id(usable, classes))
+    links = cut_lineage(links, "links")
     known = connected_components(links)
-    more = cut_lineage(confirmed(_facing(entries, known, classes, texts, width, percent), texts, width, percent), "links")
+    more = cut_lineage(_settled(_facing(entries, known, classes, texts, width, percent), texts, width, percent), "links")
     if not more.isEmpty():
         known = connected_components(links.unionByName(more))
-    by_class = classes.select("set_key", "node").join(known, "node", "left")
-    by_class = by_class.select("set_key", F.coalesce("component", "node").alias("_component"))
+    placed = classes.select("set_key", "node", "row.doc_id").join(known, "node", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("_component"))
+    by_class = placed.select("set_key", "component").join(least, "component").select("set_key", "_component")
     found = signed.join(by_class, "set_key", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))
     return found.select(
@@ -162,6 +182,14 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     )
 
 
+def _same_id(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v) between the classes of an id that has several sets."""
+    sets = usable.groupBy("doc_id").agg(F.min("set_key").alias("u"), F.max("set_key").alias("v")).where("u <> v")
+    others = usable.select("doc_id", "set_key").join(sets, "doc_id").where("set_key <> u").select("u", F.col("set_key").alias("v")).distinct()
+    nodes = [classes.select(F.col("set_key").alias(c), F.col("node").alias(f"{c}_node")) for c in ("u", "v")]
+    return others.join(nodes[0], "u").join(nodes[1], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+
+
 def shared_entries(classes: DataFrame) -> DataFrame:
     """(key, node, weight): the table entries that two classes or more share.
 
@@ -194,48 +222,105 @@ def _stars(entries: DataFrame) -> DataFrame:
     return cut_lineage(best.select("head", F.col("node").alias("doc")), "stars")
 
 
-def _compared(percent: int):
-    """Candidate pairs within table entries, each pair in the first entry that it shares."""
-    enough = percent / 100 - SLACK * np.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)
+def _least_match(percent: int) -> float:
+    """Share of equal sketch values below which the similarity is ruled out."""
+    return percent / 100 - SLACK * np.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        lo, hi, tab = (int(group[c].iloc[0]) for c in ("lo", "hi", "tab"))
-        side, node, part, n, shared = (group[c].to_numpy() for c in ("block", "node", "part", "n_shingles", "shared"))
-        a, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+
+def _open_pairs(group: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows between the group's two blocks that share a table and that nothing rules out."""
+    lo, hi = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
+    side, part, n, shared = (group[c].to_numpy() for c in ("block", "part", "n_shingles", "shared"))
+    bands = np.array(group["bands"].tolist(), np.int32)
+    sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), SKETCH)
+    left, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+    for at in range(0, len(left), 256):
+        a = left[at : at + 256]
         most = np.minimum(shared[a][:, None], shared[b])  # of the intersection
         fits = (part[a][:, None] != part[b]) & (100 * most >= percent * (n[a][:, None] + n[b] - most))
         if lo == hi:
             fits &= a[:, None] < b
         x, y = np.nonzero(fits)
         x, y = a[x], b[y]
-        if len(x):
-            bands = np.array(group["bands"].tolist(), np.int32)
-            sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), SKETCH)
-            keep = np.zeros(len(x), bool)
-            for at in range(0, len(x), 1 << 14):
-                i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
-                same = bands[i] == bands[j]
-                first = same[:, :SIDE].argmax(axis=1) * SIDE + same[:, SIDE:].argmax(axis=1) == tab
-                keep[at : at + len(i)] = first & ((sketch[i] == sketch[j]).mean(axis=1) >= enough)
-            x, y = x[keep], y[keep]
-        return pd.DataFrame({"head": np.minimum(node[x], node[y]), "doc": np.maximum(node[x], node[y])})
+        for k in range(0, len(x), 1 << 14):
+            i, j = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+            same = bands[i] == bands[j]
+            met = same[:, :SIDE].any(axis=1) & same[:, SIDE:].any(axis=1)
+            i, j = i[met], j[met]
+            keep = (sketch[i] == sketch[j]).mean(axis=1) >= _least_match(percent)
+            yield i[keep], j[keep]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+class _Forest:
+    """Edges that first join two trees, among a group's rows."""
+
+    def __init__(self, size: int) -> None:
+        self.parent = list(range(size))
+        self.edges: list[tuple[int, int]] = []
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.parent[b] = a
+            self.edges.append((i, j))
+
+
+def _by_group(keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame]):
+    """``run`` on each group of rows that are sorted by ``keys``."""
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None  # the last group of a batch may go on in the next one
         for batch in batches:
             if not len(batch):
                 continue
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            keys = rows[["key", "lo", "hi"]].to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
-            found = [pairs(rows.iloc[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
+            values = rows[keys].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1])
+            found = [run(rows.iloc[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
             rest = rows.iloc[starts[-1] :]
             if found:
                 yield pd.concat(found, ignore_index=True)
         if rest is not None:
-            yield pairs(rest)
+            yield run(rest)
+
+    return groups
 
-    return run
+
+def _compared(percent: int):
+    """A spanning forest of the open pairs of a table entry's two blocks."""
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        forest, node = _Forest(len(group)), group["node"].to_numpy()
+        for x, y in _open_pairs(group, percent):
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                forest.join(i, j)
+        return pd.DataFrame([(node[i], node[j]) for i, j in forest.edges], columns=["u", "v"]).astype("int64")
+
+    return _by_group(["key", "lo", "hi"], pairs)
+
+
+def _verified(width: int, percent: int):
+    """A spanning forest of the links between a cluster's two blocks, found on whole sets."""
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        forest, node = _Forest(len(group)), group["node"].to_numpy()
+        sets = shingle_sets(group["text"].tolist(), width)
+        for x, y in _open_pairs(group, percent):
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                if forest.root(i) == forest.root(j):
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    forest.join(i, j)
+        return pd.DataFrame([(node[i], node[j]) for i, j in forest.edges], columns=["u", "v"]).astype("int64")
+
+    return _by_group(["cluster", "lo", "hi"], links)
 
 
 def _shingle_rows(width: int):
@@ -257,28 +342,60 @@ def shared_sizes(texts: DataFrame, width: int) -> DataFrame:
     return alone.groupBy("node").agg(F.count("*").alias("lonely"))
 
 
-def _facing(entries: DataFrame, known: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Candidate pairs (head, doc) whose ends are in different components."""
+#: What tells whether a pair is open.
+_ABOUT = ("part", "n_shingles", "shared", "bands", "sketch")
+
+
+def _in_block_pairs(rows: DataFrame) -> DataFrame:
+    """Every row once for each pair of blocks that its own block is in; ``rows`` have node and blocks."""
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    numbered = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    return numbered.select("*", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+
+
+def _facing(
+    entries: DataFrame, known: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """A forest (u, v) of the open pairs, whose ends are in different components, and what tells them."""
     placed = entries.join(known, "node", "left").withColumn("part", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("size"))
     mixed = mixed.where("least < most").select("key", F.ceil(F.col("size") / ENTRY_BLOCK).alias("blocks"))
-    members = cut_lineage(placed.select("key", "tab", "node", "part").join(mixed, "key"), "members")
+    members = cut_lineage(placed.select("key", "node", "part").join(mixed, "key"), "members")
     left = members.select(F.col("node").alias("doc")).distinct()
     lonely = shared_sizes(texts.join(left.hint("merge"), "doc", "left_semi"), width)
     shared = (F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).alias("shared")
     about = classes.join(lonely, "node", "left").select("node", "n_shingles", shared, "bands", "sketch")
     # Not even a subset of such a document could be similar enough.
     about = about.where(F.col("shared") * 100 >= F.col("n_shingles") * percent)
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = members.select("*", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    full = dealt.join(about, "node")
+    about = cut_lineage(about.join(members.select("node", "part").distinct(), "node"), "about")
+    full = _in_block_pairs(members.drop("part")).join(about, "node")
     ordered = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    ordered = ordered.select("key", "lo", "hi", "tab", "block", "node", "part", "n_shingles", "shared", "bands", "sketch")
-    return cut_lineage(ordered.mapInPandas(_compared(percent), "head long, doc long"), "pairs")
+    ordered = ordered.select("key", "lo", "hi", "block", "node", *_ABOUT)
+    return cut_lineage(ordered.mapInPandas(_compared(percent), "u long, v long"), "pairs"), about
+
+
+def _settled(facing: tuple[DataFrame, DataFrame], texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Forest (u, v) of the links among open pairs; a text goes once to each pair of blocks of its cluster."""
+    forest, about = facing
+    clusters = connected_components(forest).withColumnRenamed("component", "cluster")
+    # The smallest node of a cluster is not among the nodes that hang on it.
+    clusters = cut_lineage(clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster")).distinct(), "clusters")
+    placed = clusters.join(about, "node")
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    blocks = F.ceil(F.greatest(F.col("n") / CLUSTER_BLOCK, F.col("s") / BLOCK_SHINGLES)).alias("blocks")
+    dealt = _in_block_pairs(clusters.join(sizes.select("cluster", blocks), "cluster"))
+    full = dealt.join(about, "node").join(texts.withColumnRenamed("doc", "node"), "node")
+    ordered = full.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node")
+    ordered = ordered.select("cluster", "lo", "hi", "block", "node", *_ABOUT, "text")
+    return ordered.mapInPandas(_verified(width, percent), "u long, v long")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows whose document stays, with the columns of ``docs``."""
-    found = near_components(docs, width, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    """The rows whose document stays, with the columns of ``docs``, whatever their names.
+
+    All rows of an id stay or go together; rows with a null id stay. An empty
+    table stays empty.
+    """
+    own = fresh_name("kept_id", docs.columns)
+    found = near_components(docs, width, percent).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from updraft.llm.common import in_pieces, mix64
 
 BASE = 0x9E3779B97F4A7C15
 PIECE_CHARS = 1 << 20
+#: Bytes from which on a word is hashed by a digest.
+LONG_WORD = 64
 _SPREAD = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 #: Letters A-Z take the value of a-z.
 _SPREAD[ord("A") : ord("Z") + 1] = _SPREAD[ord("a") : ord("z") + 1]
@@ -39,6 +43,10 @@ def _word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sums[0] = 0
     np.cumsum(_SPREAD[data] * up, out=sums[1:])
     words = mix64((sums[ends] - sums[starts]) * down[starts])
+    # Long words of few letters can be built so that the sum is equal; a digest tells them apart.
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        word = data[starts[i] : ends[i]].tobytes().lower()
+        words[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
     begins = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
     return words, np.searchsorted(starts, begins)
 
