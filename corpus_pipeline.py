@@ -2,7 +2,9 @@
 
 A stage takes ``(spark, docs, sf_dir)`` and returns what it keeps; its result is
 written as Parquet in the shared folder and read again as the next stage's docs.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of their docs, whatever their names; an
+empty table gives an empty result, and null texts, ids, sources and repeated rows
+are treated as the operators say.
 """
 
 from __future__ import annotations

@@ -87,3 +87,21 @@ def test_run_and_registration(spark, steps):
     names = entry_points.queries()
     assert {"pipeline", *(f"op{n}_" for n in range(1, 11))} <= set(names) | {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")}
     assert sorted(map(str, cp.run(spark, SF).drop("sequence_id", "offset").collect())) == sorted(map(str, steps[5].drop("sequence_id", "offset").collect()))
+
+
+CLASHES = """_size _keep _key _id kept keep_id group_size score predicted held_out positive block shards _turn _shard taken copies size
+    quota node head component_id n_shingles length start offset sequence_id own_5 own_7 kept_id""".split()
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_stages_with_clashing_names_and_without_rows(spark, name, stage):
+    docs = table(spark, SF, "documents").limit(120)
+    extra = docs.selectExpr("*", *[f"concat('own', doc_id) AS `{c}`" for c in CLASHES])
+    odd = spark.createDataFrame([(None, None, None, None, None, *["x"] * len(CLASHES))], extra.schema)
+    found = stage(spark, extra.unionByName(odd), SF)
+    if name != "packing":
+        assert found.columns == extra.columns
+        got = found.where("doc_id IS NOT NULL").collect()
+        assert got and all(r[c] == f"own{r.doc_id}" for r in got for c in CLASHES)
+        assert stage(spark, extra.limit(0), SF).columns == extra.columns
+    assert stage(spark, extra.limit(0), SF).collect() == []

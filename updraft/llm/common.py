@@ -21,7 +21,7 @@ SPACE = r"[\x20\x09-\x0D]"
 BATCH_DOCUMENTS = 500
 _BATCH_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
-__all__ = ["SPACE", "cut_lineage", "fresh_name", "held_out", "in_pieces", "long_columns", "map_exact", "mix64", "scratch_path", "seeded", "ship", "table", "unit_hash"]
+__all__ = ["SPACE", "cut_lineage", "fresh_name", "held_out", "in_pieces", "long_columns", "map_exact", "mix64", "scratch_path", "seeded", "shielded", "ship", "table", "unit_hash"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,6 +59,7 @@ def map_exact(rows: DataFrame, run: Callable, schema: str | StructType, *names:
 
     Beside a null, pandas makes floats of a batch's longs, which rounds them above 2**53.
     """
+    ship(rows.sparkSession)
     kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     sent = StructType([StructField(f.name, StringType()) if f.name in names else f for f in kinds])
     texts = rows.withColumns({n: F.col(f"`{n}`").cast("string") for n in names})
@@ -73,6 +74,16 @@ def fresh_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def shielded(docs: DataFrame, *known: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with neutral names for all but the ``known`` columns, and the way back.
+
+    An operator can then add columns of any name; the second result restores the
+    names and the order of ``docs`` on what the operator returns.
+    """
+    inner = [c if c in known else f"own_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*inner), lambda out: out.select(*inner).toDF(*docs.columns)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn from; false where the id is null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

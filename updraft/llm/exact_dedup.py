@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from updraft.llm.common import SPACE, cut_lineage
+from updraft.llm.common import SPACE, cut_lineage, shielded
 
 PAGE_KEYS = 4096
 KEY_BITS = 64
@@ -91,20 +91,22 @@ def probe(docs: DataFrame, index: Index) -> DataFrame:
     group. The digest tells the links of a chain apart.
     """
     body = normalised(F.col("text"))
-    own = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    whole = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    own, _ = shielded(whole, "doc_id", "text")
     keyed = own.withColumn("_key", F.xxhash64(body)).withColumn("text_sha256", F.sha2(body, 256))
     shared = index.pages.where("size > 1").select(
         F.col("key").alias("_key"), F.col("sha").alias("text_sha256"), F.col("keep_id").alias("_keep"), F.col("size").alias("_size")
     )
     found = keyed.join(shared, ["_key", "text_sha256"], "left")
     keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
-    return found.select(
+    found = found.select(
         *own.columns,
         keep.alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
     )
+    return found.toDF(*whole.columns, *found.columns[len(whole.columns) :])
 
 
 def exact_dedup(docs: DataFrame, page_keys: int = PAGE_KEYS) -> DataFrame:
@@ -120,9 +122,13 @@ def exact_dedup(docs: DataFrame, page_keys: int = PAGE_KEYS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, page_keys: int = PAGE_KEYS) -> DataFrame:
-    """The rows that stay, one for each text, with the columns of ``docs``."""
-    kept = exact_dedup(docs, page_keys).where("kept").dropDuplicates(["text_sha256"])
-    return kept.select(*docs.columns)
+    """The rows that stay, one for each text, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts are one group. An id that is null stays only where its
+    group has no other. An empty table stays empty.
+    """
+    plain, restored = shielded(docs, "doc_id", "text")
+    return restored(exact_dedup(plain, page_keys).where("kept").dropDuplicates(["text_sha256"]))
 
 
 VERDICT = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")

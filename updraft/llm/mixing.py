@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from updraft.llm.common import SPACE, cut_lineage, long_columns, map_exact
+from updraft.llm.common import SPACE, cut_lineage, long_columns, map_exact, shielded
 
 _WORD = re.compile(SPACE.replace("[", "[^") + "+")
 
@@ -209,13 +209,15 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: whole copies and parts cut at words, ``n_chars`` renewed."""
-    lines = cut_lineage(_sized(docs.select("doc_id", "text", "source")).drop("text"), "lines")
-    made = ["size", "source_size", "target", "taken", "copies", "head_from", "head_to", "tail_from", "tail_to"]
-    clash = {c: f"_own_{c}" for c in made if c in docs.columns}
-    rows = _placed(_sized(docs.withColumnsRenamed(clash)), plan(lines)).where("taken > 0")
-    names = [clash.get(c, c) for c in docs.columns]
-    wanted = rows.select(*names, "copies", "head_from", "head_to", "tail_from", "tail_to")
-    passed = [c for c in long_columns(wanted) if c in names and c != "n_chars"]
-    out = map_exact(wanted, _cut, wanted.schema, *passed).select(*names)
-    return out.withColumnsRenamed({v: k for k, v in clash.items()})
+    """The mix itself, with the columns of ``docs``, whatever their names: whole copies and parts cut at words.
+
+    ``n_chars`` is renewed where it is there. Documents without words, or null, do
+    not come; null ids and a null source count like any others. An empty table
+    stays empty.
+    """
+    plain, restored = shielded(docs, "doc_id", "text", "source", "n_chars")
+    lines = cut_lineage(_sized(plain.select("doc_id", "text", "source")).drop("text"), "lines")
+    rows = _placed(_sized(plain), plan(lines)).where("taken > 0")
+    wanted = rows.select(*plain.columns, "copies", "head_from", "head_to", "tail_from", "tail_to")
+    passed = [c for c in long_columns(wanted) if c in plain.columns and c != "n_chars"]
+    return restored(map_exact(wanted, _cut, wanted.schema, *passed))

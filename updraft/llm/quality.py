@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from updraft.llm.common import cut_lineage, held_out, mix64, seeded, long_columns, map_exact
+from updraft.llm.common import cut_lineage, held_out, long_columns, map_exact, mix64, seeded, shielded
 
 BUCKET_BITS = 10
 BUCKETS = 1 << BUCKET_BITS
@@ -211,6 +211,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows predicted to be good, with the columns of ``docs``."""
-    model = fit(docs, labels)
-    return scored(docs, model).where("predicted = 1").select(*docs.columns)
+    """The rows predicted to be good, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts are scored like any others, null ids too. An empty table
+    stays empty.
+    """
+    plain, restored = shielded(docs, "doc_id", "text")
+    return restored(scored(plain, fit(plain, labels)).where("predicted = 1"))
