@@ -227,8 +227,11 @@ def _least_match(percent: int) -> float:
     return percent / 100 - SLACK * np.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)
 
 
-def _open_pairs(group: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows between the group's two blocks that share a table and that nothing rules out."""
+def _open_pairs(group: pd.DataFrame, percent: int, tab: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows between the group's two blocks that share a table and that nothing rules out.
+
+    With ``tab`` only the pairs whose first shared table it is, so that a pair is open in one table entry.
+    """
     lo, hi = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
     side, part, n, shared = (group[c].to_numpy() for c in ("block", "part", "n_shingles", "shared"))
     bands = np.array(group["bands"].tolist(), np.int32)
@@ -246,36 +249,41 @@ def _open_pairs(group: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray,
             i, j = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
             same = bands[i] == bands[j]
             met = same[:, :SIDE].any(axis=1) & same[:, SIDE:].any(axis=1)
+            if tab is not None:
+                met &= same[:, :SIDE].argmax(axis=1) * SIDE + same[:, SIDE:].argmax(axis=1) == tab
             i, j = i[met], j[met]
             keep = (sketch[i] == sketch[j]).mean(axis=1) >= _least_match(percent)
             yield i[keep], j[keep]
 
 
 class _Forest:
-    """Edges that first join two trees, among a group's rows."""
+    """Edges that first join two trees, among all nodes that a task meets."""
 
-    def __init__(self, size: int) -> None:
-        self.parent = list(range(size))
-        self.edges: list[tuple[int, int]] = []
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
     def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
+        parent = self.parent
+        while (up := parent.get(i, i)) != i:
+            parent[i] = i = parent.get(up, up)
         return i
 
-    def join(self, i: int, j: int) -> None:
+    def join(self, i: int, j: int) -> bool:
         a, b = self.root(i), self.root(j)
-        if a != b:
-            self.parent[b] = a
-            self.edges.append((i, j))
+        self.parent[b] = a
+        return a != b
 
 
-def _by_group(keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame]):
-    """``run`` on each group of rows that are sorted by ``keys``."""
+def _by_group(keys: list[str], edges: Callable[[pd.DataFrame, _Forest], list[tuple[int, int]]]):
+    """``edges`` of each group of rows that are sorted by ``keys``; a task's groups share a forest."""
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None  # the last group of a batch may go on in the next one
+        forest = _Forest()
+
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(edges(group, forest), columns=["u", "v"]).astype("int64")
+
         for batch in batches:
             if not len(batch):
                 continue
@@ -295,32 +303,31 @@ def _by_group(keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame]):
 def _compared(percent: int):
     """A spanning forest of the open pairs of a table entry's two blocks."""
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        forest, node = _Forest(len(group)), group["node"].to_numpy()
-        for x, y in _open_pairs(group, percent):
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                forest.join(i, j)
-        return pd.DataFrame([(node[i], node[j]) for i, j in forest.edges], columns=["u", "v"]).astype("int64")
+    def edges(group: pd.DataFrame, forest: _Forest) -> list[tuple[int, int]]:
+        node, tab = group["node"].to_numpy(), int(group["tab"].iloc[0])
+        pairs = ((u, v) for x, y in _open_pairs(group, percent, tab) for u, v in zip(node[x].tolist(), node[y].tolist(), strict=True))
+        return [(u, v) for u, v in pairs if forest.join(u, v)]
 
-    return _by_group(["key", "lo", "hi"], pairs)
+    return _by_group(["key", "lo", "hi"], edges)
 
 
 def _verified(width: int, percent: int):
     """A spanning forest of the links between a cluster's two blocks, found on whole sets."""
 
-    def links(group: pd.DataFrame) -> pd.DataFrame:
-        forest, node = _Forest(len(group)), group["node"].to_numpy()
+    def edges(group: pd.DataFrame, forest: _Forest) -> list[tuple[int, int]]:
+        node, found = group["node"].tolist(), []
         sets = shingle_sets(group["text"].tolist(), width)
         for x, y in _open_pairs(group, percent):
             for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                if forest.root(i) == forest.root(j):
+                if forest.root(node[i]) == forest.root(node[j]):
                     continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    forest.join(i, j)
-        return pd.DataFrame([(node[i], node[j]) for i, j in forest.edges], columns=["u", "v"]).astype("int64")
+                    forest.join(node[i], node[j])
+                    found.append((node[i], node[j]))
+        return found
 
-    return _by_group(["cluster", "lo", "hi"], links)
+    return _by_group(["cluster", "lo", "hi"], edges)
 
 
 def _shingle_rows(width: int):
@@ -360,7 +367,7 @@ def _facing(
     placed = entries.join(known, "node", "left").withColumn("part", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("size"))
     mixed = mixed.where("least < most").select("key", F.ceil(F.col("size") / ENTRY_BLOCK).alias("blocks"))
-    members = cut_lineage(placed.select("key", "node", "part").join(mixed, "key"), "members")
+    members = cut_lineage(placed.select("key", "tab", "node", "part").join(mixed, "key"), "members")
     left = members.select(F.col("node").alias("doc")).distinct()
     lonely = shared_sizes(texts.join(left.hint("merge"), "doc", "left_semi"), width)
     shared = (F.col("n_shingles") - F.coalesce("lonely", F.lit(0))).alias("shared")
@@ -370,7 +377,7 @@ def _facing(
     about = cut_lineage(about.join(members.select("node", "part").distinct(), "node"), "about")
     full = _in_block_pairs(members.drop("part")).join(about, "node")
     ordered = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    ordered = ordered.select("key", "lo", "hi", "block", "node", *_ABOUT)
+    ordered = ordered.select("key", "lo", "hi", "tab", "block", "node", *_ABOUT)
     return cut_lineage(ordered.mapInPandas(_compared(percent), "u long, v long"), "pairs"), about
 
 
