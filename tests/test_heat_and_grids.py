@@ -139,3 +139,22 @@ def test_air_reference_points(spark):
     assert row.p0 == 101325.0 and row.p5 == pytest.approx(50500, abs=200)
     assert row.es == pytest.approx(6.112) and row.lcl == 500.0 and row.w == 0.0
     assert 0.004 < row.moist < 9.81 / 1005
+
+
+@pytest.mark.parametrize("spread", [1.0, 40.0])
+def test_nearest_point_of_a_turned_grid(spark, spread):
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[0:15, 0:20].reshape(2, -1) * 0.07
+    lat, lon = 46 + 0.9 * y - 0.4 * x, 10 + 0.4 * y + 0.9 * x
+    cells = spark.createDataFrame([(int(k // 20), int(k % 20), float(a), float(b)) for k, (a, b) in enumerate(zip(lat, lon))], "lat_i INT, lon_i INT, lat DOUBLE, lon DOUBLE")
+    pts = rng.uniform(-spread, spread, (200, 2)) + [46.4, 10.8]
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)] + [(200, None, 1.0)], "region_id INT, lat DOUBLE, lon DOUBLE")
+    got = {r.region_id: r.lat_i * 20 + r.lon_i for r in grids.nearest_grid_point(cells, points).collect()}
+    want = ((pts[:, None] - np.column_stack([lat, lon])) ** 2).sum(axis=2).argmin(axis=1)
+    assert got == dict(enumerate(want.tolist()))
+
+
+def test_nearest_row_and_column_without_any_cell(spark):
+    cells = spark.createDataFrame([], "lat_i INT, lon_i INT, lat DOUBLE, lon DOUBLE")
+    points = spark.createDataFrame([(1, 46.0, 10.0)], "region_id INT, lat DOUBLE, lon DOUBLE")
+    assert grids.nearest_cell(cells, points).collect() == [] and grids.nearest_grid_point(cells, points).collect() == []

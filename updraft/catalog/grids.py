@@ -41,6 +41,25 @@ def _g2(spark, d):
     return grids.nearest_cell(cells(spark, d), representative_points(fx.region(spark, d)))
 
 
+#: A turned grid: neither coordinate is constant along a row or a column.
+TURN = (0.8, 0.6)
+
+
+@query(
+    "g2_nearest_grid_point",
+    fx.with_sql("grid_cell", "region_box", body=REP + """
+    , turned AS (SELECT DISTINCT lat_i, lon_i, 46 + 0.8e0 * (lat - 46) - 0.6e0 * (lon - 11) AS lat, 11 + 0.6e0 * (lat - 46) + 0.8e0 * (lon - 11) AS lon FROM grid_cell)
+    SELECT region_id, ARG_MIN(lat_i, (ROUND(d, 9), t_lat, t_lon)) AS lat_i, ARG_MIN(lon_i, (ROUND(d, 9), t_lat, t_lon)) AS lon_i
+    FROM (SELECT region_id, lat_i, lon_i, t.lat AS t_lat, t.lon AS t_lon, POW(t.lat - r.lat, 2) + POW(t.lon - r.lon, 2) AS d FROM rep r, turned t) GROUP BY 1"""),
+)
+def _g2_turned(spark, d):
+    from updraft.operators.spatial import representative_points
+
+    lat, lon = F.col("lat") - 46, F.col("lon") - 11
+    turned = cells(spark, d).withColumns({"lat": 46 + TURN[0] * lat - TURN[1] * lon, "lon": 11 + TURN[1] * lat + TURN[0] * lon})
+    return grids.nearest_grid_point(turned, representative_points(fx.region(spark, d)))
+
+
 SERIES = CENTRE + MAP + """
 , full_set AS (SELECT region_id, init_h, CAST(lead_h AS INT) AS lead_h, var FROM (SELECT DISTINCT region_id, init_h FROM grid_cell JOIN cell_map USING (lat_i, lon_i)), range(0, 8) l(lead_h), (VALUES ('asob_s'), ('cape_ml'), ('htop_dc'), ('tot_prec')) v(var))
 , pts AS (SELECT region_id, init_h, lead_h, var, value AS centroid FROM grid_cell JOIN centre USING (lat_i, lon_i))

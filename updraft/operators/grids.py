@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,28 +64,54 @@ def region_mean(grid: DataFrame, cell_map: DataFrame, keys: list[str]) -> DataFr
     return joined.groupBy("region_id", *keys).agg(F.avg("value").alias("mean"))
 
 
-def nearest_cell(cells: DataFrame, points: DataFrame, key: str = "region_id") -> DataFrame:
-    """Nearest grid row and column of each point, chosen independently.
+def nearest_rows(points: DataFrame, targets: DataFrame, key: str, dims: list[str], width: float = 0.25) -> DataFrame:
+    """Each point's key with all columns of the nearest target, in the plane or on the line of ``dims``.
 
-    The two axes travel as scalar subqueries: a few thousand numbers at most,
-    since an axis never exceeds the grid's height or width.
+    Points and targets meet in bins: a point looks into its own bin and those
+    around it. What it finds within a bin's width is its nearest, since nothing
+    nearer can lie further off. Only points without such a find go on, with bins
+    of twice the width, so the work follows the points and never their product
+    with the targets. Of targets at one distance the least coordinates win. Points
+    with a null coordinate have no nearest target.
     """
+    rest = points.select(key, *dims).where(" AND ".join(f"{d} IS NOT NULL" for d in dims))
+    values = targets.where(" AND ".join(f"{d} IS NOT NULL" for d in dims))
+    ends = rest.select(*dims).unionByName(values.select(*dims)).agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
+    span = max((x or 0.0) for x in ends)
+    columns = values.columns
+    others = [F.col(f"_t.{d}").alias(f"_{d}") for d in dims]
+    parts = []
+    while True:
+        bins = [F.floor(F.col(d) / F.lit(width)) for d in dims]
+        placed = values.select(F.struct(*columns).alias("_t"), *[b.alias(f"_b{i}") for i, b in enumerate(bins)])
+        asked = rest
+        for i, b in enumerate(bins):
+            asked = asked.select("*", F.explode(F.sequence(b - 1, b + 1)).alias(f"_b{i}"))
+        met = asked.join(placed, [f"_b{i}" for i in range(len(dims))])
+        square = sum((F.pow(F.col(d) - F.col(f"_t.{d}"), 2) for d in dims), F.lit(0.0))
+        best = met.select(key, F.struct(square.alias("square"), *others, F.col("_t")).alias("_best")).groupBy(key).agg(F.min("_best").alias("_best"))
+        last = width >= span
+        best = cut_lineage(best if last else best.where(F.col("_best.square") <= width * width), "nearest")
+        parts.append(best.select(key, *[F.col(f"_best._t.{c}").alias(c) for c in columns]))
+        if last:
+            break
+        rest = cut_lineage(rest.join(best, key, "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+        width *= 2
+    return reduce(DataFrame.unionByName, parts)
 
-    def axis(value: str, index: str) -> Column:
-        pairs = cells.select(F.array_sort(F.collect_set(F.struct(value, index))))
-        return pairs.scalar()
 
-    def nearest(axis_column: str, value: str, index: str, at: str) -> Column:
-        ranked = F.transform(axis_column, lambda a: F.struct(F.abs(a[value] - F.col(at)).alias("off"), a[value], a[index]))
-        return F.array_min(ranked)
+def nearest_cell(cells: DataFrame, points: DataFrame, key: str = "region_id") -> DataFrame:
+    """Nearest grid row and column of each point, chosen independently."""
+    axes = [("lat", "lat_i"), ("lon", "lon_i")]
+    rows, columns = [nearest_rows(points, cells.select(*axis).distinct(), key, [axis[0]]).drop(axis[0]) for axis in axes]
+    return rows.join(columns, key)
 
-    placed = points.select(key, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
-    with_axes = placed.withColumn("_rows", axis("lat", "lat_i")).withColumn("_cols", axis("lon", "lon_i"))
-    return with_axes.select(
-        key,
-        nearest("_rows", "lat", "lat_i", "_lat")["lat_i"].alias("lat_i"),
-        nearest("_cols", "lon", "lon_i", "_lon")["lon_i"].alias("lon_i"),
-    )
+
+def nearest_grid_point(cells: DataFrame, points: DataFrame, key: str = "region_id") -> DataFrame:
+    """Nearest cell of each point on a grid of any shape, rows and columns not being parallels and meridians."""
+    return nearest_rows(points, cells.select("lat", "lon", *CELL).distinct(), key, ["lat", "lon"]).select(key, *CELL)
 
 
 def scaffold(base: DataFrame, leads: tuple[int, int], variables: tuple[str, ...]) -> DataFrame:
