@@ -9,6 +9,7 @@ from updraft.catalog.beacons import parsed
 from updraft.catalog.heat import CURVE, HEATED, LOOKUP, evolution
 from updraft.catalog.registry import query, rounded
 from updraft.catalog.spatial import phases_with_region
+from updraft.catalog.terrain import AHD, PASSES, RELIEF, passes
 from updraft.catalog.tracks import TO_PHASE, stored
 from updraft.operators import scores, spatial
 
@@ -122,17 +123,14 @@ def _e5_class(spark, d):
 
 @query(
     "e6_permeability",
-    fx.with_sql("grid_cell", "flux", "profile", "region_box", body=CURVE + HEATED + LOOKUP + """
-    , edge AS (SELECT a.region_id AS region_a, b.region_id AS region_b, 250.0e0 + 40 * ((a.region_id * 3 + b.region_id) % 11) AS rel FROM region_box a JOIN region_box b ON a.ord < b.ord
-        AND GREATEST(a.x0 - b.x1, b.x0 - a.x1, 0) < 0.001e0 AND GREATEST(a.y0 - b.y1, b.y0 - a.y1, 0) < 0.001e0)
+    fx.with_sql("pixel", "located_pixel", "grid_cell", "flux", "profile", "region_box", body=AHD + RELIEF + PASSES + CURVE + HEATED + LOOKUP + """
     SELECT region_a, region_b, p.init_h, p.lead_h, ROUND(LEAST(1, GREATEST(0, (LEAST(p.z_top, q.z_top) - rel) / 500)), 4) AS permeability
-    FROM edge JOIN topped p ON p.region_id = region_a JOIN topped q ON q.region_id = region_b AND q.init_h = p.init_h AND q.lead_h = p.lead_h"""),
+    FROM passes JOIN topped p ON p.region_id = region_a JOIN topped q ON q.region_id = region_b AND q.init_h = p.init_h AND q.lead_h = p.lead_h"""),
 )
 def _e6(spark, d):
-    pairs = spatial.neighbour_pairs(fx.region(spark, d))
-    rel = 250.0 + 40 * ((F.col("region_a") * 3 + F.col("region_b")) % 11)
+    """Mixed-layer tops over the heights of the passes between neighbours."""
     tops = evolution(spark, d).select("region_id", "init_h", "lead_h", "z_top_m")
-    return rounded(scores.permeability(pairs.withColumn("relative_threshold_m", rel), tops), permeability=4)
+    return rounded(scores.permeability(passes(spark, d), tops), permeability=4)
 
 
 @query(

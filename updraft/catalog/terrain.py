@@ -140,23 +140,29 @@ def _r7_pixels(spark, d):
     return labelled.groupBy("segment_id").agg(F.count("*").alias("n"))
 
 
-@query(
-    "r8_pass_height",
-    fx.with_sql("pixel", "located_pixel", "region_box", body=AHD + RELIEF + """
+PASSES = """
     , near AS (SELECT lon, lat, elev_m, region_id FROM located_pixel, region_box WHERE
         (lat BETWEEN y0 - 0.0061e0 AND y1 + 0.0061e0 AND (ABS(lon - x0) <= 0.0061e0 OR ABS(lon - x1) <= 0.0061e0)) OR (lon BETWEEN x0 - 0.0061e0 AND x1 + 0.0061e0 AND (ABS(lat - y0) <= 0.0061e0 OR ABS(lat - y1) <= 0.0061e0)))
     , low AS (SELECT a.region_id AS region_a, b.region_id AS region_b, MIN(a.elev_m) AS z FROM near a JOIN near b ON a.lon = b.lon AND a.lat = b.lat AND a.region_id < b.region_id GROUP BY 1, 2)
     , filled AS (SELECT region_a, region_b, z, COALESCE(fa.elev_min_m, z) AS a, COALESCE(fb.elev_min_m, z) AS b FROM low LEFT JOIN relief fa ON fa.region_id = region_a LEFT JOIN relief fb ON fb.region_id = region_b)
-    SELECT region_a, region_b, ROUND(z, 3) AS threshold_z_m, a AS valley_floor_a_m, b AS valley_floor_b_m, ROUND(GREATEST(0, z - GREATEST(a, b)), 3) AS relative_threshold_m FROM filled
-    WHERE ABS(region_a % 5 - region_b % 5) + ABS(region_a // 5 - region_b // 5) = 1"""),
-)
-def _r8(spark, d):
+    , passes AS (SELECT region_a, region_b, z, a, b, GREATEST(0, z - GREATEST(a, b)) AS rel FROM filled WHERE ABS(region_a % 5 - region_b % 5) + ABS(region_a // 5 - region_b // 5) = 1)"""
+
+
+def passes(spark, d):
     # Pairs with a common side; the fixture's pixels lie 0.005 degrees off the borders.
     a, b = F.col("region_a"), F.col("region_b")
     side = F.abs(a % 5 - b % 5) + F.abs(F.floor(a / 5) - F.floor(b / 5)) == 1
     pairs = spatial.neighbour_pairs(fx.region(spark, d)).where(side)
-    out = terrain.pass_height(pairs, fx.located_pixel(spark, d), fx.region(spark, d), relief(spark, d), 0.0061)
-    return rounded(out, threshold_z_m=3, relative_threshold_m=3)
+    return terrain.pass_height(pairs, fx.located_pixel(spark, d), fx.region(spark, d), relief(spark, d), 0.0061)
+
+
+@query(
+    "r8_pass_height",
+    fx.with_sql("pixel", "located_pixel", "region_box", body=AHD + RELIEF + PASSES + """
+    SELECT region_a, region_b, ROUND(z, 3) AS threshold_z_m, a AS valley_floor_a_m, b AS valley_floor_b_m, ROUND(rel, 3) AS relative_threshold_m FROM passes"""),
+)
+def _r8(spark, d):
+    return rounded(passes(spark, d), threshold_z_m=3, relative_threshold_m=3)
 
 
 NAMED = """
