@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from updraft.llm import exact_dedup, minhash_dedup
 from updraft.llm.common import table
@@ -63,6 +65,41 @@ def test_chains_tell_texts_with_one_key_apart(spark):
     assert {r.keep_id for r in exact_dedup.probe(docs, index).collect()} == {1, 2}
 
 
+def test_owners_compare_texts_whose_keys_are_equal(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "key_of", lambda body: F.length(body).cast("long"))
+    docs = spark.range(0, 600, 1, 8).selectExpr("id AS doc_id", "concat('t', lpad(id % 7, id % 3 + 1, '0')) AS text")
+    index = exact_dedup.build_index(docs)
+    assert sorted((r.key, r.chain) for r in index.pages.collect()) == [(n, c) for n in (2, 3, 4) for c in range(1, 8)]
+    want = {(r.doc_id, r.text) for r in docs.collect()}
+    first, size = {}, Counter()
+    for doc_id, text in sorted(want):
+        first.setdefault(text, doc_id)
+        size[text] += 1
+    got = {(r.doc_id, r.text): (r.keep_id, r.group_size) for r in exact_dedup.probe(docs, index).collect()}
+    assert got == {(d, t): (first[t], size[t]) for d, t in want}
+
+
+def test_groups_come_from_the_owners_that_the_directory_names(spark, monkeypatch):
+    real = exact_dedup.directory
+    docs = spark.range(0, 400, 1, 8).selectExpr("id AS doc_id", "concat('text ', id % 100) AS text")
+
+    def without_half(keys, page_keys):
+        slots, bits = real(keys, page_keys)
+        return slots.where(f"slot >= {1 << bits - 1}"), bits
+
+    assert {r.group_size for r in exact_dedup.exact_dedup(docs).collect()} == {4}
+    monkeypatch.setattr(exact_dedup, "directory", without_half)
+    sizes = Counter(r.group_size for r in exact_dedup.exact_dedup(docs).collect())
+    assert set(sizes) == {1, 4} and sum(sizes.values()) == 400
+
+
+def test_shares_of_a_group_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARES", 3)
+    docs = spark.range(0, 500, 1, 40).selectExpr("id AS doc_id", "if(id % 2 = 0, 'hot', concat('t', id)) AS text")
+    rows = exact_dedup.exact_dedup(docs).where("text = 'hot'").collect()
+    assert {(r.keep_id, r.group_size) for r in rows} == {(0, 250)} and sum(r.kept for r in rows) == 1
+
+
 @pytest.mark.parametrize("run", [exact_dedup.exact_dedup, minhash_dedup.near_components])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], DOCS)).collect() == []

@@ -2,9 +2,11 @@
 
 A text's 64-bit hash is its key. The directory doubles, one key bit at a time,
 until no bucket holds more than ``page_keys`` distinct keys; copies share a key
-and can never overfill a bucket. The entries of the buckets are written to the
-shared folder in key ranges. Each range has one owner task, which chains the
-entries of different texts that meet in one key. Everything is DataFrame work.
+and can never overfill a bucket. Copies merge into a bounded number of shares
+where they are read. The directory then routes each share to its bucket, a range
+of keys with one owner task. The owner compares the bytes of the texts that meet
+in one key, adds up the shares of equal ones and chains different ones. Its pages
+are written to the shared folder. Everything is DataFrame work.
 """
 
 from __future__ import annotations
@@ -15,9 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from updraft.llm.common import SPACE, cut_lineage, shielded
+from updraft.session import broadcast_if_small
 
 PAGE_KEYS = 4096
 KEY_BITS = 64
+#: Rows in which the copies of one text reach its owner at most.
+SHARES = 32
 
 
 def normalised(text: Column) -> Column:
@@ -25,6 +30,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " ")
 
 
+def key_of(body: Column) -> Column:
+    return F.xxhash64(body)
+
+
 def prefix(key: Column, bits: int) -> Column:
     """The leading bits of a key as a number."""
     return F.shiftrightunsigned(key, KEY_BITS - bits) if bits else F.lit(0).cast("long")
@@ -39,14 +48,13 @@ class Index:
     bits: int
 
 
-def directory(entries: DataFrame, page_keys: int = PAGE_KEYS) -> tuple[DataFrame, int]:
-    """The settled directory (slot, depth, bucket) and the bits of its slots.
+def directory(keys: DataFrame, page_keys: int = PAGE_KEYS) -> tuple[DataFrame, int]:
+    """The settled directory (slot, depth, bucket) of distinct keys and the bits of its slots.
 
     A slot belongs to the shallowest bucket on its path that is not overfull,
     which is where doubling stops. Slots that are overfull at full depth make
     the directory deeper and the count is taken again.
     """
-    keys = entries.select("key").distinct()
     bits = min(KEY_BITS - 1, max(0, (keys.count() // page_keys).bit_length()) + 2)
     while True:
         slots = keys.groupBy(prefix(F.col("key"), bits).alias("slot")).agg(F.count("*").alias("n"))
@@ -66,20 +74,24 @@ def directory(entries: DataFrame, page_keys: int = PAGE_KEYS) -> tuple[DataFrame
 def build_index(docs: DataFrame, page_keys: int = PAGE_KEYS) -> Index:
     """Index over ``docs`` (doc_id, text).
 
-    Equal texts merge before they are shuffled, so a group of copies sends one
-    row per input partition. The merge compares the whole texts, not only keys.
+    An input partition belongs to one share, so a group of copies sends one row per
+    partition, and its owner gets one row per share. Both merges compare whole texts.
+    A bucket has a bounded number of keys and hence of rows.
     """
-    text = normalised(F.col("text"))
-    rows = docs.select("doc_id", text.alias("body")).withColumn("key", F.xxhash64("body"))
-    merged = rows.groupBy("key", "body").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("size"))
-    entries = cut_lineage(merged.select("key", F.sha2("body", 256).alias("sha"), "keep_id", "size"), "entries")
-    slots, bits = directory(entries, page_keys)
+    body = normalised(F.col("text")).alias("body")
+    keyed = docs.select("doc_id", body).withColumn("key", key_of(F.col("body")))
+    slots, bits = directory(cut_lineage(keyed.select("key").distinct(), "keys"), page_keys)
     slots = cut_lineage(slots, "directory")
-    placed = entries.withColumn("slot", prefix(F.col("key"), bits)).join(slots, "slot")
-    # The window reuses the ranges: the owner of a key range numbers its chains without another shuffle.
-    owned = placed.repartitionByRange("bucket", "key")
-    chain = Window.partitionBy("bucket", "key").orderBy("sha", "keep_id")
-    pages = owned.withColumn("chain", F.row_number().over(chain))
+    share = F.pmod(F.spark_partition_id(), F.lit(SHARES))
+    shares = keyed.withColumn("share", share).groupBy("share", "key", "body")
+    shares = shares.agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("size"))
+    routed = shares.withColumn("slot", prefix(F.col("key"), bits)).join(broadcast_if_small(slots.select("slot", "bucket")), "slot")
+    # Grouping and chaining reuse the partitions by bucket: the owner needs no further shuffle.
+    owned = routed.repartition("bucket").groupBy("bucket", "key", "body")
+    entries = owned.agg(F.min("keep_id").alias("keep_id"), F.sum("size").alias("size"))
+    entries = entries.withColumn("sha", F.sha2("body", 256)).drop("body")
+    chain = Window.partitionBy("bucket", "key").orderBy("sha")
+    pages = entries.withColumn("chain", F.row_number().over(chain))
     pages = pages.select("bucket", "key", "chain", "sha", "keep_id", "size")
     return Index(cut_lineage(pages, "pages"), slots, bits)
 
@@ -87,13 +99,13 @@ def build_index(docs: DataFrame, page_keys: int = PAGE_KEYS) -> Index:
 def probe(docs: DataFrame, index: Index) -> DataFrame:
     """Adds keep_id, group_size, kept and text_sha256 to every row of ``docs``.
 
-    Only entries with copies take part in the join; every other text is its own
-    group. The digest tells the links of a chain apart.
+    Only entries that their owner found to have copies take part in the join; every
+    other text is its own group. The digest tells the links of a chain apart.
     """
     body = normalised(F.col("text"))
     whole = docs.drop("keep_id", "group_size", "kept", "text_sha256")
     own, _ = shielded(whole, "doc_id", "text")
-    keyed = own.withColumn("_key", F.xxhash64(body)).withColumn("text_sha256", F.sha2(body, 256))
+    keyed = own.withColumn("_key", key_of(body)).withColumn("text_sha256", F.sha2(body, 256))
     shared = index.pages.where("size > 1").select(
         F.col("key").alias("_key"), F.col("sha").alias("text_sha256"), F.col("keep_id").alias("_keep"), F.col("size").alias("_size")
     )
