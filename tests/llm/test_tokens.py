@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from updraft.llm import packing, token_files, tokens
@@ -81,6 +82,9 @@ def test_elias_fano(steps):
     values = np.cumsum(np.array(steps, np.int64))
     coded = EliasFano.from_bytes(EliasFano.encode(values).to_bytes())
     assert coded.all().tolist() == values.tolist()
+    assert [v for run in coded.runs() for v in run.tolist()] == values.tolist()
+    with pytest.raises(IndexError):
+        coded.run(len(coded.samples))
     for i in random.Random(1).sample(range(len(values)), min(40, len(values))):
         assert coded.select(i) == values[i]
 
@@ -150,6 +154,27 @@ def test_packing(spark, source):
             assert at == len(group[0])
 
 
+def test_readers_are_as_many_as_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_IDS", 3_000)
+    folder = str(tmp_path / "out")
+    manifest = token_files.write_files(table(spark, SF, "documents"), folder)
+    files = manifest.count()
+    found = token_files.read_files(manifest, folder).withColumn("task", F.spark_partition_id())
+    assert files > 20 and found.select("task").distinct().count() > files // 2
+
+
+def test_boundaries_come_from_select(spark, tmp_path, monkeypatch):
+    docs = spark.range(1300).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    manifest = token_files.write_files(docs.coalesce(1), str(tmp_path))
+    data = (tmp_path / manifest.first().file).read_bytes()
+    monkeypatch.setattr(EliasFano, "all", None)
+    (batch, *more) = token_files._reader(str(tmp_path))([manifest.limit(1).selectExpr("file", "0 AS before").toPandas()])
+    assert len(batch) <= 512 and sum(map(len, [batch, *more])) == token_files.unpack_file(data)[1].n
+    monkeypatch.setattr(EliasFano, "run", None)
+    with pytest.raises(TypeError):
+        list(token_files._reader(str(tmp_path))([manifest.selectExpr("file", "0 AS before").toPandas()]))
+
+
 def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], DOCS)
     assert packing.pack(none).collect() == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -77,6 +78,31 @@ class EliasFano:
             head &= ~(1 << (head.bit_length() - 1))
         return ((byte << 3) + head.bit_length() - 1 - i) << self.low_bits | self._low_of(i)
 
+    def run(self, block: int) -> np.ndarray:
+        """The values of the block of ``SAMPLE`` that starts at its sampled position.
+
+        Only that block's bits are looked at, so that a scan by blocks is linear
+        and never holds more than one block of whole numbers.
+        """
+        first = block * SAMPLE
+        n = min(SAMPLE, self.n - first)
+        if block < 0 or n <= 0:
+            raise IndexError(block)
+        at = int(self.samples[block])
+        stop = int(self.samples[block + 1]) if block + 1 < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[at >> 3 : (stop + 7) >> 3], bitorder="little")
+        ones = np.flatnonzero(bits[at & 7 :])[:n] + at
+        # A block has a whole number of bytes of low bits, since SAMPLE is a multiple of 8.
+        part = self.low[first * self.low_bits >> 3 : (first + n) * self.low_bits + 7 >> 3]
+        bits = np.unpackbits(part, bitorder="little")[: n * self.low_bits].reshape(n, self.low_bits)
+        low = (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1) if self.low_bits else 0
+        return ((ones - np.arange(first, first + n)) << self.low_bits) | low
+
+    def runs(self) -> Iterator[np.ndarray]:
+        """All values in blocks."""
+        for block in range(len(self.samples)):
+            yield self.run(block)
+
     def all(self) -> np.ndarray:
         """Every value, decoded at once."""
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]

@@ -33,6 +33,8 @@ _LENGTHS = struct.Struct("<B3Q")
 FILE_IDS = 4_000_000
 #: Documents that have no id stand before all others, under this number.
 NO_ID = -(1 << 62)
+#: Reader tasks at most; files are dealt among them.
+READERS = 20_000
 
 
 def narrow(ids: np.ndarray) -> np.ndarray:
@@ -49,8 +51,8 @@ def pack_file(ids: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> bytes:
     return MAGIC + _LENGTHS.pack(width, len(body), len(boundaries), len(docs)) + body + boundaries + docs
 
 
-def unpack_file(data: bytes) -> tuple[np.ndarray, EliasFano, np.ndarray]:
-    """The ids, the boundaries with their select, and the document numbers."""
+def unpack_file(data: bytes) -> tuple[np.ndarray, EliasFano, tuple[int, EliasFano]]:
+    """The ids, the boundaries with their select, and the document numbers as the least one and what others add."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token file")
     width, *sizes = _LENGTHS.unpack_from(data, len(MAGIC))
@@ -58,7 +60,7 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, EliasFano, np.ndarray]:
     if at[-1] != len(data):
         raise ValueError("token file is cut short")
     docs = data[at[2] : at[3]]
-    numbers = EliasFano.from_bytes(docs[8:]).all() + struct.unpack_from("<q", docs)[0]
+    numbers = struct.unpack_from("<q", docs)[0], EliasFano.from_bytes(docs[8:])
     return np.frombuffer(data[at[0] : at[1]], f"<u{width}"), EliasFano.from_bytes(data[at[1] : at[2]]), numbers
 
 
@@ -123,16 +125,18 @@ def _reader(folder: str):
         for batch in batches:
             for name, before in zip(batch["file"], batch["before"], strict=True):
                 with store.open_input_file(f"{root}/{name}") as source:
-                    ids, ends, numbers = unpack_file(source.read())
-                stops = ends.all()
-                starts = np.concatenate([[0], stops[:-1]])
-                yield pd.DataFrame({
-                    "doc_id": pd.array(numbers, "Int64").copy() if NO_ID not in numbers
-                    else pd.array([None if n == NO_ID else n for n in numbers], "Int64"),
-                    "start": starts + before,
-                    "n_tokens": stops - starts,
-                    "ids_crc32": [zlib.crc32(ids[a:b].astype(tokens.ID_TYPE).tobytes()) for a, b in zip(starts, stops, strict=True)],
-                })
+                    ids, ends, (least, added) = unpack_file(source.read())
+                at = 0
+                for stops, more in zip(ends.runs(), added.runs(), strict=True):
+                    starts, numbers = np.concatenate([[at], stops[:-1]]), more + least
+                    at = int(stops[-1])
+                    yield pd.DataFrame({
+                        "doc_id": pd.array(numbers, "Int64") if NO_ID not in numbers
+                        else pd.array([None if n == NO_ID else n for n in numbers], "Int64"),
+                        "start": starts + before,
+                        "n_tokens": stops - starts,
+                        "ids_crc32": [zlib.crc32(ids[a:b].astype(tokens.ID_TYPE).tobytes()) for a, b in zip(starts, stops, strict=True)],
+                    })
 
     return run
 
@@ -141,11 +145,13 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     """Every document of the files: doc_id, start, n_tokens, ids_crc32.
 
     The manifest has one row per some million ids; its running sum is the only
-    step in one task.
+    step in one task. Boundaries come from the sampled select, a block at a time.
+    There are as many reader tasks as files, ``READERS`` at most.
     """
+    readers = max(1, min(READERS, manifest.count()))
     order = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
-    spread = placed.select("file", "before").repartition("file")
+    spread = placed.select("file", "before").repartition(readers, "file")
     return spread.mapInPandas(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
