@@ -156,11 +156,15 @@ def test_packing(spark, source):
 
 def test_readers_are_as_many_as_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_IDS", 3_000)
+    monkeypatch.setattr(token_files, "FILES_READ", 1)
     folder = str(tmp_path / "out")
     manifest = token_files.write_files(table(spark, SF, "documents"), folder)
     files = manifest.count()
     found = token_files.read_files(manifest, folder).withColumn("task", F.spark_partition_id())
     assert files > 20 and found.select("task").distinct().count() > files // 2
+    monkeypatch.undo()
+    again = token_files.read_files(manifest, folder)
+    assert again.exceptAll(found.drop("task")).isEmpty() and again.count() == found.count()
 
 
 def test_boundaries_come_from_select(spark, tmp_path, monkeypatch):

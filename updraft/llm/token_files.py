@@ -33,8 +33,8 @@ _LENGTHS = struct.Struct("<B3Q")
 FILE_IDS = 4_000_000
 #: Documents that have no id stand before all others, under this number.
 NO_ID = -(1 << 62)
-#: Reader tasks at most; files are dealt among them.
-READERS = 20_000
+#: Files for a reader task, so that its start is small beside its work, and reader tasks at most.
+FILES_READ, READERS = 4, 20_000
 
 
 def narrow(ids: np.ndarray) -> np.ndarray:
@@ -146,9 +146,9 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     The manifest has one row per some million ids; its running sum is the only
     step in one task. Boundaries come from the sampled select, a block at a time.
-    There are as many reader tasks as files, ``READERS`` at most.
+    Reader tasks grow with the files, one for ``FILES_READ``, ``READERS`` at most.
     """
-    readers = max(1, min(READERS, manifest.count()))
+    readers = max(1, min(READERS, -(-manifest.count() // FILES_READ)))
     order = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
     spread = placed.select("file", "before").repartition(readers, "file")
