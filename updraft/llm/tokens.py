@@ -167,24 +167,25 @@ def _encode_piece(path: str, texts: list[str]) -> list[bytes]:
     if len(known.recent) > KEPT_WORDS:
         known.before, known.recent = known.recent, {}
     look = known.recent.get
-    split: list[list[str]] = []
     found: list[list[bytes | None]] = []
+    gaps: list[tuple[list[int], list[str]]] = []  # where words without kept ids stand, and these words
     new: set[str] = set()
     for text in texts:
         words = [] if not text else [_FIRST + text] if _FIRST in text else (_FIRST + text).split(" ")
         ids = list(map(look, words))
-        if None in ids:
-            missing = [w for w, i in zip(words, ids, strict=True) if i is None]
-            # Kept words have clean edges, so only the others can break the rule.
-            if any(map(_UNSAFE.fullmatch, missing)):
-                words = _merged(words)
-                ids = list(map(look, words))
-                missing = [w for w, i in zip(words, ids, strict=True) if i is None]
-            new.update(missing)
-        split.append(words)
+        at = [k for k, i in enumerate(ids) if i is None]
+        missing = [words[k] for k in at]
+        # Kept words have clean edges, so only the others can break the rule.
+        if any(map(_UNSAFE.fullmatch, missing)):
+            words = _merged(words)
+            ids = list(map(look, words))
+            at = [k for k, i in enumerate(ids) if i is None]
+            missing = [words[k] for k in at]
+        new.update(missing)
         found.append(ids)
+        gaps.append((at, missing))
     fresh = _new_words(path, new, known)
-    return [
-        b"".join([fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)]) if None in ids else b"".join(ids)
-        for words, ids in zip(split, found, strict=True)
-    ]
+    for ids, (at, missing) in zip(found, gaps, strict=True):
+        for k, word in zip(at, missing, strict=True):
+            ids[k] = fresh[word]
+    return [b"".join(ids) for ids in found]
