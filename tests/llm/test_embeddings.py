@@ -90,9 +90,47 @@ def test_table(spark):
 
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(4)
-    unit = rng.standard_normal((400, 64))
+    for dim in (64, 100):
+        unit = rng.standard_normal((400, dim))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        code = ed.codes(unit)
+        about, width = ed.estimates(dim, code, code)
+        error = (about - unit @ unit.T)[~np.eye(400, dtype=bool)]
+        assert abs(error.mean()) < 2e-3
+        assert (np.abs(about - unit @ unit.T) <= width).mean() > 0.9999
+
+
+def test_bit_counts_give_the_product_of_steps_and_signs():
+    rng = np.random.default_rng(5)
+    unit = rng.standard_normal((30, 70))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    about, width = ed.estimates(*ed.codes(unit))
-    error = (about - unit @ unit.T)[~np.eye(400, dtype=bool)]
-    assert abs(error.mean()) < 2e-3
-    assert (np.abs(about - unit @ unit.T) <= width).mean() > 0.9999
+    code = ed.codes(unit)
+    bits = np.unpackbits(code.planes.view(np.uint8), axis=2)[:, :, :70]
+    steps = (bits * (1 << np.arange(ed.PLANES))[None, :, None]).sum(axis=1)
+    turned = unit @ ed.rotation(70, 0).T
+    assert (np.abs(code.low[:, None] + code.step[:, None] * steps - turned) <= code.step[:, None] * (1 + 1e-9)).all()
+    plain = (code.low[:, None] + code.step[:, None] * steps) @ np.where(turned >= 0, 1, -1).T / np.sqrt(70) / code.factor
+    assert np.allclose(plain, ed.estimates(70, code, code)[0])
+
+
+def test_codes_decide_which_pairs_are_computed(spark):
+    rows = made(np.random.default_rng(6), 400, 256, 1)
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], VECTORS)
+    want = expected(rows)
+    distinct = sorted({tuple(v) for _, v, _ in rows})
+    classes = [(0, np.array(v, "<f4").tobytes(), i) for i, v in enumerate(distinct)]
+    opened = ed.open_pairs(spark.createDataFrame(classes, "label long, vector binary, class long"), *ed.band_plan(len(classes), ed.COSINE), ed.COSINE)
+    computed = sum(int(np.unpackbits(np.frombuffer(r.open, np.uint8)).sum()) for r in opened.where("NOT upper").collect())
+    assert 0 < computed < len(classes) * (len(classes) - 1) / 2 / 10
+    assert got(ed.embedding_links(frame)) == want
+    # Intervals that reach nothing leave only the links of equal vectors.
+    copies = Counter(tuple(v) for _, v, _ in rows)
+    none = got(ed.embedding_links(frame, width=-1000.0))
+    assert {i: n for i, (n, _, _) in none.items()} == {i: copies[tuple(v)] - 1 for i, v, _ in rows}
+
+
+def test_an_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1)]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], VECTORS)
+    found = ed.embedding_links(frame).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]

@@ -1,11 +1,19 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
-A unit vector is rotated by a random orthogonal matrix and kept as the signs of
-its coordinates plus one correction factor, the inner product of the vector with
-its own code. Another vector's inner product with the code, divided by that
-factor, estimates the cosine without bias, and the factor also gives the width
-of the estimate's confidence interval. Only pairs whose interval reaches the
-threshold are computed exactly, in double precision.
+A unit vector is rotated by a random orthogonal matrix and stored, once per
+distinct vector, as the signs of its coordinates (a bit each), one correction
+factor, the inner product of the vector with its own signs, and a copy of the
+rotated vector in 4-bit steps for the other side of a comparison. The inner
+product of another vector's steps with the signs, by bit counts, divided by the
+factor, estimates the cosine without bias: the steps are rounded at random by an
+offset that depends on the coordinate alone. Factor and step width also give the
+width of the estimate's confidence interval.
+
+Only these codes travel with the bands. A first pass over a bucket's pairs of
+blocks keeps, for every vector with an open pair, that is one whose interval
+reaches the threshold, the bitmap of its open partners. Vectors are fetched for
+those alone, once per pair of blocks, and the open pairs are computed exactly, in
+double precision; what leaves is a count per vector and a spanning forest.
 
 Candidates share their label and, in one of several bands, all signs of a few
 further rotated coordinates. The signs per band grow with the logarithm of the
@@ -19,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,6 +47,11 @@ WIDTH = 5.0
 #: Vectors of one bucket in a block.
 BLOCK = 1024
 SEED = 40961
+#: Bits and steps of a rotated coordinate on the asking side.
+PLANES = 4
+STEPS = 1 << PLANES
+#: Open pairs computed at a time.
+PAIRS = 1 << 16
 
 
 @cache
@@ -47,17 +61,51 @@ def rotation(dim: int, number: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotated vectors, their sign codes of length one, and the correction factors."""
-    turned = unit @ rotation(unit.shape[1], 0).T
-    signs = np.where(turned >= 0, 1.0, -1.0) / math.sqrt(unit.shape[1])
-    return turned, signs, (turned * signs).sum(axis=1)
-
-
-def estimates(turned: np.ndarray, signs: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosines of all rows of ``turned`` with all coded vectors, and each code's interval half width."""
-    spread = np.sqrt(np.maximum(0.0, 1 - factors**2) / max(1, signs.shape[1] - 1)) / factors
-    return (turned @ signs.T) / factors, WIDTH * spread
+class Codes(NamedTuple):
+    """Stored codes of some vectors, a row each: what travels in place of them."""
+
+    signs: np.ndarray  #: bits of the rotated coordinates' signs, in words
+    planes: np.ndarray  #: the four bits of each step number, in words
+    factor: np.ndarray
+    low: np.ndarray  #: value of step 0
+    step: np.ndarray  #: width of a step
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words, filled up with zeros."""
+    packed = np.packbits(bits, axis=-1)
+    fill = -packed.shape[-1] % 8
+    return np.ascontiguousarray(np.pad(packed, [(0, 0)] * (bits.ndim - 1) + [(0, fill)])).view(np.uint64)
+
+
+def codes(unit: np.ndarray) -> Codes:
+    """Codes of unit vectors; a vector's code depends on nothing else."""
+    dim = unit.shape[1]
+    turned = unit @ rotation(dim, 0).T
+    positive = turned >= 0
+    low = turned.min(axis=1)
+    step = np.maximum((turned.max(axis=1) - low) / (STEPS - 1), np.finfo(float).tiny)
+    offset = np.random.default_rng([SEED, dim]).random(dim)
+    number = np.clip(np.floor((turned - low[:, None]) / step[:, None] + offset), 0, STEPS - 1).astype(np.uint8)
+    planes = np.stack([_words(number >> k & 1) for k in range(PLANES)], axis=1)
+    factor = np.abs(turned).sum(axis=1) / math.sqrt(dim)
+    return Codes(_words(positive), planes, factor, low, step)
+
+
+def estimates(dim: int, asked: Codes, coded: Codes, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated cosines of all of ``asked``, by their steps, with all of ``coded``, by their signs, and interval half widths."""
+    total = np.zeros((len(asked.factor), len(coded.factor)))
+    sums = np.zeros(len(asked.factor))
+    for k in range(PLANES):
+        for w in range(coded.signs.shape[1]):
+            total += np.bitwise_count(asked.planes[:, k, w, None] & coded.signs[None, :, w]) * float(1 << k)
+        sums += np.bitwise_count(asked.planes[:, k]).sum(axis=1) * float(1 << k)
+    ones = np.bitwise_count(coded.signs).sum(axis=1)
+    product = asked.step[:, None] * (2 * total - sums[:, None]) + asked.low[:, None] * (2.0 * ones - dim)
+    coded_spread = np.maximum(0.0, 1 - coded.factor**2) / max(1, dim - 1)
+    # A step rounded at random is off by half its width at most in the standard deviation.
+    spread = np.sqrt(coded_spread + (asked.step[:, None] / 2) ** 2) / coded.factor
+    return product / math.sqrt(dim) / coded.factor, width * spread
 
 
 def band_plan(largest: int, cosine: float) -> tuple[int, int]:
@@ -85,7 +133,9 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "vector": out})
 
 
-def _banded(signs: int, bands: int):
+def _coded(signs: int, bands: int):
+    """Codes and band keys of each class; ``marks`` are the bits of all band keys."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for size, part in batch.groupby(batch["vector"].str.len()):
@@ -95,45 +145,89 @@ def _banded(signs: int, bands: int):
                 turned = [unit @ rotation(dim, 1 + k).T for k in range(-(-signs * bands // dim))]
                 bits = (np.hstack(turned)[:, : signs * bands] >= 0).reshape(len(part), bands, signs)
                 keys = (bits * (1 << np.arange(signs, dtype=np.int64))).sum(axis=2)
-                yield part.assign(keys=list(keys))
+                code = codes(unit)
+                yield part.drop(columns="vector").assign(
+                    size=size,
+                    keys=list(keys),
+                    marks=[m.tobytes() for m in np.packbits(bits.reshape(len(part), -1), axis=1)],
+                    signs=[row.tobytes() for row in code.signs],
+                    planes=[row.tobytes() for row in code.planes],
+                    factor=code.factor,
+                    low=code.low,
+                    step=code.step,
+                )
 
     return run
 
 
-def _linked(cosine: float):
+def _unpacked(group: pd.DataFrame) -> Codes:
+    signs = np.frombuffer(b"".join(group["signs"]), np.uint64).reshape(len(group), -1)
+    planes = np.frombuffer(b"".join(group["planes"]), np.uint64).reshape(len(group), PLANES, -1)
+    return Codes(signs, planes, *(group[c].to_numpy() for c in ("factor", "low", "step")))
+
+
+_CODED = "label long, class long, size int, keys array<long>, marks binary, signs binary, planes binary, factor double, low double, step double"
+_BLOCKS = ["label", "size", "band", "bucket", "lo", "hi"]
+_OPEN = "label long, size int, band int, bucket long, lo long, hi long, class long, upper boolean, place int, open binary"
+
+
+def _open(cosine: float, signs: int, width: float):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        """Links of one pair of blocks: per vector its weighted number and a spanning forest's root."""
-        band = int(group["band"].iloc[0])
-        group = group.sort_values("node", kind="stable")
-        node, times = group["node"].to_numpy(), group["times"].to_numpy()
-        side = group["block"].to_numpy()
-        vectors = _stack(group["vector"])
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        turned, signs, factors = codes(unit)
-        lo, hi = int(group["lo"].iloc[0]), int(group["hi"].iloc[0])
-        rows, columns = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-        about, width = estimates(turned[rows], signs[columns], factors[columns])
-        back, back_width = estimates(turned[columns], signs[rows], factors[rows])
-        open_pairs = (about + width >= cosine) & (back.T + back_width[:, None] >= cosine)
-        a, b = np.nonzero(open_pairs)
-        a, b = rows[a], columns[b]
+        """Members of a pair of blocks that have an open pair: their places, and on the lower side a bitmap of the upper side's."""
+        dim, band, lo, hi = int(key[1]) // 4, int(key[2]), int(key[4]), int(key[5])
+        group = group.sort_values("class", kind="stable")
+        below, above = group[group["block"] == lo], group[group["block"] == hi]
+        left, right = _unpacked(below), _unpacked(above)
+        about, reach = estimates(dim, left, right, width)
+        back, back_reach = estimates(dim, right, left, width)
+        pairs = (about + reach >= cosine) & (back + back_reach >= cosine).T
         if lo == hi:
-            a, b = a[a < b], b[a < b]
-        near = []
-        for at in range(0, len(a), 1 << 16):
-            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-            near.append((unit[x] * unit[y]).sum(axis=1) >= cosine)
-        near = np.concatenate(near) if near else np.zeros(0, bool)
+            pairs = np.triu(pairs, 1)
+        if band:  # an earlier band has the pair
+            bits = [np.unpackbits(np.frombuffer(b"".join(side["marks"]), np.uint8).reshape(len(side), -1), axis=1) for side in (below, above)]
+            mine, theirs = (x[:, : band * signs].reshape(len(x), band, signs) for x in bits)
+            a, b = np.nonzero(pairs)
+            for at in range(0, len(a), PAIRS):
+                x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+                pairs[x, y] = ~(mine[x] == theirs[y]).all(axis=2).any(axis=1)
+        rows, columns = np.flatnonzero(pairs.any(axis=1)), np.flatnonzero(pairs.any(axis=0))
+        bitmaps = [m.tobytes() for m in np.packbits(pairs[rows], axis=1)]
+        sides = [
+            pd.DataFrame({"class": below["class"].to_numpy()[rows], "upper": False, "place": rows, "open": bitmaps}),
+            pd.DataFrame({"class": above["class"].to_numpy()[columns], "upper": True, "place": columns, "open": [None] * len(columns)}),
+        ]
+        return pd.concat(sides).assign(**dict(zip(_BLOCKS, key, strict=True)))[[*_BLOCKS, "class", "upper", "place", "open"]]
+
+    return run
+
+
+def _exact(cosine: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Links of one pair of blocks: per class its weighted number and a spanning forest's root."""
+        # A vector may stand on both sides of a block with itself; nodes by order, so the least position is the least node.
+        node, times, vectors = (group[c] for c in ("node", "times", "vector"))
+        members = pd.DataFrame({"class": group["class"], "node": node, "times": times, "vector": vectors})
+        members = members.drop_duplicates("class").sort_values(["node", "class"], kind="stable").reset_index(drop=True)
+        at_class = pd.Series(members.index, members["class"])
+        unit = _stack(members["vector"])
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        upper = group["upper"].to_numpy(bool)
+        below, above = group[~upper], group[upper]
+        held = np.full(int(above["place"].max()) + 1, -1)
+        held[above["place"]] = at_class[above["class"]]
+        rows = at_class[below["class"]].to_numpy()
+        bits = np.unpackbits(np.frombuffer(b"".join(below["open"]), np.uint8).reshape(len(below), -1), axis=1)
+        x, y = np.nonzero(bits)
+        a, b = rows[x], held[y]
+        near = [np.zeros(0, bool)]
+        for at in range(0, len(a), PAIRS):
+            near.append((unit[a[at : at + PAIRS]] * unit[b[at : at + PAIRS]]).sum(axis=1) >= cosine)
+        near = np.concatenate(near)
         a, b = a[near], b[near]
-        keys = np.array(group["keys"].tolist()).reshape(len(group), -1)[:, :band]
-        first = np.ones(len(a), bool)  # an earlier band counts the pair
-        for at in range(0, len(a), 1 << 16):
-            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-            first[at : at + len(x)] = ~(keys[x] == keys[y]).any(axis=1)
-        a, b = a[first], b[first]
-        links = np.bincount(a, times[b], len(node)) + np.bincount(b, times[a], len(node))
-        root = np.arange(len(node))
-        while len(a):  # the nodes are sorted, so the least position is the least node
+        weight = members["times"].to_numpy()
+        links = np.bincount(a, weight[b], len(members)) + np.bincount(b, weight[a], len(members))
+        root = np.arange(len(members))
+        while len(a):
             least = root.copy()
             np.minimum.at(least, root[a], root[b])
             np.minimum.at(least, root[b], root[a])
@@ -142,49 +236,51 @@ def _linked(cosine: float):
                 break
             root = least[root]
         used = links > 0
-        return pd.DataFrame({"node": node[used], "links": links[used].astype(np.int64), "root": node[root][used]})
+        nodes = members["node"].to_numpy()
+        found = {"class": members["class"][used], "node": nodes[used], "links": links[used].astype(np.int64), "root": nodes[root][used]}
+        return pd.DataFrame(found)
 
     return run
 
 
-def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def open_pairs(classes: DataFrame, signs: int, bands: int, cosine: float, width: float = WIDTH) -> DataFrame:
+    """Per pair of blocks its members with an open pair, decided by the codes of ``classes`` (label, vector, class) alone."""
+    coded = cut_lineage(classes.select("label", "vector", "class").mapInPandas(_coded(signs, bands), _CODED), "codes")
+    keys = F.posexplode("keys").alias("band", "bucket")
+    bucket = ["label", "size", "band", "bucket"]
+    full = coded.select("label", "size", keys).groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n"))
+    full = full.where("n > 1").drop("n")
+    entries = coded.select("*", keys).drop("keys").join(full, bucket).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = entries.select("*", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    dealt = dealt.drop("blocks", "other")
+    return cut_lineage(dealt.groupBy(*_BLOCKS).applyInPandas(_open(cosine, signs, width), _OPEN), "open")
+
+
+def embedding_links(vectors: DataFrame, cosine: float = COSINE, width: float = WIDTH) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding, label).
 
     Only vectors of one label and one length are compared. A vector that is null,
     empty, zero or not finite links with nothing, nor does one without label or
-    id. Repeated rows count as vectors of their own. An empty table gives an
+    id. ``width`` is the half width of the intervals in standard deviations. Repeated rows count as vectors of their own. An empty table gives an
     empty result; other columns are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<float>"))
     rows = cut_lineage(map_exact(rows, _packed, "vec_id long, label long, vector binary", "vec_id", "label"), "vectors")
     usable = rows.where("vector IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL")
     classes = usable.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("times"))
-    classes = cut_lineage(classes, "classes")
+    # The number is stable because the table is stored; an id may have several vectors.
+    classes = cut_lineage(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     signs, bands = band_plan(largest, cosine)
-
-    banded = cut_lineage(
-        classes.mapInPandas(_banded(signs, bands), "label long, vector binary, node long, times long, keys array<long>"), "banded"
-    )
-    size = F.length("vector").alias("size")
-    places = banded.select("label", size, "node", F.posexplode("keys").alias("band", "bucket"))
-    full = places.groupBy("label", "size", "band", "bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("n"))
-    full = full.where("n > 1").drop("n")
-    entries = banded.select("*", size, F.posexplode("keys").alias("band", "bucket"))
-    entries = entries.join(full, ["label", "size", "band", "bucket"])
-    entries = entries.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = entries.select("*", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    dealt = dealt.select("label", "size", "band", "bucket", "lo", "hi", "block", "node", "times", "vector", "keys")
-    found = dealt.groupBy("label", "size", "band", "bucket", "lo", "hi").applyInPandas(
-        _linked(cosine), "node long, links long, root long"
-    )
+    fetched = open_pairs(classes, signs, bands, cosine, width).join(classes.select("class", "node", "times", "vector"), "class")
+    found = fetched.groupBy(*_BLOCKS).applyInPandas(_exact(cosine), "class long, node long, links long, root long")
     found = cut_lineage(found, "links")
-    counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = connected_components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    counted = found.groupBy("class").agg(F.sum("links").alias("links"))
+    joined = connected_components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct())
 
     # Copies link with one another and share the links of their class.
-    per_class = classes.join(counted, "node", "left").join(joined, "node", "left").select(
+    per_class = classes.join(counted, "class", "left").join(joined, "node", "left").select(
         "label", "vector", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "node").alias("part")
     )
     result = rows.join(per_class.where("links > 0"), ["label", "vector"], "left")
