@@ -100,7 +100,7 @@ def test_estimates_are_unbiased_and_bounded():
         assert (np.abs(about - unit @ unit.T) <= width).mean() > 0.9999
 
 
-def test_bit_counts_give_the_product_of_steps_and_signs():
+def test_estimates_are_the_product_of_steps_and_signs():
     rng = np.random.default_rng(5)
     unit = rng.standard_normal((30, 70))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)

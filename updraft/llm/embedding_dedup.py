@@ -4,8 +4,8 @@ A unit vector is rotated by a random orthogonal matrix and stored, once per
 distinct vector, as the signs of its coordinates (a bit each), one correction
 factor, the inner product of the vector with its own signs, and a copy of the
 rotated vector in 4-bit steps for the other side of a comparison. The inner
-product of another vector's steps with the signs, by bit counts, divided by the
-factor, estimates the cosine without bias: the steps are rounded at random by an
+product of another vector's steps with the signs, in small whole numbers, divided by
+the factor, estimates the cosine without bias: the steps are rounded at random by an
 offset that depends on the coordinate alone. Factor and step width also give the
 width of the estimate's confidence interval.
 
@@ -78,6 +78,15 @@ def _words(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(packed, [(0, 0)] * (bits.ndim - 1) + [(0, fill)])).view(np.uint64)
 
 
+def _bits(words: np.ndarray, count: int) -> np.ndarray:
+    return np.unpackbits(words.view(np.uint8), axis=-1, count=count)
+
+
+def _numbers(code: Codes, dim: int) -> np.ndarray:
+    """Step numbers of the rotated coordinates."""
+    return sum(_bits(code.planes[:, k], dim).astype(np.float32) * (1 << k) for k in range(PLANES))
+
+
 def codes(unit: np.ndarray) -> Codes:
     """Codes of unit vectors; a vector's code depends on nothing else."""
     dim = unit.shape[1]
@@ -94,14 +103,10 @@ def codes(unit: np.ndarray) -> Codes:
 
 def estimates(dim: int, asked: Codes, coded: Codes, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Estimated cosines of all of ``asked``, by their steps, with all of ``coded``, by their signs, and interval half widths."""
-    total = np.zeros((len(asked.factor), len(coded.factor)))
-    sums = np.zeros(len(asked.factor))
-    for k in range(PLANES):
-        for w in range(coded.signs.shape[1]):
-            total += np.bitwise_count(asked.planes[:, k, w, None] & coded.signs[None, :, w]) * float(1 << k)
-        sums += np.bitwise_count(asked.planes[:, k]).sum(axis=1) * float(1 << k)
-    ones = np.bitwise_count(coded.signs).sum(axis=1)
-    product = asked.step[:, None] * (2 * total - sums[:, None]) + asked.low[:, None] * (2.0 * ones - dim)
+    # Sums of whole numbers far below 2**24: single precision holds them exactly.
+    numbers, ones = _numbers(asked, dim), _bits(coded.signs, dim).astype(np.float32)
+    total = numbers @ ones.T
+    product = asked.step[:, None] * (2 * total - numbers.sum(axis=1)[:, None]) + asked.low[:, None] * (2.0 * ones.sum(axis=1) - dim)
     coded_spread = np.maximum(0.0, 1 - coded.factor**2) / max(1, dim - 1)
     # A step rounded at random is off by half its width at most in the standard deviation.
     spread = np.sqrt(coded_spread + (asked.step[:, None] / 2) ** 2) / coded.factor
@@ -160,6 +165,12 @@ def _coded(signs: int, bands: int):
     return run
 
 
+def _keys(marks: pd.Series, bands: int, signs: int) -> np.ndarray:
+    """Keys of the first bands."""
+    bits = np.unpackbits(np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), -1), axis=1, count=bands * signs)
+    return bits.reshape(len(marks), bands, signs) @ (1 << np.arange(signs, dtype=np.int64))
+
+
 def _unpacked(group: pd.DataFrame) -> Codes:
     signs = np.frombuffer(b"".join(group["signs"]), np.uint64).reshape(len(group), -1)
     planes = np.frombuffer(b"".join(group["planes"]), np.uint64).reshape(len(group), PLANES, -1)
@@ -184,12 +195,9 @@ def _open(cosine: float, signs: int, width: float):
         if lo == hi:
             pairs = np.triu(pairs, 1)
         if band:  # an earlier band has the pair
-            bits = [np.unpackbits(np.frombuffer(b"".join(side["marks"]), np.uint8).reshape(len(side), -1), axis=1) for side in (below, above)]
-            mine, theirs = (x[:, : band * signs].reshape(len(x), band, signs) for x in bits)
-            a, b = np.nonzero(pairs)
-            for at in range(0, len(a), PAIRS):
-                x, y = a[at : at + PAIRS], b[at : at + PAIRS]
-                pairs[x, y] = ~(mine[x] == theirs[y]).all(axis=2).any(axis=1)
+            mine, theirs = (_keys(side["marks"], band, signs) for side in (below, above))
+            for k in range(band):
+                pairs &= mine[:, k, None] != theirs[None, :, k]
         rows, columns = np.flatnonzero(pairs.any(axis=1)), np.flatnonzero(pairs.any(axis=0))
         bitmaps = [m.tobytes() for m in np.packbits(pairs[rows], axis=1)]
         sides = [
@@ -221,7 +229,7 @@ def _exact(cosine: float):
         a, b = rows[x], held[y]
         near = [np.zeros(0, bool)]
         for at in range(0, len(a), PAIRS):
-            near.append((unit[a[at : at + PAIRS]] * unit[b[at : at + PAIRS]]).sum(axis=1) >= cosine)
+            near.append(np.einsum("ij,ij->i", unit[a[at : at + PAIRS]], unit[b[at : at + PAIRS]]) >= cosine)
         near = np.concatenate(near)
         a, b = a[near], b[near]
         weight = members["times"].to_numpy()
