@@ -11,7 +11,7 @@ from updraft.catalog.registry import query, rounded
 from updraft.catalog.spatial import phases_with_region
 from updraft.catalog.terrain import AHD, PASSES, RELIEF, passes
 from updraft.catalog.tracks import TO_PHASE, stored
-from updraft.operators import scores, spatial
+from updraft.operators import coverage, scores, spatial
 
 BINNED = """
 , bins AS (SELECT region_id, day, t_start_s // 1800 * 1800 AS bin_start_s, COUNT(*) AS n, SUM(n_turns) AS n_circles, MEDIAN(climb_rate_ms) AS med, QUANTILE_CONT(climb_rate_ms, 0.9) AS q90, MAX(alt_top_m) AS top
@@ -111,6 +111,21 @@ def _e5(spark, d):
     return rounded(out, bias=3, rmse=3)
 
 
+@query(
+    "e5_observed_skill",
+    fx.with_sql("obs", "region_box", "grid_cell", "flux", "profile", recursive=True, body=TO_PHASE + BINNED + CURVE + HEATED + LOOKUP + """
+    , pairs AS (SELECT b.region_id, CAST(b.bin_start_s % 86400 // 3600 AS BIGINT) AS valid_h,
+        CASE WHEN flux_w_m2 > 0 AND z_top > z0 THEN POW(9.80665e0 / th_m * (flux_w_m2 / 1005.0e0) * (z_top - z0), 1.0e0 / 3) ELSE 0.0e0 END - med AS climb, z_top - top AS high
+      FROM bins b JOIN topped t ON t.region_id = b.region_id AND t.init_h + t.lead_h = b.bin_start_s % 86400 // 3600)
+    SELECT region_id, CAST(valid_h AS DOUBLE) AS valid_h, COUNT(*) AS n, COUNT(*) >= 5 AS enough, ROUND(AVG(climb), 3) AS climb_bias_ms, ROUND(SQRT(AVG(climb * climb)), 3) AS climb_rmse_ms,
+      ROUND(AVG(high), 2) AS top_bias_m, ROUND(SQRT(AVG(high * high)), 2) AS top_rmse_m FROM pairs GROUP BY 1, 2"""),
+)
+def _e5_observed(spark, d):
+    """Half hours of observed circling against the mixed layer of the same region and hour."""
+    out = scores.observed_skill(scores.thermal_bins(stored(phases_with_region(spark, d))), evolution(spark, d))
+    return rounded(out, climb_bias_ms=3, climb_rmse_ms=3, top_bias_m=2, top_rmse_m=2)
+
+
 @query(
     "e5_class_accuracy",
     fx.with_sql("grid_cell", body=WIDE + """SELECT COUNT(*) AS n, ROUND(AVG(CASE WHEN a.day_type = b.day_type THEN 1.0e0 ELSE 0.0e0 END), 4) AS accuracy
@@ -143,6 +158,27 @@ def _e7(spark, d):
     return scores.message_rate(placed)
 
 
+@query(
+    "e7_receiver_coverage",
+    fx.with_sql("beacon", body="""
+    , ev AS (SELECT CASE kind WHEN 'receiver' THEN source_id ELSE station END AS receiver, CAST(FLOOR(EPOCH(ts_recv) / 86400) AS BIGINT) AS slot, ts_recv, kind = 'receiver' AS own, lat, lon
+      FROM beacon WHERE kind IN ('receiver', 'position'))
+    , own AS (SELECT receiver, ts_recv, lat, lon, ROW_NUMBER() OVER (PARTITION BY receiver, ts_recv ORDER BY lat DESC, lon DESC) AS k FROM ev WHERE own)
+    , placed AS (SELECT e.receiver, e.slot, e.lat AS la, e.lon AS lo, o.lat AS ra, o.lon AS ro FROM (SELECT * FROM ev WHERE NOT own) e
+      ASOF LEFT JOIN (SELECT * FROM own WHERE k = 1) o ON o.receiver = e.receiver AND e.ts_recv >= o.ts_recv)
+    , far AS (SELECT receiver, slot, 2 * 6371.0e0 * ASIN(LEAST(1, SQRT(POW(SIN(RADIANS(la - ra) / 2), 2) + COS(RADIANS(ra)) * COS(RADIANS(la)) * POW(SIN(RADIANS(lo - ro) / 2), 2)))) AS km,
+        DEGREES(ATAN2(SIN(RADIANS(lo - ro)) * COS(RADIANS(la)), COS(RADIANS(ra)) * SIN(RADIANS(la)) - SIN(RADIANS(ra)) * COS(RADIANS(la)) * COS(RADIANS(lo - ro)))) AS deg FROM placed)
+    , per AS (SELECT receiver, slot, CAST(FLOOR(CASE WHEN deg < 0 THEN deg + 360 ELSE deg END / 45) AS INT) AS sector, COUNT(*) AS packets, MAX(km) AS km FROM far GROUP BY 1, 2, 3)
+    , whole AS (SELECT a.receiver, a.slot, s.sector, COALESCE(packets, 0) AS packets, COALESCE(km, 0) AS km FROM (SELECT DISTINCT receiver, slot FROM ev) a
+        CROSS JOIN (SELECT CAST(UNNEST(RANGE(8)) AS INT) AS sector) s LEFT JOIN per p ON p.receiver = a.receiver AND p.slot = a.slot AND p.sector = s.sector
+      UNION ALL SELECT receiver, slot, sector, packets, km FROM per WHERE sector IS NULL)
+    SELECT receiver, slot * 86400 AS window_start_s, sector, packets, CASE WHEN sector IS NOT NULL THEN ROUND(km, 3) END AS range_km FROM whole"""),
+)
+def _e7_coverage(spark, d):
+    """How far each receiver heard in each direction, day by day."""
+    return rounded(coverage.receiver_coverage(parsed(spark, d), window_s=86_400), range_km=3)
+
+
 @query(
     "e8_rank_regions",
     fx.with_sql("grid_cell", body=WIDE + """, s AS (SELECT region_id, STDDEV(base_m) AS sd, COUNT(base_m) AS n FROM wide GROUP BY 1)

@@ -282,7 +282,7 @@ def raw_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = F.when(eid % 37 == 0, F.lit("!")).otherwise(F.concat(F.lit("/"), F.date_format(packet, "HHmmss"), F.lit("h")))
     altitude = F.when(eid % 31 == 0, F.lit("")).otherwise(F.format_string("/A=%06d", 3_000 + eid % 7_000))
     position = F.concat(
-        F.format_string("FLR%06X", uid), F.lit(">APRS,qAS,STATION:"), sent, angle(lat, 2), F.lit("N/"), angle(lon, 3), F.lit("E'"),
+        F.format_string("FLR%06X", uid), F.format_string(">APRS,qAS,RX%d:", uid), sent, angle(lat, 2), F.lit("N/"), angle(lon, 3), F.lit("E'"),
         F.format_string("%03d/%03d", eid % 360, eid % 80), altitude, F.format_string(" !W%d%d!", lat % 10, lon % 10),
         F.format_string(" id%02X%06X", flags, uid), F.format_string(" %+dfpm", eid % 1_200 - 600),
     )
@@ -359,7 +359,7 @@ SQL: dict[str, str] = {
  line AS (SELECT event_id, user_id, DATE_TRUNC('millisecond', ts) AS ts_recv, CAST(ts AS DATE) AS day, ts - INTERVAL (CAST(event_id % 3 AS INT)) SECOND AS packet,
    CASE WHEN event_id % 23 = 0 THEN 'other' WHEN event_id % 29 = 0 THEN 'receiver' ELSE 'position' END AS kind,
    2616000 + (event_id * 37) % 300000 AS lat_t, 312000 + (event_id * 53) % 660000 AS lon_t FROM events),
- beacon AS (SELECT event_id, day, kind, ts_recv,
+ beacon AS (SELECT event_id, day, kind, ts_recv, 'RX' || CAST(user_id AS VARCHAR) AS station,
    CASE kind WHEN 'other' THEN NULL WHEN 'receiver' THEN 'RX' || CAST(user_id AS VARCHAR) ELSE PRINTF('FLR%06X', user_id) END AS source_id,
    CASE WHEN kind = 'position' THEN CASE user_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 6 WHEN 2 THEN 7 ELSE 8 END END AS aircraft_type,
    CASE WHEN kind = 'position' AND event_id % 37 <> 0 OR kind = 'receiver' THEN packet END AS packet,

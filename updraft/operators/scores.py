@@ -95,6 +95,32 @@ def scores(observed: DataFrame, modelled: DataFrame, on: list[str], by: list[str
     return pairs.groupBy(*by).agg(F.count(off).alias("n"), F.avg(off).alias("bias"), F.sqrt(F.avg(off * off)).alias("rmse"))
 
 
+def observed_skill(bins: DataFrame, series: DataFrame, min_sample: int = MIN_SAMPLE, step_s: int = 3600) -> DataFrame:
+    """How well mixed-layer series foretell observed thermals, by region and valid hour.
+
+    ``bins`` are observed half hours (:func:`thermal_bins`), ``series`` steps of
+    ``region_id, init_h, lead_h, z_top_m, w_star_ms``, and ``day`` where runs of
+    several days are given. A bin belongs to the step in whose interval it starts.
+    All runs that hold that hour count; ``n`` is the number of pairs and ``enough``
+    says whether they reach ``min_sample``.
+    """
+    days = [c for c in ("day",) if c in series.columns]
+    on = ["region_id", *days, "step"]
+    start = F.pmod(F.col("bin_start_s"), F.lit(86_400))
+    observed = bins.withColumn("step", F.floor(start / step_s)).select(*on, "climb_median_ms", "top_max_m")
+    modelled = series.withColumn("step", F.floor((F.col("init_h") + F.col("lead_h")) * 3600 / step_s)).select(*on, "w_star_ms", "z_top_m")
+    pairs = observed.join(modelled, on)
+    climb, top = F.col("w_star_ms") - F.col("climb_median_ms"), F.col("z_top_m") - F.col("top_max_m")
+    return pairs.groupBy("region_id", (F.col("step") * step_s / 3600).alias("valid_h")).agg(
+        F.count("*").alias("n"),
+        (F.count("*") >= min_sample).alias("enough"),
+        F.avg(climb).alias("climb_bias_ms"),
+        F.sqrt(F.avg(climb * climb)).alias("climb_rmse_ms"),
+        F.avg(top).alias("top_bias_m"),
+        F.sqrt(F.avg(top * top)).alias("top_rmse_m"),
+    )
+
+
 def class_accuracy(observed: DataFrame, modelled: DataFrame, on: list[str], column: str) -> DataFrame:
     """Share of matching classes."""
     pairs = observed.select(*on, F.col(column).alias("_o")).join(modelled.select(*on, F.col(column).alias("_m")), on)

@@ -104,6 +104,12 @@ def sender(raw: Column) -> Column:
     return F.when((at > 1) & ~raw.startswith("#"), F.substring(raw, F.lit(1), at - 1))
 
 
+def heard_by(raw: Column) -> Column:
+    """Receiver that passed a packet on: the last station of its path."""
+    path = F.substring_index(F.substring_index(raw, ":", 1), ">", -1)
+    return F.substring_index(path, ",", -1)
+
+
 def parse_beacons(log: DataFrame) -> DataFrame:
     """Radio lines to observations, all in native column expressions.
 
